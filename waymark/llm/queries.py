@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontam import find_leaks
+from .extract import extract_pages
 from .mixing import mix_documents
+from .pseudolikelihood import score_likelihood
 from .quality import held_out, judge_quality
 from .repeats import remove_repeats
+from .search import search_top_k
+from .simhash import near_duplicates
 from .tokencount import count_tokens
 from .urlrules import filter_urls
 
@@ -48,6 +52,24 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op7_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    queries = docs.filter(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return search_top_k(docs, queries, k=10)
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_likelihood(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bound=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
@@ -55,6 +77,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_quality": op5_quality,
     "op6_token_counts": op6_token_counts,
+    "op7_top_k_search": op7_top_k_search,
+    "op8_html_extraction": op8_html_extraction,
+    "op9_pseudo_likelihood": op9_pseudo_likelihood,
+    "op10_simhash": op10_simhash,
 }
 
 SQL: dict[str, str] = {
