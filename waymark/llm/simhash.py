@@ -135,7 +135,7 @@ def allot(bits: list[tuple[int, ...]], equal: list[float], differ: np.ndarray, n
         chance = _within(differ[list(group)], bound)
         after: dict[int, tuple[float, list[int]]] = {}
         for spent, (cost, chosen) in best.items():
-            for e in range(-1, bound + 1):
+            for e in range(-1, min(bound, len(group)) + 1):
                 if e >= 0:
                     a, b = (e + 1) // 2, e // 2
                     rows = sum(math.comb(len(group), k) for k in range(a + 1)) + (sum(math.comb(len(group), k) for k in range(b + 1)) if a != b else 0)
