@@ -86,17 +86,27 @@ def test_clean_repository_has_no_findings(spark):
 @pytest.mark.parametrize(
     ("changes", "expected"),
     [
-        ({"web/store/row.ex": "defmodule Shop.Store.Row do\n alias Shop.Pay\nend\n"}, [("structural", "web/store", "web/store imports web — edge not declared")]),
-        ({"web/ui.ts": "x"}, [("structural", "web", "web declares depends on shared — no import found")]),
-        ({"shared/src/money.ts": "/* ※ cent */\n"}, [("referential", "/", 'anchor ※ cents unresolved (0 occurrences of "※ cents")')]),
-        ({"py/lib.py": "thing = 1 # ※ hook\n"}, [("referential", None, "landmark ※ hook has slug-match cardinality 2")]),
-        ({"adr/0007-cents.md": "Status: Superseded by 8"}, [("referential", "/", "decided_by target § 0007 names a superseded decision record")]),
-        ({"adr/0007-cents.md": None}, [("referential", "/", "decided_by target § 0007 resolves to no decision record")]),
-        ({"adr/0007-again.md": "x"}, [("referential", None, "decision record adr/0007 is declared by 2 files: adr/0007-again.md, adr/0007-cents.md")]),
-        ({"shared/test/money.test.ts": None}, [("referential", "/", "enforced_by shared/test/money.test.ts is not a tracked file")]),
-        ({"py/lib.py": "# ⊨ web/gone\n"}, [("referential", None, "⊨ web/gone resolves to no declared claim")]),
-        ({"api/a.go": "", "api/b/c.go": "", "tools/t": ""}, [("exhaustiveness", None, "api (2 files) is covered by no node — unreachable via any router"), ("exhaustiveness", None, "tools (1 file) is covered by no node — unreachable via any router")]),
-        ({"web/AGENTS.md": WEB + "x" * 40_000}, [("budget", "web/store", None)]),
+        (
+            {
+                "web/store/row.ex": "defmodule Shop.Store.Row do\n alias Shop.Pay\nend\n", "web/ui.ts": "x", "shared/src/money.ts": "/* ※ cent */\n", "py/lib.py": "thing = 1 # ※ hook\n# ⊨ web/gone\n",
+                "adr/0007-cents.md": "Status: Superseded by 8", "shared/test/money.test.ts": None,
+            },
+            [
+                ("referential", None, "landmark ※ hook has slug-match cardinality 2"), ("referential", None, "⊨ web/gone resolves to no declared claim"),
+                ("referential", "/", 'anchor ※ cents unresolved (0 occurrences of "※ cents")'), ("referential", "/", "decided_by target § 0007 names a superseded decision record"),
+                ("referential", "/", "enforced_by shared/test/money.test.ts is not a tracked file"), ("structural", "web", "web declares depends on shared — no import found"),
+                ("structural", "web/store", "web/store imports web — edge not declared"),
+            ],
+        ),
+        (
+            {"adr/0007-again.md": "x", "api/a.go": "", "api/b/c.go": "", "tools/t": "", "web/AGENTS.md": WEB + "x" * 40_000},
+            [
+                ("referential", None, "decision record adr/0007 is declared by 2 files: adr/0007-again.md, adr/0007-cents.md"),
+                ("exhaustiveness", None, "api (2 files) is covered by no node — unreachable via any router"), ("exhaustiveness", None, "tools (1 file) is covered by no node — unreachable via any router"),
+                ("budget", "web/store", None),
+            ],
+        ),
+        ({"adr/0007-cents.md": None}, [("referential", "/", "decided_by target § 0007 resolves to no decision record"), ]),
     ],
 )
 def test_mutations(spark, changes, expected):

@@ -6,6 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import ensure_checkpoints
 from .prefix import territory_owner
 
 
@@ -52,6 +53,7 @@ def hops_from(edges: DataFrame, start: DataFrame, *, depth: int | None = None) -
     reaches nothing new, so a depth beyond the graph costs nothing. Each frontier is written to the
     checkpoint folder, which cuts its lineage.
     """
+    ensure_checkpoints(edges.sparkSession)
     edges = edges.select("src", "dst").persist(StorageLevel.MEMORY_AND_DISK)
     seen = start.select("id").distinct().withColumn("hop", F.lit(0)).checkpoint()
     frontier, hop = seen, 0
