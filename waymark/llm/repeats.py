@@ -108,7 +108,7 @@ def repeated_spans(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id")
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names)
 
     windows = sought.select("k1", "k2", "packed", "places").mapInArrow(extend, "w1 long, w2 int, k1 long, k2 long, start int")
-    more = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
+    more = materialize(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"), "windows")
     starts = windows.join(more, ["w1", "w2"]).groupBy("k1", "k2").agg(F.sort_array(F.collect_list("start")).alias("starts"))
     found = materialize(sought.select("k1", "k2", "packed").join(starts, ["k1", "k2"]), "repeats")
     return parsed.select(id_col, "k1", "k2", "n_words", "whole_sha256"), found
