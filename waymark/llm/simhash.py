@@ -220,40 +220,56 @@ def _signatures(nodes: DataFrame, parts: list[Part], lanes: int) -> DataFrame:
     return nodes.select(*names).mapInArrow(run, "bucket long, side byte, " + ", ".join(f"{n} long" for n in names))
 
 
-def _apart(one: np.ndarray, many: np.ndarray, bound: int, bound_all: int) -> np.ndarray:
-    """Which of ``many`` (lanes x n) are within the bounds of ``one``."""
-    first = np.bitwise_count(one[0] ^ many[0])
-    if len(many) == 1:
+def _near(f: np.ndarray, one: int, many: np.ndarray, bound: int, bound_all: int) -> np.ndarray:
+    """Which of the entries ``many`` are within the bounds of the entry ``one``."""
+    first = np.bitwise_count(f[0, one] ^ f[0, many])
+    if len(f) == 1:
         return first <= bound
-    return (first <= bound) & (first + np.bitwise_count(one[1] ^ many[1]) <= bound_all)
+    return (first <= bound) & (first + np.bitwise_count(f[1, one] ^ f[1, many]) <= bound_all)
+
+
+def _pairs(f: np.ndarray, a: np.ndarray, b: np.ndarray, bound: int, bound_all: int, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """All pairs of ``a`` and ``b`` within the bounds, in blocks; None if there are over ``most``."""
+    out, total = [], 0
+    step = max(1, (1 << 19) // max(len(b), 1))
+    for start in range(0, len(a), step):
+        part = a[start : start + step]
+        i, j = np.nonzero(np.bitwise_count(f[0, part][:, None] ^ f[0, b]) <= bound)
+        i, j = part[i], b[j]
+        if len(f) > 1 and len(i):
+            good = np.bitwise_count(f[0, i] ^ f[0, j]) + np.bitwise_count(f[1, i] ^ f[1, j]) <= bound_all
+            i, j = i[good], j[good]
+        out.append((i, j))
+        total += len(i)
+        if total > most:
+            return None
+    i, j = (np.concatenate(x) for x in zip(*out, strict=True))
+    return i[i != j], j[i != j]
 
 
 def link_bucket(f: np.ndarray, side: np.ndarray, bound: int, bound_all: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (rows of ``f``) that join all entries of a bucket which links connect.
 
-    Grows one component at a time: each entry reached is compared with those not reached yet, so a
-    group of near copies costs little more than its size, and edges never exceed entries.
+    Buckets with few links are compared in blocks. Large or dense ones grow one component at a time:
+    each entry reached is compared with those not reached yet, so a group of near copies costs little
+    more than its size, and edges stay in proportion to entries.
     """
     n = f.shape[1]
-    crossed = side.any() and not side.all()
-    if side.any() and not crossed:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    if n <= 512:
-        a, b = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if crossed else (np.arange(n), np.arange(n))
-        near = _apart(f[:, a, None], f[:, None, b], bound, bound_all)
-        i, j = np.nonzero(near)
-        i, j = a[i], b[j]
-        if not crossed:
-            i, j = i[i < j], j[i < j]
-        if len(i) <= 2 * n:
-            return i, j
+    none = np.empty(0, np.int64)
+    crossed = bool(side.any())
+    if crossed and side.all():
+        return none, none
+    if n <= 4096:
+        a, b = (np.flatnonzero(side == 0), np.flatnonzero(side)) if crossed else (np.arange(n), np.arange(n))
+        if (found := _pairs(f, a, b, bound, bound_all, 6 * n)) is not None:
+            return found
     waiting = np.arange(n)
     out_i, out_j = [], []
     while len(waiting):
         queue, waiting = [int(waiting[0])], waiting[1:]
         while queue and len(waiting):
             at = queue.pop()
-            near = _apart(f[:, at], f[:, waiting], bound, bound_all)
+            near = _near(f, at, waiting, bound, bound_all)
             if crossed:
                 near &= side[waiting] != side[at]
             if near.any():
@@ -262,7 +278,6 @@ def link_bucket(f: np.ndarray, side: np.ndarray, bound: int, bound_all: int) ->
                 out_j.append(got)
                 queue += got.tolist()
                 waiting = waiting[~near]
-    none = np.empty(0, np.int64)
     return np.concatenate(out_i or [none]), np.concatenate(out_j or [none])
 
 
