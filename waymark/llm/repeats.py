@@ -25,10 +25,10 @@ def _text_key(text: Column) -> tuple[Column, Column]:
 
 
 def _marked_windows(anchors: np.ndarray, marked: np.ndarray) -> np.ndarray:
-    """Windows whose own anchor is marked, and that hold no unmarked anchor of another window.
+    """Windows whose anchor is marked.
 
-    A repeated window's words choose the same anchors wherever they stand, so an anchor that is
-    unique in the corpus lies in no repeated window.
+    A repeated window's words choose the same anchor wherever they stand, so a window whose anchor is
+    unique in the corpus is no repeated one.
     """
     return np.flatnonzero(np.isin(anchors, marked))
 
