@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.operators import budget, edges, history, ignore, prefix, resolve, tokens
 
-NODES = [("/", ""), ("apps/web", "apps/web"), ("billing", "apps/web/lib/billing"), ("store", "apps/web/lib/store"), ("worker", "apps/worker"), ("shared", "packages/shared")]
+NODES = [("/", ""), ("sites/web", "sites/web"), ("sales", "sites/web/lib/sales"), ("stock", "sites/web/lib/stock"), ("jobs", "sites/jobs"), ("kit", "libs/kit")]
 
 
 @pytest.fixture(scope="module")
@@ -20,26 +20,26 @@ def rows(frame):
 
 
 def test_owner_is_the_deepest_directory(spark, nodes):
-    files = spark.createDataFrame([(p,) for p in ("apps/web/lib/billing/charge.ex", "apps/web/libx/y.ex", "mix.exs", "apps/webx/a", "apps/web/lib/billing/deep/er/z", "apps/web/lib/billing/charge.ex")], "path string")
+    files = spark.createDataFrame([(p,) for p in ("sites/web/lib/sales/sell.ex", "sites/web/libx/y.ex", "root.exs", "sites/webx/a", "sites/web/lib/sales/deep/er/z", "sites/web/lib/sales/sell.ex")], "path string")
     got = rows(prefix.territory_owner(files, nodes))
-    assert got == sorted([("apps/web/lib/billing/charge.ex", "billing")] * 2 + [("apps/web/libx/y.ex", "apps/web"), ("mix.exs", "/"), ("apps/webx/a", "/"), ("apps/web/lib/billing/deep/er/z", "billing")], key=str)
+    assert got == sorted([("sites/web/lib/sales/sell.ex", "sales")] * 2 + [("sites/web/libx/y.ex", "sites/web"), ("root.exs", "/"), ("sites/webx/a", "/"), ("sites/web/lib/sales/deep/er/z", "sales")], key=str)
     bare = nodes.filter("dir <> ''")
-    assert rows(prefix.territory_owner(files.limit(3), bare, fallback="/"))[-1] == ("mix.exs", "/")
-    assert rows(prefix.territory_owner(files.filter("path = 'mix.exs'"), bare)) == [("mix.exs", None)]
+    assert rows(prefix.territory_owner(files.limit(3), bare, fallback="/"))[0] == ("root.exs", "/")
+    assert rows(prefix.territory_owner(files.filter("path = 'root.exs'"), bare)) == [("root.exs", None)]
 
 
 def test_containment_goes_by_directory_not_id(spark, nodes):
-    assert rows(prefix.contains_edges(nodes)) == sorted([("/", "apps/web"), ("/", "worker"), ("/", "shared"), ("apps/web", "billing"), ("apps/web", "store")], key=str)
+    assert rows(prefix.contains_edges(nodes)) == sorted([("/", "sites/web"), ("/", "jobs"), ("/", "kit"), ("sites/web", "sales"), ("sites/web", "stock")], key=str)
     short = spark.createDataFrame([("/", ""), ("A", "A"), ("A/b", "A/b")], "id string, dir string")
     assert rows(prefix.contains_edges(short)) == [("/", "A"), ("A", "A/b")]
 
 
 def test_exposure_is_inherited_upward(spark, nodes):
-    claims = spark.createDataFrame([("/", "money-type"), ("billing", "refund-cap"), ("billing", "idempotency"), ("worker", "other")], "node_id string, slug string")
-    asked = spark.createDataFrame([("apps/web/lib/billing/x",), ("apps/web/lib/store/y",)], "path string")
+    claims = spark.createDataFrame([("/", "cents"), ("sales", "cap"), ("sales", "once"), ("jobs", "other")], "node_id string, slug string")
+    asked = spark.createDataFrame([("sites/web/lib/sales/x",), ("sites/web/lib/stock/y",)], "path string")
     got = rows(prefix.inherited(asked, nodes, claims))
-    assert [g[2] for g in got if "billing" in g[0]] == ["money-type", "idempotency", "refund-cap"]
-    assert [g[2] for g in got if "store" in g[0]] == ["money-type"]
+    assert [g[2] for g in got if "sales" in g[0]] == ["cents", "cap", "once"]
+    assert [g[2] for g in got if "stock" in g[0]] == ["cents"]
 
 
 def walk(files, covering, depth):
@@ -78,22 +78,22 @@ def test_uncovered_dirs_agree_with_the_descent(spark, depth):
 
 def test_structure_mutations(spark):
     table = lambda *e: spark.createDataFrame(list(e), "from_id string, to_id string")
-    declared = table(("billing", "store"), ("billing", "shared"), ("store", "shared"))
-    clean = table(("billing", "store"), ("billing", "shared"), ("store", "shared"), ("store", "shared"))
+    declared = table(("sales", "stock"), ("sales", "kit"), ("stock", "kit"))
+    clean = table(("sales", "stock"), ("sales", "kit"), ("stock", "kit"), ("stock", "kit"))
     assert rows(edges.structural_violations(clean, declared)) == []
-    more = clean.union(table(("store", "billing")))
-    assert rows(edges.structural_violations(more, declared)) == [("store", "undeclared", "billing")]
-    assert rows(edges.structural_violations(more, declared, table(("store", "billing")))) == []
-    less = clean.filter("NOT (from_id = 'billing' AND to_id = 'store')")
+    more = clean.union(table(("stock", "sales")))
+    assert rows(edges.structural_violations(more, declared)) == [("stock", "undeclared", "sales")]
+    assert rows(edges.structural_violations(more, declared, table(("stock", "sales")))) == []
+    less = clean.filter("NOT (from_id = 'sales' AND to_id = 'stock')")
     found = edges.structural_violations(less, declared)
-    assert rows(found) == [("billing", "vestigial", "store")]
-    assert rows(edges.structural_violations(less, declared, table(("billing", "store")))) == []
+    assert rows(found) == [("sales", "vestigial", "stock")]
+    assert rows(edges.structural_violations(less, declared, table(("sales", "stock")))) == []
     assert rows(edges.subtract_frozen(found, found)) == []
 
 
 def test_references_within_a_node_are_no_edges(spark, nodes):
-    refs = spark.createDataFrame([("apps/web/lib/billing/a.ex", "apps/web/lib/store/b.ex", 3), ("apps/web/lib/billing/a.ex", "apps/web/lib/billing/c.ex", 4), ("apps/web/lib/billing/a.ex", "apps/web/lib/store/b.ex", 2)], "from_file string, to_file string, line int")
-    assert rows(edges.edge_summary(edges.attribute_refs(refs, nodes), "from_file", "line")) == [("billing", "store", 2, "apps/web/lib/billing/a.ex", 2)]
+    refs = spark.createDataFrame([("sites/web/lib/sales/a.ex", "sites/web/lib/stock/b.ex", 3), ("sites/web/lib/sales/a.ex", "sites/web/lib/sales/c.ex", 4), ("sites/web/lib/sales/a.ex", "sites/web/lib/stock/b.ex", 2)], "from_file string, to_file string, line int")
+    assert rows(edges.edge_summary(edges.attribute_refs(refs, nodes), "from_file", "line")) == [("sales", "stock", 2, "sites/web/lib/sales/a.ex", 2)]
 
 
 def test_hops_stop_on_an_empty_frontier(spark):
@@ -126,9 +126,9 @@ def test_module_probe_order(spark):
     targets = spark.createDataFrame([(t,) for t in ("a/x", "a/x.js", "a/y", "b/z.mjs", "exact", "none", "a/v.js")], "target string")
     got = dict(rows(resolve.probe(targets, files, resolve.module_candidates(F.col("target")))))
     assert got == {"a/x": "a/x.ts", "a/x.js": "a/x.js", "a/y": "a/y/index.tsx", "b/z.mjs": "b/z.mts", "exact": "exact", "none": None, "a/v.js": "a/v.tsx"}
-    packages = spark.createDataFrame([("@acme/shared", "packages/shared", "packages/shared/src/money.ts", 0), ("lib", "l1", None, 1), ("lib", "l2", None, 2)], "name string, dir string, main string, ord int")
-    asked = spark.createDataFrame([(s,) for s in ("@acme/shared", "@acme/shared/src/../x", "lib", "lib/q", "libx", "react")], "source string")
-    assert dict(rows(resolve.bare_specifiers(asked, packages))) == {"@acme/shared": "packages/shared/src/money.ts", "@acme/shared/src/../x": "packages/shared/x", "lib": "l1/index", "lib/q": "l1/q"}
+    packages = spark.createDataFrame([("@shop/kit", "libs/kit", "libs/kit/src/coin.ts", 0), ("lib", "l1", None, 1), ("lib", "l2", None, 2)], "name string, dir string, main string, ord int")
+    asked = spark.createDataFrame([(s,) for s in ("@shop/kit", "@shop/kit/src/../x", "lib", "lib/q", "libx", "react")], "source string")
+    assert dict(rows(resolve.bare_specifiers(asked, packages))) == {"@shop/kit": "libs/kit/src/coin.ts", "@shop/kit/src/../x": "libs/kit/x", "lib": "l1/index", "lib/q": "l1/q"}
 
 
 def test_first_declarer_orders_by_segment(spark):
