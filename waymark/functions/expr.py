@@ -127,8 +127,8 @@ def thousands(n: Column) -> Column:
 
 
 def kib(n: Column) -> Column:
-    """Bytes as KiB with one decimal."""
-    return F.format_string("%.1f KiB", n / F.lit(1024.0))
+    """Bytes as KiB with one decimal, halves to the even one."""
+    return F.format_string("%.1f KiB", F.bround(n / F.lit(1024.0), 1))
 
 
 def short_sha(sha: Column) -> Column:

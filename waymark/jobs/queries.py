@@ -533,3 +533,52 @@ def kind_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def column_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return c.groupBy("role").agg(F.max(F.char_length("text")).alias("text_width"), F.max(F.char_length(F.col("conv_id").cast("string"))).alias("id_width"), F.count("*").alias("n"))
+
+
+# -- display forms, scopes and set differences ----------------------------------------------------
+
+
+@query("status_words", "SELECT conv_id, turn, nullif(lower(regexp_extract(text, '[A-Za-z][A-Za-z-]*')), '') AS status FROM conversations")
+def status_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.status_word(F.col("text")).alias("status"))
+
+
+@query(
+    "slug_derivation",
+    """WITH s AS (SELECT p_partkey, trim(regexp_replace(translate(p_name || '::' || p_type, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', '-', 'g'), '-') AS derived FROM part)
+      SELECT p_partkey, CASE WHEN regexp_matches(derived, '^[a-z0-9]+(-[a-z0-9]+)*$') THEN derived END AS slug FROM s""",
+)
+def slug_derivation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names and types as the symbol of an anchor ``<path>#<symbol>``."""
+    anchor = F.concat(F.lit("parts/list#"), "p_name", F.lit("::"), "p_type")
+    return table(spark, sf_dir, "part").select("p_partkey", X.derive_slug(anchor, "※ ").alias("slug"))
+
+
+@query("short_forms", "SELECT doc_id, printf('%.1f KiB', strlen(text) / 1024.0) AS size_text, substr(sha256(text), 1, 7) AS sha FROM documents")
+def short_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", X.kib(F.octet_length("text")).alias("size_text"), X.short_sha(F.sha2("text", 256)).alias("sha"))
+
+
+@query("claim_scope", "SELECT conv_id, turn, strlen(text)::INT AS bytes FROM conversations WHERE role = 'user' AND conv_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def claim_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of one kind, within a scope of nodes."""
+    scope = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("conv_id"))
+    claims = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    return claims.join(scope, "conv_id", "left_semi").select("conv_id", "turn", F.octet_length("text").alias("bytes"))
+
+
+@query("stale_outputs", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND lang <> 'en'")
+def stale_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is on disk and was not rendered this time."""
+    rendered = table(spark, sf_dir, "labels").select("doc_id")
+    return table(spark, sf_dir, "documents").filter("lang <> 'en'").join(rendered, "doc_id", "left_anti").select("doc_id", "lang")
+
+
+@query(
+    "rule_file_collisions",
+    """SELECT lower(p_brand || '-' || p_size) AS file_name, count(*) AS n, min(p_partkey) AS first_id FROM part GROUP BY 1 HAVING count(*) > 1""",
+)
+def rule_file_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of output files that differ in case only."""
+    name = F.lower(F.concat_ws("-", "p_brand", "p_size"))
+    return table(spark, sf_dir, "part").groupBy(name.alias("file_name")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_id")).filter("n > 1")
