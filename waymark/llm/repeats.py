@@ -81,7 +81,7 @@ def repeated_spans(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id")
     )
     texts = parsed.filter(F.size("seeds") > 0).groupBy("k1", "k2").agg(F.first("seeds").alias("seeds"), F.first("places").alias("places"))
     anchors = texts.select("k1", "k2", F.explode(F.arrays_zip("seeds", "places")).alias("a")).select("k1", "k2", F.col("a.seeds").alias("seed"), F.col("a.places").alias("place"))
-    repeated = anchors.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
+    repeated = materialize(anchors.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"), "seeds")
     marks = materialize(anchors.join(repeated, "seed").groupBy("k1", "k2").agg(F.collect_list("place").alias("places")), "marks")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
