@@ -364,7 +364,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, bound: int = 2, id_col
     least = prints.groupBy("f0").agg(F.min(id_col).alias("least")).join(groups, "f0", "left")
     own = F.lpad(F.hex("f0"), 16, "0")
     keyed = materialize(least.select("f0", "least", F.coalesce("group", own).alias("group")), "groups")
-    smallest = keyed.groupBy("group").agg(F.min("least").alias("component_id"))
+    smallest = materialize(keyed.groupBy("group").agg(F.min("least").alias("component_id")), "smallest")
     labels = keyed.join(smallest, "group").select("f0", "component_id")
     return prints.join(labels, "f0").select(id_col, F.lower(own).alias("fingerprint"), "component_id")
 
@@ -382,7 +382,7 @@ def keep_one(docs: DataFrame, *, shingle: int = 5, bound: int = 12, bound_all: i
     least = prints.groupBy("f0", "f1").agg(F.min(id_col).alias("least")).join(groups, ["f0", "f1"], "left")
     own = F.concat(F.lpad(F.hex("f0"), 16, "0"), F.lpad(F.hex("f1"), 16, "0"))
     keyed = materialize(least.select("f0", "f1", "least", F.coalesce("group", own).alias("group")), "groups")
-    smallest = keyed.groupBy("group").agg(F.min("least").alias("stays"))
+    smallest = materialize(keyed.groupBy("group").agg(F.min("least").alias("stays")), "smallest")
     labels = keyed.join(smallest, "group").select("f0", "f1", "stays")
     gone = prints.join(labels, ["f0", "f1"]).filter(F.col(id_col) != F.col("stays")).select(id_col).distinct()
     stays = prints.join(labels, ["f0", "f1"]).filter(F.col(id_col) == F.col("stays")).select(id_col).distinct()
