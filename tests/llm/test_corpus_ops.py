@@ -282,7 +282,7 @@ def bm25(texts, query, k1=1.2, b=0.75):
     return scores
 
 
-@pytest.mark.parametrize("shard", [7, 4096])
+@pytest.mark.parametrize("shard", [3, 7, 4096])
 def test_search_agrees_with_brute_force(spark, rows, docs, shard, monkeypatch):
     asked = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
     got = defaultdict(list)
