@@ -158,7 +158,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id")
     """
     parsed, found = repeated_spans(docs, window=window, id_col=id_col)
     cut = _cut(found, window).select("k1", "k2", "n_removed", F.sha2("kept", 256).alias("sha"), "spans")
-    changes = cut.join(_copied(parsed, window), ["k1", "k2"], "full_outer")
+    changes = materialize(cut.join(_copied(parsed, window), ["k1", "k2"], "full_outer"), "changes")
     joined = parsed.join(changes, ["k1", "k2"], "left")
     whole = F.array(F.struct(F.lit(0).alias("from"), F.col("n_words").cast("int").alias("to")))
     return joined.select(
@@ -179,7 +179,7 @@ def cut_documents(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id")
     names = docs.columns
     parsed, found = repeated_spans(docs, window=window, id_col=id_col)
     cut = _cut(found, window).select("k1", "k2", F.col("kept").cast("string").alias("__kept"))
-    changes = cut.join(_copied(parsed, window), ["k1", "k2"], "full_outer").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.when(F.col("copied"), F.lit("")).otherwise(F.col("__kept")).alias("__kept"))
+    changes = materialize(cut.join(_copied(parsed, window), ["k1", "k2"], "full_outer"), "changes").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.when(F.col("copied"), F.lit("")).otherwise(F.col("__kept")).alias("__kept"))
     k1, k2 = _text_key(text_bytes())
     joined = docs.join(changes, (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left").withColumn("text", F.coalesce("__kept", "text"))
     joined = joined.filter(F.col("__kept").isNull() | (F.col("__kept") != ""))
