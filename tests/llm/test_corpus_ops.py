@@ -360,6 +360,17 @@ def test_chances_add_up_to_one():
     assert np.allclose(shares, 1, atol=1e-3)
 
 
+def test_training_takes_every_position_once():
+    import inspect
+
+    default = inspect.signature(pseudolikelihood.train).parameters
+    rounds = default["rounds"].default
+    stride = default["stride"].default or rounds
+    for n in (*range(1, 40), 997):
+        at = np.concatenate([pseudolikelihood.targets(n, turn, rounds, stride) for turn in range(rounds)])
+        assert sorted(at.tolist()) == list(range(n))
+
+
 def test_scores_prefer_text_like_the_corpus(spark, docs, odd, none):
     rare = docs.limit(8).select((F.col("doc_id") + 10_000).alias("doc_id"), F.concat_ws(" ", F.transform(F.split("text", " "), lambda w: F.md5(w))).alias("text"))
     both = pseudolikelihood.score_likelihood(docs.select("doc_id", "text").unionByName(rare)).collect()

@@ -114,14 +114,20 @@ def count_words(docs: DataFrame) -> np.ndarray:
     return counts
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, *, rounds: int = 2, stride: int = 32, rate: float = 0.5, seed: int = 5) -> np.ndarray:
+def targets(n: int, turn: int, rounds: int, stride: int) -> np.ndarray:
+    """The positions of a text of ``n`` words that are targets in a round; with ``stride <= rounds`` all rounds cover all."""
+    return np.arange((n * 7 + turn * max(1, stride // rounds)) % stride, n, stride)
+
+
+def train(docs: DataFrame, vocabulary: Vocabulary, *, rounds: int = 2, stride: int | None = None, rate: float = 0.5, seed: int = 5) -> np.ndarray:
     """Parameters trained on every document: per round each task descends on its own, then all are averaged.
 
-    A task takes each ``stride``-th position of every text (from a start that follows the text's
-    length and the round), in batches of 256. Averages are weighted by positions; they are formed
+    A task takes each ``stride``-th position of every text, in batches of 512; by default ``stride``
+    is the number of rounds and the start moves by one a round, so each position is a target once. Averages are weighted by positions; they are formed
     over (parameter, value) rows, so the driver gets one row per parameter.
     """
     spark = docs.sparkSession
+    stride = rounds if stride is None else stride
     known = spark.sparkContext.broadcast(vocabulary)
     flat = WindowNetwork.start(seed)
     texts = docs.select(text_bytes().alias("text"))
@@ -133,14 +139,14 @@ def train(docs: DataFrame, vocabulary: Vocabulary, *, rounds: int = 2, stride: i
             for batch in rows_of(batches):
                 for raw in batch.column(0).to_pylist():
                     classes = known.value.of[word_numbers(raw)]
-                    at = np.arange((len(classes) * 7 + turn * (stride // 2)) % stride, len(classes), stride)
+                    at = targets(len(classes), turn, rounds, stride)
                     if len(at):
                         held.append((contexts(classes)[at], classes[at]))
                 if held:
                     x, y = (np.concatenate(c) for c in zip(*held, strict=True))
                     order = np.random.default_rng(seen).permutation(len(y))
-                    for start in range(0, len(y), 256):
-                        part = order[start : start + 256]
+                    for start in range(0, len(y), 512):
+                        part = order[start : start + 512]
                         network.step(x[part], y[part], rate / (1 + seen / 2e5) / (1 + turn))
                         seen += len(part)
                     held = []
@@ -154,7 +160,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, *, rounds: int = 2, stride: i
     return flat
 
 
-def score_likelihood(docs: DataFrame, *, rounds: int = 2, stride: int = 32, id_col: str = "doc_id") -> DataFrame:
+def score_likelihood(docs: DataFrame, *, rounds: int = 2, stride: int | None = None, id_col: str = "doc_id") -> DataFrame:
     """``<id>, n_words, log_likelihood, mean_log_likelihood`` for every row of ``docs``.
 
     Every word is hidden in turn and predicted from both sides; the conditional log-probabilities of
