@@ -324,6 +324,18 @@ def test_extraction(page, text):
     assert extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><h1>T</h1><p class=lead>Lead, short.</p><div class=body><p>" + "Long, very long. " * 20 + "</p></div></article>", "T Lead, short. " + ("Long, very long. " * 20).strip()),
+        ("<article><div class=a><p>" + "One, two. " * 30 + "</p></div><div class=b><p>" + "Three, four. " * 8 + "</p></div></article>", ("One, two. " * 30 + "Three, four. " * 8).strip()),
+        ("<body><div class=a><p>" + "One, two. " * 30 + "</p></div><div class=b><p>" + "Three, four. " * 8 + "</p></div></body>", ("One, two. " * 30 + "Three, four. " * 8).strip()),
+    ],
+)
+def test_extraction_keeps_nested_and_split_articles(page, text):
+    assert extract.main_text(page) == text
+
+
 def test_extraction_of_all_pages(spark, sf_dir):
     import html
 

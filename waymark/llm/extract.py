@@ -159,8 +159,8 @@ def content_blocks(blocks: list[Block]) -> list[str]:
     For each tag path: the mean text length per node, and the mean punctuation per node, both
     damped by the share of linked text. Both series are smoothed over neighbouring blocks, fused by
     their product, and the paths above a threshold (a share of the spread over paths) are content
-    paths. The container is what most of their text has as deepest common path; within it, every
-    block that is not marked as something beside the article is content, short ones included.
+    paths. The root is the outermost article or main element above them (the one with most of their
+    text), without one the deepest path that all of them have in common; within it, every block that is not marked as something beside the article is content, short ones included.
     """
     texts = [" ".join("".join(b.text).split()) for b in blocks]
     live = [k for k, t in enumerate(texts) if t and not blocks[k].side]
@@ -195,7 +195,9 @@ def content_blocks(blocks: list[Block]) -> list[str]:
             for d in range(len(parts)):
                 up = "/".join(parts[: d + 1])
                 mass[up] = mass.get(up, 0.0) + len(texts[k])
-    root = max((p for p, v in mass.items() if v >= 0.7 * total), key=lambda p: p.count("/"))
+    # An article or main element above chosen text is the root (the one with most of it); else what all chosen text has in common.
+    tops = {p: v for p, v in mass.items() if p.split("/")[-1].split(".")[0] in MAIN and not any(x.split(".")[0] in MAIN for x in p.split("/")[:-1])}
+    root = max(tops, key=tops.__getitem__) if tops else max((p for p, v in mass.items() if v >= total), key=lambda p: p.count("/"))
     return [texts[k] for k in live if blocks[k].path == root or blocks[k].path.startswith(root + "/")]
 
 
