@@ -261,10 +261,36 @@ def test_token_counts_equal_whole_text_encoding(spark, rows, sf_dir, odd, none):
     for frame in (spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string"), extra, odd.select("doc_id", "text")):
         want = sorted((str(r.doc_id), len((r.text or "").encode()), len(whole.encode(r.text or "", add_special_tokens=False).ids)) for r in frame.collect())
         assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in tokencount.count_tokens(frame, path).collect()) == want
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in tokencount.count_tokens(frame, path, hot=40).collect()) == want
     assert tokencount.count_tokens(none, path).count() == 0
     assert {r.over_limit == (r.n_tokens > 1024) for r in queries.op6_token_counts(spark, sf_dir).collect()} == {True}
 
 
+def test_token_counts_of_many_scripts(spark):
+    """Texts mostly outside Latin script, with characters of all planes, equal texts and added tokens between."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    whole, rng = Tokenizer.from_file(path), random.Random(3)
+    planes = [(0x20, 0x7F), (0x80, 0x2FF), (0x300, 0x600), (0x600, 0x800), (0x900, 0xE00), (0x1000, 0x1400), (0x2000, 0x2100), (0x3040, 0x3100), (0x4E00, 0x5000), (0xAC00, 0xAD00), (0x1F300, 0x1F700), (0x10000, 0x11000), (0x1D7C0, 0x1D800), (0, 0x30)]
+    texts = ["".join(chr(rng.randrange(*rng.choice(planes))) if rng.random() < 0.8 else " " for _ in range(rng.randrange(0, 200))) for _ in range(300)]
+    texts += texts[:40] + [t[:50] + "<|endoftext|>" + t[50:] for t in texts[:20]] + ["<|endoftext|><|endoftext|>"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = sorted((k, len(t.encode()), len(whole.encode(t, add_special_tokens=False).ids)) for k, t in enumerate(texts))
+    for hot in (25, 1 << 18):
+        assert sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in tokencount.count_tokens(frame, path, hot=hot).collect()) == want
+
+
+def test_tokenizers_that_change_the_text_are_refused():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f, pytest.raises(ValueError, match="byte-level"):
+        tokencount.cutting_rules(f.read())
+
+
 # -- search ---------------------------------------------------------------------------------------
 
 

@@ -46,6 +46,11 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
 
 
+def text_key(text: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a text's bytes."""
+    return F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], limit_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit_bytes`` at most (one row at least)."""
     for batch in batches:

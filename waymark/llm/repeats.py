@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, rows_of, text_bytes
+from .common import materialize, rows_of, text_bytes, text_key
 from .words import anchor_of_windows, run_hashes, word_hashes
 
 #: Words in a seed; a window of W words holds W - SEED + 1 of them.
@@ -19,11 +19,6 @@ SEED = 10
 _BASES = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
-def _text_key(text: Column) -> tuple[Column, Column]:
-    """128 bits that stand for a text's bytes."""
-    return F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")
-
-
 def _marked_windows(anchors: np.ndarray, marked: np.ndarray) -> np.ndarray:
     """Windows whose anchor is marked.
 
@@ -75,7 +70,7 @@ def repeated_spans(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id")
                 [id_col, "k1", "k2", "n_words", "whole_sha256", "seeds", "places"],
             )
 
-    keyed = docs.select(F.col(id_col), text_bytes().alias("text")).select(id_col, *_text_key(F.col("text")), "text")
+    keyed = docs.select(F.col(id_col), text_bytes().alias("text")).select(id_col, *text_key(F.col("text")), "text")
     parsed = materialize(
         keyed.mapInArrow(parse, f"`{id_col}` {kind}, k1 long, k2 long, n_words long, whole_sha256 string, seeds array<long>, places array<int>"), "parsed"
     )
@@ -180,7 +175,7 @@ def cut_documents(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id")
     parsed, found = repeated_spans(docs, window=window, id_col=id_col)
     cut = _cut(found, window).select("k1", "k2", F.col("kept").cast("string").alias("__kept"))
     changes = materialize(cut.join(_copied(parsed, window), ["k1", "k2"], "full_outer"), "changes").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.when(F.col("copied"), F.lit("")).otherwise(F.col("__kept")).alias("__kept"))
-    k1, k2 = _text_key(text_bytes())
+    k1, k2 = text_key(text_bytes())
     joined = docs.join(changes, (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left").withColumn("text", F.coalesce("__kept", "text"))
     joined = joined.filter(F.col("__kept").isNull() | (F.col("__kept") != ""))
     if "n_chars" in names:
