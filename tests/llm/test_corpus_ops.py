@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -362,6 +363,51 @@ def test_extraction_keeps_nested_and_split_articles(page, text):
     assert extract.main_text(page) == text
 
 
+LONG = "A paragraph of some length, with commas, and more than one sentence. It goes on, and on. "
+BODY = "".join(f"<p>{LONG}{k}</p>" for k in range(4))
+READ = " ".join(f"{LONG}{k}" for k in range(4))
+NAV = "<nav><ul><li><a href=/>Home</a></li><li><a href=/b>News</a></li></ul></nav>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body>{NAV}<div class='content has-sidebar'><h1>T</h1>{BODY}</div><footer>f, g, h</footer></body>", f"T {READ}"),
+        (f"<body>{NAV}<div class='elementor'><div class='elementor-widget w1'><h1>T</h1></div>" + "".join(f"<div class='elementor-widget w2'><p>{LONG}{k}</p></div>" for k in range(4)) + "</div></body>", f"T {READ}"),
+        (f"<body><form action=x>{NAV}<div id=page><h1>T</h1>{BODY}<select><option>one<option>two</select></div></form></body>", f"T {READ}"),
+        (f"<body>{NAV}<article class='post share-enabled'><h1>T</h1>{BODY}</article></body>", f"T {READ}"),
+        (f"<body>{NAV}<div><h1>T</h1>{BODY}</div><div><p>Also read, today.</p></div></body>", f"T {READ}"),
+        (f"<body><article><h1>T</h1>{BODY}</article><section class='ugc'><p>{LONG}</p><p>Nice, really.</p></section></body>", f"T {READ}"),
+        (f"<body><main><article><h1>T</h1>{BODY}</article><section class='comments'>" + f"<p>{LONG}</p>" * 40 + "</section></main></body>", f"T {READ}"),
+        (f"<body><h1>T</h1>{BODY}<p>© 2020 Somebody, all rights reserved.</p></body>", f"T {READ}"),
+        (f"<body>{'<div>' * 600}<div class=menu><a href=/>Home</a></div>{'</div>' * 600}<article><h1>T</h1>{BODY}</article></body>", f"T {READ}"),
+        (f"<body><article><h1>T</h1>{BODY}<object data=x>{BODY}</article></body>", f"T {READ}"),
+        (f"<body><object data=x><article><h1>T</h1>{BODY}</article></body>", f"T {READ}"),
+        (f"<body>{NAV}<article><h1>T</h1><figure><img src=x><figcaption>A caption, short.</figcaption></figure>{BODY}</article></body>", f"T A caption, short. {READ}"),
+        (f"<body><ul><li><a href=/>Home</a><li><a href=/b>News</a></ul><h1>T</h1><div class=lead>Short lead.</div><div class=text>{BODY}</div><div>More to read.</div></body>", f"T Short lead. {READ}"),
+        (f"{NAV}<footer>f, g, h</footer>", ""),
+        (f"<article><p title='unclosed>{BODY}</article>", READ),
+        (f"<body><p>{LONG}</p><p title=\"cut off", LONG.strip()),
+    ],
+)
+def test_extraction_weighs_marks(page, text):
+    assert extract.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a " * 350_000 + '"', "<a <a \" > " * 80_000, "<div>" * 200_000 + "x", "<b>" * 150_000 + "<div>x</div>" * 20_000, "<p><table>" + "<b>" * 80_000 + "<ul></ul>" * 80_000,
+        "<title>" * 140_000, "<ul>" + "<div>" * 80_000 + "<li></li>" * 60_000, "</p>" * 250_000, "<!-- " * 200_000, "<" * 1_000_000, "<textarea><object>" * 50_000,
+        "".join(f"<div class='menu c{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}'>text, {k}. " for k in range(25_000)),
+    ],
+)
+def test_hostile_pages_take_linear_time(page):
+    begun = time.perf_counter()
+    extract.main_text(page)
+    assert time.perf_counter() - begun < 30 * max(1, len(page) / 1e6)
+
+
 def test_extraction_of_all_pages(spark, sf_dir):
     import html
 

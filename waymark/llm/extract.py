@@ -17,97 +17,177 @@ from .common import rows_of
 
 # Fixed values of HTML: elements by how they are written and what they hold.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe object svg math canvas textarea select title xmp noembed noframes".split())
+RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()
 )
-#: Elements that end an open element of the same list within the element named.
-SAME = {
-    "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])), "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])), "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
-    "tr": (frozenset(["tr", "td", "th"]), frozenset(["table"])), "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
-    "option": (frozenset(["option"]), frozenset(["select"])),
-}
-#: Elements that are never part of an article's text.
-SIDE = frozenset("nav footer aside form button dialog menu head figure".split())
-#: Words in class, id and role values that mark what stands around an article.
+#: Elements that end an open element of the same list; the list's own elements, which bound the search.
+SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+BOUNDS = {"ul": ("li",), "ol": ("li",), "menu": ("li",), "dl": ("dt", "dd"), "table": ("tr", "td", "th"), "tr": ("td", "th"), "select": ("option",)}
+#: Elements that hold one paragraph, item or cell; a container lies above them.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead ul ol dl pre blockquote figcaption summary table".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+MAIN = frozenset("article main".split())
+#: Elements that stand around an article, and those that mostly do.
+STRONG_SIDE = frozenset("nav footer aside button dialog menu head select textarea option title".split())
+WEAK_SIDE = frozenset("form object svg math canvas template noscript iframe xmp noembed noframes".split())
+#: Words in class, id and role values that speak for something around an article, or for the article.
 SIDE_WORDS = frozenset(
-    """ad ads advert adverts advertisement banner breadcrumb breadcrumbs button comment comments consent cookie cookies copyright disqus footer gdpr legal
-    login masthead menu menubar modal nav navbar navigation newsletter notice overlay pagination paywall popup promo promoted recommended related
-    replies reply rss search share sharing sidebar signup social sponsor sponsored subscribe tags teaser toc toolbar topbar widget widgets
+    """ad ads advert adverts advertisement banner breadcrumb breadcrumbs button comment comments consent cookie cookies copyright discussion disqus footer gdpr
+    legal login masthead menu menubar modal nav navbar navigation newsletter notice overlay pagination paywall popup promo promoted recommended related
+    replies reply rss search share sharing sidebar signup social sponsor sponsored subscribe tags teaser toc toolbar topbar ugc widget widgets
     complementary contentinfo alert dialog""".split()
 )
-#: Elements that hold one paragraph, item or cell; a container lies above them.
-LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead ul ol dl pre blockquote figcaption summary".split())
-MAIN = frozenset("article main".split())
 MAIN_WORDS = frozenset("article content entry main post story".split())
+#: Parts of a class that tell a state or a topic of the element, not what it is.
+STATES = frozenset("has with no not without is enabled disabled tag category".split())
 PUNCTUATION = re.compile(r"[.,;:!?¿¡…。，、；：！？·]")
+COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
+
+#: Weights of marks in a path's score, the share of the mean that a path must reach, and what may remain beside marks.
+WEAK, STRONG, GOOD, THRESHOLD, REMAINS = 0.1, 0.02, 2.0, 0.3, 0.05
+#: A container beside the largest one below the root is a minor one if it has less than this share of its text.
+MINOR = 0.1
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_VALUES = re.compile(r"""[^>"']++|"[^"]*+"|'[^']*+'""")
+_ATTRIBUTES = re.compile(rf"(?:{_VALUES.pattern})*+")
+_MARKS = re.compile(r"""\b(class|id|role)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)""", re.I)
 _PART = re.compile(r"[a-z]+")
 
 
 @dataclass
-class Node:
-    tag: str
-    path: str
-    side: bool
-    main: bool
-    link: bool
+class Paths:
+    """The tag paths of a page as a tree, parents first; path 0 is the page itself."""
+
+    parent: list[int] = field(default_factory=lambda: [-1])
+    tag: list[str] = field(default_factory=lambda: [""])
+    mark: list[int] = field(default_factory=lambda: [0])  # 2 stands around an article, 1 may do so
+    good: list[bool] = field(default_factory=lambda: [False])
+    known: dict[tuple, int] = field(default_factory=dict)
+    above: list[int] = field(default_factory=lambda: [-1])  # of each element its parent's number
+    at: list[int] = field(default_factory=lambda: [0])  # and its path
+
+    def element(self, parent: int, path: int) -> int:
+        self.above.append(parent)
+        self.at.append(path)
+        return len(self.at) - 1
+
+    def under(self, parent: int, tag: str, name: str, mark: int, good: bool) -> int:
+        key = (parent, tag, name, mark, good)
+        if (at := self.known.get(key)) is None:
+            at = self.known[key] = len(self.parent)
+            self.parent.append(parent)
+            self.tag.append(tag)
+            self.mark.append(mark)
+            self.good.append(good)
+        return at
 
 
 @dataclass
 class Block:
     """A run of text between block elements."""
 
-    path: str
-    side: bool
-    main: bool
+    path: int
+    element: int
     text: list[str] = field(default_factory=list)
     linked: int = 0
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's text blocks in order, each with its tag path (inline elements left out)."""
-    root = Node("", "", False, False, False)
-    stack, out, now, at, end = [root], [], None, 0, len(page)
+@dataclass
+class Node:
+    tag: str
+    path: int
+    element: int
+    link: bool
+    p_at: int  # where on the stack a paragraph is open that a block element ends, or -1
+    main: bool
+    ends: dict[str, int]  # where items, cells and rows are open that another one ends
+
+
+def _class_words(attributes: str) -> tuple[str, set[str]]:
+    """The first class as a name, and the words of class, id and role that say what the element is."""
+    name, words = "", set()
+    for kind, value in _MARKS.findall(attributes):
+        for token in value.strip("\"'").lower().split():
+            parts = _PART.findall(token)
+            if parts and not STATES.intersection(parts):
+                words.update(parts)
+                if not name and kind.lower() == "class":
+                    name = "-".join(parts)
+    return name, words
+
+
+def read_page(page: str) -> tuple[list[Block], Paths]:
+    """The page's text blocks in order, and their tag paths (inline elements left out).
+
+    One pass that never goes back: each character is looked at a bounded number of times, whatever
+    is open, nested or unclosed.
+    """
+    paths, out, now, at, end = Paths(), [], None, 0, len(page)
+    stack = [Node("", 0, 0, False, -1, False, {})]
+    opened: dict[str, int] = {}
+    never: set[str] = set()  # raw elements whose end tag does not come any more
 
     def add(text: str) -> None:
         nonlocal now
         if "&" in text:
             text = html.unescape(text)
         top = stack[-1]
-        if now is None or now.path != top.path or now.side != top.side:
-            now = Block(top.path, top.side, top.main)
+        if now is None or now.element != top.element:
+            now = Block(top.path, top.element)
             out.append(now)
         now.text.append(text)
         if top.link:
             now.linked += len(text)
 
+    def cut(k: int) -> None:
+        for n in stack[k:]:
+            opened[n.tag] -= 1
+        del stack[k:]
+
+    def push(node: Node) -> None:
+        stack.append(node)
+        opened[node.tag] = opened.get(node.tag, 0) + 1
+
     while at < end:
-        if (m := _TOKEN.search(page, at)) is None:
+        start = page.find("<", at)
+        if start < 0:
             add(page[at:])
             break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+        if start > at:
+            add(page[at:start])
+        if page.startswith("<!--", start):
+            close = page.find("-->", start + 4)
+            at = end if close < 0 else close + 3
             continue
-        tag = tag.lower()
-        if m[1]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
-                now = None
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k].tag not in INLINE:
-                    break
+        closing = page.startswith("/", start + 1)
+        m = _NAME.match(page, start + 1 + closing)
+        if m is None:
+            if closing or page.startswith(("!", "?"), start + 1):
+                close = page.find(">", start)
+                at = end if close < 0 else close + 1
+            else:
+                add("<")
+                at = start + 1
+            continue
+        tag, begin = m[0].lower(), m.end()
+        stop = _ATTRIBUTES.match(page, begin).end()
+        if stop < end and page[stop] != ">":  # a quote that is not closed is a character
+            close = page.find(">", stop)
+            stop = end if close < 0 else close
+        attributes, at = page[begin:stop], min(end, stop + 1)
+        if closing:
+            if opened.get(tag):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == tag:
+                        cut(k)
+                        break
+                    if tag in INLINE and stack[k].tag not in INLINE:
+                        break
             if tag not in INLINE:
                 now = None
             continue
@@ -118,91 +198,165 @@ def blocks_of(page: str) -> list[Block]:
             elif tag == "hr":
                 now = None
             continue
-        if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at) if not m[3].rstrip().endswith("/") else None
-            at = close.end() if close else (at if m[3].rstrip().endswith("/") else end)
-            now = None
-            continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag not in INLINE:
-                    break
+        if tag in RAW and not attributes.rstrip().endswith("/"):
+            close = None if tag in never else re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*+>?", re.I).search(page, at)
+            if close or tag in ("script", "style"):
+                at, now = close.end() if close else end, None
+                continue
+            never.add(tag)
+        if tag in CLOSES_P and stack[-1].p_at > 0:
+            cut(stack[-1].p_at)
         if tag in SAME:
-            ends, stop = SAME[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in stop:
-                    break
-                if stack[k].tag in ends:
-                    del stack[k:]
-                    break
-        top = stack[-1]
+            places = [stack[-1].ends[t] for t in SAME[tag] if t in stack[-1].ends]
+            if places:
+                cut(min(places))
+        top, k = stack[-1], len(stack)
         if tag in INLINE:
-            if len(stack) < 512:
-                stack.append(Node(tag, top.path, top.side, top.main, top.link or tag == "a"))
+            push(Node(tag, top.path, top.element, top.link or tag == "a", top.p_at, top.main, top.ends))
             continue
         now = None
-        words = {w for v in _NAMES.findall(m[3]) for w in _PART.findall(v.lower())} if m[3] else set()
-        main = tag in MAIN or bool(words & MAIN_WORDS)
-        side = top.side or tag in SIDE or (tag == "header" and not top.main) or bool(words & SIDE_WORDS) and not tag in ("html", "body")
-        name = f"{tag}.{min(words)}" if words and tag not in ("html", "body") else tag
-        if len(stack) < 512:
-            stack.append(Node(tag, f"{top.path}/{name}", side, (top.main or main) and not side, top.link))
+        name, words = _class_words(attributes) if attributes else ("", set())
+        page_itself = tag in ("html", "body")
+        strong = tag in STRONG_SIDE or (tag == "header" and not top.main)
+        weak = not page_itself and tag not in MAIN and (tag in WEAK_SIDE or bool(words & SIDE_WORDS))
+        main = tag in MAIN
+        good = main or bool(words & MAIN_WORDS)
+        ends = top.ends
+        if tag in SAME:
+            ends = {**ends, tag: k}
+        if tag in BOUNDS:
+            ends = {t: v for t, v in ends.items() if t not in BOUNDS[tag]}
+        path = paths.under(top.path, tag, "" if page_itself else name, 2 if strong else 1 if weak else 0, good and not page_itself)
+        push(Node(tag, path, paths.element(top.element, path), top.link, k if tag == "p" else -1, top.main or main, ends))
+    return out, paths
+
+
+def _up(values: np.ndarray, parent: list[int]) -> np.ndarray:
+    """Sums over each path and all below it."""
+    total = values.tolist()
+    for k in range(len(parent) - 1, 0, -1):
+        total[parent[k]] += total[k]
+    return np.array(total)
+
+
+def _down(own: list, parent: list[int], join) -> list:
+    """Each path's value joined with those above it."""
+    out = list(own)
+    for k in range(1, len(parent)):
+        out[k] = join(out[parent[k]], out[k])
     return out
 
 
-def content_blocks(blocks: list[Block]) -> list[str]:
-    """The texts of the content blocks, in page order.
+def content_blocks(page: str) -> list[str]:
+    """The texts of the page's content blocks, in page order.
 
-    For each tag path: the mean text length per node, and the mean punctuation per node, both
-    damped by the share of linked text. Both series are smoothed over neighbouring blocks, fused by
-    their product, and the paths above a threshold (a share of the spread over paths) are content
-    paths. The root is the outermost article or main element above them (the one with most of their
-    text), without one the deepest path that all of them have in common; within it, every block that is not marked as something beside the article is content, short ones included.
+    1. Ratios: for each tag path the mean text length and the mean punctuation per node, both
+       damped by the share of linked text; smoothed over neighbouring blocks and fused by their
+       geometric mean.
+    2. Marks (element names, words of class, id and role) are weights in the fused score. Those that
+       may err are void where the marked path holds an article, or a first heading and much of the
+       text, or where next to nothing would remain beside them.
+    3. Paths that reach a share of the mean score (weighted by text) are content paths.
+    4. The root is the deepest article or main element with half of the content, else the deepest
+       path that all content paths have in common. Content nodes are the blocks below it, less marked
+       subtrees without a content path. If the root is no article, less elements right below it,
+       too, that hold no content path or are minor beside the largest, and mostly link or come
+       before the first heading or content block or after the last content block; and less a last
+       copyright line.
     """
+    blocks, paths = read_page(page)
     texts = [" ".join("".join(b.text).split()) for b in blocks]
-    live = [k for k, t in enumerate(texts) if t and not blocks[k].side]
+    live = [k for k, t in enumerate(texts) if t]
     if not live:
         return []
-    paths = {}
-    for k in live:
-        paths.setdefault(blocks[k].path, []).append(k)
+    parent, n = paths.parent, len(paths.parent)
+    of = np.array([blocks[k].path for k in live])
     length = np.array([len(texts[k]) for k in live], np.float64)
-    marks = np.array([len(PUNCTUATION.findall(texts[k])) for k in live], np.float64)
+    points = np.array([len(PUNCTUATION.findall(texts[k])) for k in live], np.float64)
     free = np.array([1 - min(1.0, blocks[k].linked / max(len(texts[k]), 1)) for k in live])
-    where = {p: i for i, p in enumerate(paths)}
-    of = np.array([where[blocks[k].path] for k in live])
-    many = np.bincount(of)
-    per_path = [np.bincount(of, x * free) / many for x in (length, marks + 1)]
-    kernel = np.array([0.25, 0.5, 0.25])
+    nodes = np.maximum(np.bincount(of, minlength=n), 1)
     fused = np.ones(len(live))
-    for ratio in per_path:
-        series = np.pad(ratio[of], 1, mode="edge")
-        fused *= np.maximum(np.convolve(series, kernel, "valid"), 1e-9)
-    score = np.bincount(of, fused * length) / np.maximum(np.bincount(of, length), 1)
-    score *= np.array([4.0 if any(blocks[k].main for k in ks) else 1.0 for ks in paths.values()])
-    chosen = score >= min(score.max(), 0.5 * score.std() + 0.1 * score.mean())
-    mass: dict[str, float] = {}
-    total = 0.0
-    for k, i in zip(live, of, strict=True):
-        if chosen[i]:
-            parts = blocks[k].path.split("/")
-            while len(parts) > 1 and parts[-1].split(".")[0] in LEAVES:
-                parts.pop()
-            total += len(texts[k])
-            for d in range(len(parts)):
-                up = "/".join(parts[: d + 1])
-                mass[up] = mass.get(up, 0.0) + len(texts[k])
-    # An article or main element above chosen text is the root (the one with most of it); else what all chosen text has in common.
-    tops = {p: v for p, v in mass.items() if p.split("/")[-1].split(".")[0] in MAIN and not any(x.split(".")[0] in MAIN for x in p.split("/")[:-1])}
-    root = max(tops, key=tops.__getitem__) if tops else max((p for p, v in mass.items() if v >= total), key=lambda p: p.count("/"))
-    return [texts[k] for k in live if blocks[k].path == root or blocks[k].path.startswith(root + "/")]
+    for value in (length, points + 1):
+        series = np.pad((np.bincount(of, value * free, n) / nodes)[of], 1, mode="edge")
+        fused *= np.convolve(series, (0.1, 0.8, 0.1), "valid")
+    score = np.bincount(of, np.sqrt(fused) * length, n) / np.maximum(np.bincount(of, length, n), 1)
+    text = np.bincount(of, length * free, n)
+
+    mark = np.array(paths.mark)
+    strong = np.array(_down((mark == 2).tolist(), parent, lambda a, b: a or b))
+
+    def choose(weight: np.ndarray) -> np.ndarray:
+        worth, mass = score * weight, text * weight
+        return (worth > 0) & (worth >= THRESHOLD * (mass * worth).sum() / max(mass.sum(), 1e-9)) & (text > 0)
+
+    def weights(weak: np.ndarray) -> np.ndarray:
+        against = np.array(_down(np.where(mark == 2, STRONG, np.where(weak, WEAK, 1.0)).tolist(), parent, lambda a, b: a * b))
+        return np.where((against == 1) & np.array(_down(paths.good, parent, lambda a, b: a or b)), GOOD, against)
+
+    weak = mark == 1
+    mass = np.where(choose(np.where(strong, STRONG, 1.0)) & ~strong, text, 0.0)
+    below, total = _up(mass, parent), mass.sum()
+    if weak.any() and total:
+        heads = _up(np.array([float(t == "h1") for t in paths.tag]) * (np.bincount(of, minlength=n) > 0), parent)
+        mains = _up(np.array([float(t in MAIN) for t in paths.tag]), parent)
+        weak &= ~((mains > 0) | ((heads > 0) & (below >= 0.3 * total)))
+        for most in (0.5, 0.5, 0.5, 0.5, 0.1, 0.0):
+            outer = np.array(_down(weak.tolist(), parent, lambda a, b: a or b))
+            if mass[~outer].sum() >= REMAINS * total or not weak.any():
+                break
+            above = np.array([False, *(bool(outer[p]) for p in parent[1:])])
+            weak &= above | (below < most * total)
+    chosen = choose(weights(weak))
+    out = (mark == 2) | weak
+    if not (chosen & ~strong).any():
+        return []
+    chosen &= ~np.array(_down(out.tolist(), parent, lambda a, b: a or b))
+    if not chosen.any():
+        return []
+
+    content = _up(np.where(chosen, text, 0.0), parent)
+    root, article = 0, False
+    for k in range(n):
+        if paths.tag[k] in MAIN and content[k] >= 0.5 * content[0] and not strong[k]:
+            root, article = k, True
+    if not article:
+        held = [k for k in range(n) if content[k] >= content[0] and paths.tag[k] not in LEAVES]
+        root, many = held[-1], np.bincount(paths.at, minlength=n)
+        while root and many[root] > 1:  # several elements of one path are judged one by one
+            root = parent[root]
+    inside = _down([k == root for k in range(n)], parent, lambda a, b: a or b)
+    beside = np.array(_down((out & (content == 0)).tolist(), parent, lambda a, b: a or b))
+    holds = content > 0
+    if article:
+        return [texts[k] for k in live if inside[blocks[k].path] and not beside[blocks[k].path]]
+
+    # The element right below the root that each element lies in, and that element's text.
+    child = [-1] * len(paths.at)
+    for k in range(1, len(child)):
+        if inside[paths.at[paths.above[k]]]:
+            child[k] = k if paths.at[paths.above[k]] == root and paths.at[k] != root else child[paths.above[k]]
+    top = np.array([child[blocks[k].element] for k in live])
+    order = [i for i, k in enumerate(live) if inside[blocks[k].path] and not beside[blocks[k].path]]
+    whole, mine = (np.bincount(top[order] + 1, x[order], len(child) + 1)[1:] for x in (length, length * free))
+    minor = [paths.tag[p] not in LEAVES and m < MINOR * mine.max() for p, m in zip(paths.at, mine, strict=True)]
+    linked = 1 - mine / np.maximum(whole, 1)
+    core = [i for i in order if chosen[of[i]] and (top[i] < 0 or not minor[top[i]])] or [i for i in order if chosen[of[i]]]
+    heads = [i for i in order if paths.tag[of[i]] == "h1" and i < core[0]]
+    first, last = min([*heads[-1:], core[0]]), core[-1]
+    kept = []
+    for i in order:
+        c = top[i]
+        if c < 0 or (holds[paths.at[c]] and not minor[c]):
+            kept.append(i)
+        elif linked[c] <= 0.5 and (first <= i <= last or (paths.tag[paths.at[c]] in LEAVES and i > first)):
+            kept.append(i)
+    while len(kept) > 1 and length[kept[-1]] < 200 and COPYRIGHT.match(texts[live[kept[-1]]]):
+        kept.pop()
+    return [texts[live[i]] for i in kept]
 
 
 def main_text(page: str) -> str:
-    return " ".join(content_blocks(blocks_of(page)))
+    return " ".join(content_blocks(page))
 
 
 def extract_pages(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
