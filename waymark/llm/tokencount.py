@@ -139,6 +139,21 @@ def count_pieces(docs: DataFrame, definition: str, *, text_col: str = "text") ->
     return seen.groupBy("piece").agg(F.sum("n").alias("n")).mapInArrow(encode, "piece string, n long, tokens long")
 
 
+def most_frequent(counted: DataFrame, most: int) -> DataFrame:
+    """The rows of ``counted(n, ...)`` with the highest counts, whole steps of a sixteenth power of 2, ``most`` rows at most.
+
+    Only the number of rows per step goes to the driver; nothing is ordered in one task.
+    """
+    step = F.floor(F.log2(F.col("n").cast("double")) * 16)
+    least, total = None, 0
+    for r in sorted(counted.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        total += r["count"]
+        if total > most:
+            break
+        least = r["step"]
+    return counted.filter(step >= least) if least is not None else counted.limit(0)
+
+
 def count_tokens(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """``<id>, n_bytes, n_tokens`` for every row of ``docs``, as the library for ``vocabulary`` gives them.
 
@@ -160,7 +175,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     rules = spark.sparkContext.broadcast(cutting_rules(definition))
     counted = materialize(count_pieces(docs, definition, text_col=text_col), "pieces")
-    top = counted.filter(F.octet_length("piece") <= HOT_BYTES).orderBy(F.desc("n"), "piece").limit(hot).select("piece", "tokens").toArrow()
+    top = most_frequent(counted.filter(F.octet_length("piece") <= HOT_BYTES), hot).select("piece", "tokens").toArrow()
     known = spark.sparkContext.broadcast((top.column("piece").to_pylist(), top.column("tokens").to_pylist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
