@@ -97,9 +97,8 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
         ranged.filter("kind = 0").drop("range").join(prefixes, "key").filter(F.col("key") < F.col("first"))
         .select("key", "kind", "host", "path", "rule", "action", "reach", "range")
     )
-    ranges = ranged.unionByName(open_before).dropDuplicates(["range", "key", "kind", "host", "path"])
     swept = (
-        ranges.repartition("range").sortWithinPartitions("range", "key", "kind")
+        ranged.unionByName(open_before).repartition("range").sortWithinPartitions("range", "key", "kind")
         .select("key", "kind", "host", "path", "rule", "action", "reach")
         .mapInArrow(_sweep, "host string, path string, rule string, action string, reach long")
     )
@@ -114,15 +113,18 @@ def filter_urls(
 
     ``rules`` is a table ``(host, path, action)`` or a list of such tuples. Where none fits, ``rule``
     is null and ``verdict`` is ``default``. A url that is null or has no ``://`` has an empty host and
-    path. All rows stay, repeated ones too; columns of the same names are replaced.
+    path; such rows are set aside before the join, and the matches are written before it, so that
+    Spark can split a frequent url. All rows stay, repeated ones too; columns of the same names are
+    replaced.
     """
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
         rules = spark.createDataFrame(list(rules), "host string, path string, action string")
     judged = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))}).drop("rule", "verdict")
-    found = match_rules(judged.select("host", "path"), rules).withColumnsRenamed({"host": "__host", "path": "__path"})
-    return (
-        judged.join(found, (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")), "left")
-        .withColumn("verdict", F.coalesce("action", F.lit(default)))
-        .drop("__host", "__path", "action")
-    )
+    found = match_rules(judged.select("host", "path"), rules)
+    found = materialize(found.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("rule").alias("__rule"), F.col("action").alias("__action")), "url-verdicts")
+    named, bare = judged.filter(F.col("host") != ""), judged.filter(F.col("host") == "")
+    joined = named.join(found.hint("merge"), (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")), "left")
+    rule, verdict = F.col("__rule").alias("rule"), F.coalesce("__action", F.lit(default)).alias("verdict")
+    columns = judged.columns
+    return joined.select(*columns, rule, verdict).unionByName(bare.select(*columns, F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))
