@@ -13,8 +13,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Large-star then small-star rounds: every node tells its larger (then its smaller-or-equal)
     neighbours the smallest node it knows, until the edges are stars that no round changes. A hot
-    node costs rows in proportion to its edges only: minima are taken by map-side sums and joined
-    back. Each round's edges are written to the shared folder; at most logarithmically many rounds
+    node costs rows in proportion to its edges only: minima are taken by map-side sums and written
+    before they are joined back, so that Spark can split a hot node's edges. Each round's edges are written to the shared folder; at most logarithmically many rounds
     follow. Self loops and null ends are ignored; an empty table gives an empty table.
     """
     kind = dict(edges.dtypes)["a"]
@@ -22,17 +22,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     size = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     while size[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = materialize(large, "edges")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+        lower = materialize(down.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = down.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = small.unionByName(lower.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         after = materialize(small, "edges")
         grown = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        discard(now)
-        discard(large)
+        for done in (now, large, least, lower):
+            discard(done)
         now, same = after, tuple(grown) == tuple(size)
         size = grown
         if same:
