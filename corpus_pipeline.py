@@ -25,8 +25,9 @@ QUALITY_THRESHOLD = 0.3
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold."""
-    judged = judge_quality(docs, table(spark, sf_dir, "labels"), threshold=QUALITY_THRESHOLD)
-    return judged.filter(F.col("predicted") == 1).select(*docs.columns)
+    own = docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c in ("score", "predicted")})
+    judged = judge_quality(own, table(spark, sf_dir, "labels"), threshold=QUALITY_THRESHOLD)
+    return judged.filter(F.col("predicted") == 1).select(*own.columns).toDF(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +48,13 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as its source's target asks, ``copy`` counting from 0.
 
-    Rows with one id are taken alike; the mix is decided from ids, sources and word counts.
+    Rows with one id are taken alike; the mix is decided from ids, sources and word counts. If the
+    documents have a column ``copy``, the count takes its place in the last column as ``copy_number``.
     """
-    mixed = mix_documents(docs).filter("repeats > 0").groupBy("doc_id").agg(F.max("repeats").alias("repeats"))
-    copies = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["doc_id"])).drop(mixed["doc_id"])
-    return copies.withColumn("copy", F.explode(F.expr("sequence(0, repeats - 1)"))).drop("repeats")
+    mixed = mix_documents(docs).filter("repeats > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("repeats").alias("__repeats"))
+    copies = docs.join(materialize(mixed, "repeats"), docs["doc_id"].eqNullSafe(F.col("__id")))
+    number = F.explode(F.expr("sequence(0, __repeats - 1)")).alias("copy_number" if "copy" in docs.columns else "copy")
+    return copies.select(*docs.columns, number)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
