@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import expr as X
 from ..functions.lexing import LANGUAGES, comments, declared_modules, fenced_blocks, imported, markdown_comments
+from ..functions.regions import anchored_region, headings, regions
 from ..operators import edges, prefix, resolve, tokens
 from ..sources.files import Notation, named, readable
 
@@ -98,6 +101,8 @@ def read_block(body: str) -> dict:
         return value
 
     raw = check(plain(seen) if seen is not None else None, _BLOCK, ("kind",), "block")
+    if empty := sorted(k for k in ("invariants", "hazards") if raw.get(k) == []):
+        raise Refused(f"{empty[0]} is an empty list; leave it out")
     if raw["kind"] not in _KINDS:
         raise Refused(f"unknown kind {raw['kind']!r}")
     if raw.get("purpose") is not None and len(raw["purpose"]) > 200:
@@ -109,6 +114,10 @@ def read_block(body: str) -> dict:
         {"kind": kind, "text": c["claim"], "anchor": c["anchor"], "enforced_by": c.get("enforced_by")}
         for kind, group in (("invariant", "invariants"), ("hazard", "hazards")) for c in (check(c, _CLAIM, ("claim", "anchor"), "claim") for c in raw.get(group) or [])
     ]
+    for c in claims:
+        named = c["anchor"].split("#")
+        if not re.match(r"\S+ [a-z0-9]+(-[a-z0-9]+)*\Z", c["anchor"]) and not (len(named) == 2 and all(named)):
+            raise Refused(f"anchor {c['anchor']!r} is neither a landmark nor <path>#<symbol>")
     links = check(raw.get("edges") or {}, _EDGES, (), "edges")
     allow = [check(a, _ALLOW, ("edge", "reason"), "allow") for a in links.get("allow") or []]
     budget = raw.get("budget")
@@ -225,6 +234,52 @@ def file_references(files: DataFrame, texts: DataFrame) -> DataFrame:
     return every.withColumnRenamed("file", "from_file")
 
 
+def definitions(texts: DataFrame) -> DataFrame:
+    """``path, symbol, line``: what ``<path>#<symbol>`` can name: definitions of code, headings of markdown by their slugs' prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, ext, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if ext in LANGUAGES:
+                    rows += [(path, r.name, r.line, False) for r in regions(text, LANGUAGES[ext]) if LANGUAGES[ext] != "elixir"]
+                else:
+                    rows += [(path, title, line, True) for line, _, title in headings(text)]
+            if rows:
+                kinds = (pa.string(), pa.string(), pa.int32(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "symbol", "line", "heading"])
+
+    found = texts.filter(F.col("ext").isin(*LANGUAGES, "md", "markdown")).select("path", "ext", "text").mapInArrow(run, "path string, symbol string, line int, heading boolean")
+    code = found.filter(~F.col("heading")).select("path", "symbol", "line")
+    slugs = found.filter("heading").select("path", X.heading_slug(F.col("symbol")).alias("slug"), "line")
+    return code.unionByName(tokens.slug_prefixes(slugs).select("path", "symbol", "line"))
+
+
+def anchor_digests(anchors: DataFrame, versions: DataFrame, notation: Notation) -> DataFrame:
+    """The rows of ``anchors(file, anchor, at_line, ...)`` joined with ``versions(file, text, ...)``, with ``region, digest``.
+
+    Both are null where the language has no lexer, or where the landmark is not in that version.
+    ``at_line`` (null: look it up) is the landmark's line. Each version is parsed once for each of
+    its file's anchors, in the task that holds it.
+    """
+    both = versions.join(anchors, "file")
+    others = [f for f in both.schema.fields if f.name not in ("text",)]
+    names = [f.name for f in others]
+    places = [names.index(c) for c in ("file", "anchor", "at_line")]
+    schema = StructType([*others, StructField("region", StringType()), StructField("digest", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [batch.column(n) for n in names]
+            found = [
+                (anchored_region(text, file, anchor, notation.landmark, line) if text is not None else None) or (None, None)
+                for file, anchor, line, text in zip(*(kept[k].to_pylist() for k in places), batch.column("text").to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([r for r, _ in found], pa.string()), pa.array([d for _, d in found], pa.string())], [*names, "region", "digest"])
+
+    return both.select(*names, "text").mapInArrow(run, schema)
+
+
 def compile_graph(files: DataFrame, notation: Notation = Notation()) -> GraphTables:
     """All tables of the graph that ``files(path, content)`` declare and show.
 
@@ -234,6 +289,7 @@ def compile_graph(files: DataFrame, notation: Notation = Notation()) -> GraphTab
     texts = readable(files).cache()
     blocks = authored_blocks(files, notation)
     own_dir = X.parent_dir(F.col("path"))
+    blocks = refuse_equal_slugs(blocks, notation)
     lower = blocks.filter("error IS NULL").withColumn("dir", own_dir).withColumn("node", X.node_id(F.coalesce("id", F.when(own_dir == "", F.lit(X.SYSTEM_ID)).otherwise(own_dir))))
     lower = lower.cache()
     twice = lower.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("n"), F.min("path").alias("path")).filter("n > 1")
@@ -260,19 +316,100 @@ def compile_graph(files: DataFrame, notation: Notation = Notation()) -> GraphTab
     refs = refs.filter(X.is_claim_address(F.col("addr")))
     landmarks = prefix.territory_owner(tokens.landmark_winners(occ, "file", "line"), nodes, path="file", fallback=X.SYSTEM_ID).select("slug", "file", "line", F.col("owner").alias("node"))
 
-    placed = claims.filter(F.startswith("anchor", F.lit(notation.landmark))).select("node_id", "slug").distinct()
-    placed = placed.join(landmarks.select("slug", F.concat_ws(":", "file", "line").alias("resolved")), "slug")
-    claims = claims.join(placed, ["node_id", "slug"], "left")
+    is_mark = F.startswith("anchor", F.lit(notation.landmark))
+    marks = claims.filter(is_mark).join(landmarks.select("slug", F.concat_ws(":", "file", "line").alias("resolved")), "slug", "left")
+    marks = marks.withColumns({"n": F.when(F.col("resolved").isNotNull(), 1).otherwise(0).cast("long"), "resolution": F.when(F.col("resolved").isNotNull(), "resolved").otherwise("unresolved")})
+    split = F.split("anchor", "#", 2)
+    named_ = claims.filter(~is_mark).withColumns({"path": X.normalize_id(split[0]), "symbol": split[1]})
+    known = definitions(texts).join(named_.select("path", "symbol").distinct(), ["path", "symbol"], "left_semi")
+    named_ = resolve.by_cardinality(named_, known, ["path", "symbol"], "line").withColumn("resolved", F.when(F.col("line").isNotNull(), F.concat_ws(":", "path", "line")))
+    claims = marks.select(*claims.columns, "resolved", "n", "resolution").unionByName(named_.select(*claims.columns, "resolved", "n", "resolution"))
 
     attributed = edges.attribute_refs(file_references(files, texts), nodes).select("from_id", "to_id", F.col("from_file").alias("file"), "line", "source").distinct()
     records = resolve.decision_records(files.select("path")).join(texts.select("path", resolve.record_status(F.col("text")).alias("status")), "path")
     return GraphTables(nodes, errors, claims, depends, decided, allow, occ, landmarks, refs, attributed, prefix.contains_edges(nodes), records.select("id", "number", "status", "path"))
 
 
+def refuse_equal_slugs(blocks: DataFrame, notation: Notation) -> DataFrame:
+    """``blocks`` with an ``error`` where two claims of one block derive the same slug; within each row, no join."""
+    slugs = F.transform("claims", lambda c: X.derive_slug(c["anchor"], notation.landmark))
+    twice = F.filter(slugs, lambda s: F.size(F.filter(slugs, lambda t: t == s)) > 1)
+    said = F.concat(F.lit("two claims derive the same slug: "), F.array_min(twice))
+    return blocks.withColumn("error", F.coalesce("error", F.when(F.size(twice) > 0, said)))
+
+
+def stamp_claims(graph: GraphTables, texts: DataFrame, head: Column | str, notation: Notation = Notation()) -> DataFrame:
+    """``node_id, slug, verified_sha, verified_digest, region`` for each resolved claim: the stamp that a build at ``head`` gives.
+
+    The digest is null where the anchored file's language has no lexer.
+    """
+    placed = graph.claims.filter("resolved IS NOT NULL").select("node_id", "slug", "anchor", F.regexp_extract("resolved", r"(?s)\A(.*):([0-9]+)\z", 1).alias("file"), F.regexp_extract("resolved", r"([0-9]+)\z", 1).cast("int").alias("at_line"))
+    made = anchor_digests(placed, texts.select(F.col("path").alias("file"), "text"), notation)
+    sha = F.lit(head) if isinstance(head, str) else head
+    return made.select("node_id", "slug", sha.alias("verified_sha"), F.col("digest").alias("verified_digest"), "region")
+
+
+def lock_rows(graph: GraphTables, stamps: DataFrame | None = None) -> DataFrame:
+    """``part, key, value``: the graph as keyed JSON rows, one for each node, landmark and record; made by joins on the node.
+
+    Lists are put together per node; nothing is collected. Written as text in order of (part, key)
+    it is a stored graph; ``read_lock`` reads it back.
+    """
+    claims = graph.claims if stamps is None else graph.claims.join(stamps.select("node_id", "slug", F.struct(F.col("verified_sha").alias("sha"), F.col("verified_digest").alias("digest")).alias("verified")), ["node_id", "slug"], "left")
+    if stamps is None:
+        claims = claims.withColumn("verified", F.lit(None).cast("struct<sha:string,digest:string>"))
+    listed = lambda frame, key, name, value: frame.groupBy(F.col(key).alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", value.alias("v")))), lambda r: r["v"]).alias(name))
+    sets = lambda frame, key, name, value: frame.groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_set(value)).alias(name))
+    claim = F.struct("anchor", "enforced_by", F.col("slug").alias("id"), "kind", "resolved", "text", "verified")
+    per = [
+        sets(graph.contains, "parent", "contains", F.col("child")), listed(graph.depends, "node_id", "depends", F.col("target")), listed(graph.decided_by, "node_id", "decided_by", F.col("token")),
+        listed(graph.allow, "node_id", "allow", F.struct("edge", "reason")), sets(graph.imports, "from_id", "imports", F.col("to_id")), listed(claims, "node_id", "claims", claim),
+    ]
+    nodes = graph.nodes
+    for frame in per:
+        nodes = nodes.join(frame, "id", "left")
+    empty = lambda c: F.coalesce(c, F.expr("array()").cast(dict(nodes.dtypes)[c]))
+    commands = F.coalesce("commands", F.expr("map()").cast("map<string,string>"))
+    node = F.struct(
+        "budget", empty("claims").alias("claims"), commands.alias("commands"), empty("contains").alias("contains"),
+        F.struct(empty("allow").alias("allow"), empty("decided_by").alias("decided_by"), empty("depends").alias("depends")).alias("declared"),
+        F.struct(empty("imports").alias("imports")).alias("extracted"), "id", "kind", "purpose", "source",
+    )
+    text = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
+    return (
+        nodes.select(F.lit("nodes").alias("part"), F.col("id").alias("key"), text(node).alias("value"))
+        .unionByName(graph.landmarks.select(F.lit("landmarks").alias("part"), F.col("slug").alias("key"), text(F.struct("file", "line", "node")).alias("value")))
+        .unionByName(graph.records.groupBy(F.col("id").alias("key")).agg(F.min(F.struct("path", "number", "status")).alias("r")).select(F.lit("records").alias("part"), "key", text(F.struct(F.col("r.number").cast("int").alias("number"), "r.path", "r.status")).alias("value")))
+    )
+
+
+def write_lock(rows: DataFrame, path: str, *, version: int = 3) -> None:
+    """``lock_rows`` as JSON lines in order of (part, key), range-partitioned, after one line with the version."""
+    spark = rows.sparkSession
+    head = spark.range(1).select(F.lit("").alias("part"), F.lit("version").alias("key"), F.lit(str(version)).alias("value"))
+    rows.unionByName(head).repartitionByRange("part", "key").sortWithinPartitions("part", "key").select(F.to_json(F.struct("part", "key", "value")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_lock(spark: SparkSession, path: str, *, version: int = 3) -> DataFrame:
+    """``part, key, value`` of a stored graph. Another version is refused before anything is read of it."""
+    rows = spark.read.text(path).select(F.from_json("value", "part string, key string, value string").alias("r")).select("r.*")
+    found = rows.filter("part = '' AND key = 'version'").first()
+    if found is None or found["value"] != str(version):
+        raise Refused(f"stored graph has version {found['value'] if found else None!r}, not {version}: build it again")
+    return rows.filter("part <> ''")
+
+
+def committed_stamps(rows: DataFrame) -> DataFrame:
+    """``node_id, slug, verified_sha, verified_digest`` of a stored graph's stamped claims."""
+    node = F.from_json("value", "id string, claims array<struct<id:string,verified:struct<sha:string,digest:string>>>")
+    claims = rows.filter("part = 'nodes'").select(node.alias("n")).select(F.col("n.id").alias("node_id"), F.explode("n.claims").alias("c"))
+    return claims.filter("c.verified IS NOT NULL").select("node_id", F.col("c.id").alias("slug"), F.col("c.verified.sha").alias("verified_sha"), F.col("c.verified.digest").alias("verified_digest"))
+
+
 def lock_text(tables: GraphTables, *, version: int = 3) -> str:
-    """The graph as one canonical JSON text: sorted keys, two spaces, whole numbers, one last newline.
+    """The graph as one canonical JSON text for one small repository: sorted keys, two spaces, one last newline.
 
-    A graph file holds declarations, not data, so its rows come to the driver here.
+    Its rows come to the driver here; ``write_lock`` stores a graph of any size.
     """
     by = lambda frame, key: _grouped([r.asDict(recursive=True) for r in frame.collect()], key)
     claims, depends, decided, allow = by(tables.claims, "node_id"), by(tables.depends, "node_id"), by(tables.decided_by, "node_id"), by(tables.allow, "node_id")

@@ -148,8 +148,7 @@ def chain_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def worst_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = table(spark, sf_dir, "documents").groupBy(F.concat_ws("/", "source", "lang").alias("id")).agg(F.sum(F.octet_length("text")).alias("chain_bytes"))
-    ranked = sizes.withColumn("ord", F.row_number().over(Window.orderBy("id")))
-    return budget.worst_chain(ranked, 32768)
+    return budget.worst_chain(sizes, 32768)
 
 
 @query(

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 
 def worst_chain(chains: DataFrame, cap: int) -> DataFrame:
-    """The one chain ``(id, chain_bytes, ord)`` that is furthest over ``cap``; the first of equals; none if all fit."""
+    """The one chain ``(id, chain_bytes)`` that is furthest over ``cap``; of equals the first id; none if all fit.
+
+    One aggregate row per task, then one; nothing is ordered.
+    """
     over = chains.filter(F.col("chain_bytes") > cap)
-    best = over.agg(F.max_by(F.struct("id", "chain_bytes"), F.struct("chain_bytes", (-F.col("ord")).alias("o"))).alias("w"))
+    best = over.groupBy().agg(F.min_by(F.struct("id", "chain_bytes"), F.struct((-F.col("chain_bytes")).alias("n"), "id")).alias("w"))
     return best.filter("w IS NOT NULL").select("w.*")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,13 +19,17 @@ def thresholds(claims: DataFrame, overrides: DataFrame, *, key: str, default: in
 def churn(claims: DataFrame, commits: DataFrame, *, key: str = "file") -> DataFrame:
     """``claims(key, mark, threshold)`` with ``n_later`` and ``state``.
 
-    Commits ``(key, seq)`` after a claim's mark are counted (the counts are per claim; the join is on
-    the file). More than the threshold is stale; a null mark means that history is unavailable, a
-    null threshold that the check is off.
+    Commits ``(key, seq)`` after a claim's mark are counted by one running count per file, in which
+    marks are read off: commits and distinct marks are one row each, never pairs. More than the
+    threshold is stale; a null mark means that history is unavailable, a null threshold that the
+    check is off.
     """
-    marked = claims.filter("mark IS NOT NULL").select(key, "mark").distinct()
-    later = commits.join(marked, key).filter(F.col("seq") > F.col("mark")).groupBy(key, "mark").agg(F.count("*").alias("n_later"))
-    joined = claims.join(later, [key, "mark"], "left").withColumn("n_later", F.coalesce("n_later", F.lit(0)))
+    ticks = commits.groupBy(key, F.col("seq").alias("__at")).agg(F.count("*").alias("__n"))
+    marks = claims.filter("mark IS NOT NULL").select(key, F.col("mark").alias("__at")).distinct()
+    line = ticks.withColumn("__mark", F.lit(False)).unionByName(marks.withColumns({"__n": F.lit(0).cast("long"), "__mark": F.lit(True)}))
+    later = Window.partitionBy(key).orderBy(F.desc("__at"), F.desc("__mark")).rowsBetween(Window.unboundedPreceding, -1)
+    counted = line.withColumn("n_later", F.coalesce(F.sum("__n").over(later), F.lit(0))).filter("__mark").select(key, F.col("__at").alias("mark"), "n_later")
+    joined = claims.join(counted, [key, "mark"], "left").withColumn("n_later", F.coalesce("n_later", F.lit(0)))
     state = (
         F.when(F.col("threshold").isNull(), "off").when(F.col("mark").isNull(), "history-unavailable")
         .when(F.col("n_later") > F.col("threshold"), "stale").otherwise("fresh")
@@ -36,11 +40,41 @@ def churn(claims: DataFrame, commits: DataFrame, *, key: str = "file") -> DataFr
 def staling_commit(claims: DataFrame, versions: DataFrame, *, key: str = "file") -> DataFrame:
     """``claims(key, mark, digest)`` with the oldest later version whose digest differs: ``staled_by``.
 
-    ``versions(key, seq, digest)``; a version without a digest (region gone) differs from any.
+    ``versions(key, seq, digest)``; a version without a digest (region gone) differs from any. Per
+    file, versions and marks lie on one line. A mark takes the next version after it; if that one has
+    the claim's digest, the next version that differs from its own predecessor is the answer. Both
+    are read off by running values, so no claim meets more than one version.
     """
-    after = versions.select(key, "seq", F.col("digest").alias("__then")).join(claims.select(key, "mark", "digest").distinct(), key)
-    first = after.filter((F.col("seq") > F.col("mark")) & ~F.col("__then").eqNullSafe(F.col("digest"))).groupBy(key, "mark", "digest").agg(F.min("seq").alias("staled_by"))
-    return claims.join(first, [key, "mark", "digest"], "left")
+    back = Window.partitionBy(key).orderBy(F.desc("__at"), F.desc("__mark"))
+    before = back.rowsBetween(Window.unboundedPreceding, -1)
+    steps = versions.select(key, F.col("seq").alias("__at"), F.col("digest").alias("__then"), F.lit(False).alias("__mark"))
+    forth = Window.partitionBy(key).orderBy("__at")
+    steps = steps.withColumn("__turn", F.when(~F.col("__then").eqNullSafe(F.lag("__then").over(forth)), F.col("__at")))
+    kind, digest = dict(steps.dtypes)["__at"], dict(steps.dtypes)["__then"]
+    marks = claims.filter("mark IS NOT NULL").select(key, F.col("mark").cast(kind).alias("__at"), F.lit(None).cast(digest).alias("__then"), F.lit(True).alias("__mark"), F.lit(None).cast(kind).alias("__turn")).distinct()
+    line = steps.unionByName(marks)
+    # On the way back the last turn seen is the next one; a version's own turn is not its next.
+    line = line.withColumn("__next", F.last("__turn", ignorenulls=True).over(before))
+    version = F.when(~F.col("__mark"), F.struct(F.col("__at").alias("at"), F.col("__then").alias("then"), F.col("__next").alias("next")))
+    line = line.withColumn("__v", F.last(version, ignorenulls=True).over(before)).filter("__mark").select(key, F.col("__at").cast(dict(claims.dtypes)["mark"]).alias("mark"), "__v")
+    joined = claims.join(line, [key, "mark"], "left")
+    staled = F.when(F.col("__v.then").eqNullSafe(F.col("digest")) & F.col("digest").isNotNull(), F.col("__v.next")).otherwise(F.col("__v.at"))
+    return joined.withColumn("staled_by", staled).drop("__v")
+
+
+def blame(claims: DataFrame) -> DataFrame:
+    """``claims`` with ``outcome``: unverified, unresolved, stale, fresh, history-unavailable or churn.
+
+    Columns read: ``verified_sha, verified_digest, resolved, current_digest, mark``. A claim that was
+    never stamped is unverified; one whose anchor is gone unresolved; one with a digest is stale or
+    fresh by it; the others are counted by commits, if their mark is in the history.
+    """
+    return claims.withColumn(
+        "outcome",
+        F.when(F.col("verified_sha").isNull(), "unverified").when(F.col("resolved").isNull(), "unresolved")
+        .when(F.col("verified_digest").isNotNull(), F.when(F.col("current_digest").isNotNull() & (F.col("current_digest") != F.col("verified_digest")), "stale").otherwise("fresh"))
+        .when(F.col("mark").isNull(), "history-unavailable").otherwise("churn"),
+    )
 
 
 def digest_freshness(claims: DataFrame, current: DataFrame, *, key: str = "file") -> DataFrame:

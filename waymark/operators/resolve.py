@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
@@ -20,12 +20,12 @@ def first_declarer(declarations: DataFrame, key: str, path: str, *keep: str) ->
     return declarations.filter(F.col(key).isNotNull()).groupBy(key).agg(best).select(key, "m.d.*")
 
 
-def by_cardinality(wanted: DataFrame, known: DataFrame, key: str, *place: str) -> DataFrame:
+def by_cardinality(wanted: DataFrame, known: DataFrame, key: str | list[str], *place: str) -> DataFrame:
     """``wanted`` with ``n``, ``resolution`` (resolved, unresolved, ambiguous) and the one place found.
 
     ``known`` is counted per key before the join, so a frequent key costs one row.
     """
-    counted = known.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("p"))
+    counted = known.groupBy(*([key] if isinstance(key, str) else key)).agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("p"))
     joined = wanted.join(counted, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     state = F.when(F.col("n") == 1, "resolved").when(F.col("n") == 0, "unresolved").otherwise("ambiguous")
     return joined.withColumn("resolution", state).withColumns({c: F.when(F.col("n") == 1, F.col(f"p.{c}")) for c in place}).drop("p")
@@ -93,6 +93,32 @@ def claim_lookup(addresses: DataFrame, claims: DataFrame) -> DataFrame:
     return found.unionByName(plain)
 
 
+def node_lookup(queries: DataFrame, nodes: DataFrame, *, most: int = 20) -> DataFrame:
+    """``query, outcome, id, candidates`` for each distinct query: a node by its id, or by its last segment if one node ends so.
+
+    ``nodes(id)``. Outcomes: found, ambiguous, unknown. ``candidates`` are the ids that an ambiguous
+    query abbreviates, or, for an unknown one, ids with a segment that holds the query's last segment as
+    a whole or up to a dash, dot or underscore: the first ``most`` in order, as only a person reads them.
+    All joins are on equal keys; segments are exploded, never compared pair by pair.
+    """
+    asked = queries.select("query").distinct().withColumn("__norm", F.coalesce(X.normalize_id(F.col("query")), F.col("query")))
+    full = nodes.select(F.col("id").alias("__norm"), F.col("id").alias("__full")).distinct()
+    ends = nodes.select(X.last_segment(F.col("id")).alias("query"), "id").distinct()
+    # At most a list's worth of ids per key meets in one place: the first ``most`` by order of each partial list.
+    first = lambda c: F.slice(F.array_sort(F.collect_set(c)), 1, most)
+    counted = ends.groupBy("query").agg(F.count("*").alias("__n"), F.min("id").alias("__only"))
+    placed = asked.join(full, "__norm", "left").join(counted, "query", "left")
+    outcome = F.when(F.col("__full").isNotNull() | (F.col("__n") == 1), "found").when(F.col("__n") > 1, "ambiguous").otherwise("unknown")
+    done = placed.select("query", outcome.alias("outcome"), F.coalesce("__full", F.when(F.col("__n") == 1, F.col("__only"))).alias("id"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("id"))
+    many = done.filter("outcome = 'ambiguous'").select("query").join(ends, "query").withColumn("__r", rank).filter(F.col("__r") <= most)
+    parts = nodes.select("id", F.explode(F.array_distinct(F.concat(X.segments(F.col("id")), F.flatten(F.transform(X.segments(F.col("id")), lambda s: F.split(s, "[-._]")))))).alias("__part")).filter("__part <> ''")
+    near = done.filter("outcome = 'unknown'").select("query", X.last_segment(F.col("query")).alias("__part")).join(parts, "__part").select("query", "id").distinct()
+    near = near.withColumn("__r", rank).filter(F.col("__r") <= most)
+    listed = many.select("query", F.col("id").alias("__id")).unionByName(near.select("query", F.col("id").alias("__id"))).groupBy("query").agg(first("__id").alias("candidates"))
+    return done.join(listed, "query", "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))
+
+
 def short_addresses(claims: DataFrame) -> DataFrame:
     """``node_id, slug, address``: the last segment stands for a node where no other node ends so."""
     nodes = claims.select("node_id").distinct().withColumn("__last", X.last_segment(F.col("node_id")))

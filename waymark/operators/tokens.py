@@ -56,13 +56,19 @@ def html_comments(docs: DataFrame, text: str, *keep: str) -> DataFrame:
     return placed.select(*keep, "ord", (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line"), "comment")
 
 
+def slug_prefixes(headings: DataFrame) -> DataFrame:
+    """``path, symbol, line``: each symbol that names a heading ``(path, slug, line)``: its slug, or what ends before one of its dashes."""
+    words = F.split("slug", "-", -1)
+    symbols = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, F.lit(1), n), "-"))
+    return headings.filter("slug <> ''").select("path", "line", F.explode(symbols).alias("symbol"))
+
+
 def resolve_headings(headings: DataFrame, wanted: DataFrame) -> DataFrame:
     """``path, symbol, n, line``: headings ``(path, slug, line)`` that ``wanted(path, symbol)`` names.
 
-    A heading fits if its slug is the symbol or begins with the symbol and a dash. ``n`` tells
-    unresolved (0), resolved (1) and ambiguous (more) apart.
+    A heading fits if its slug is the symbol or begins with the symbol and a dash: an equi-join on
+    the slugs' dash prefixes, counted first. ``n`` tells unresolved (0), resolved (1) and ambiguous
+    (more) apart.
     """
-    asked = wanted.distinct()
-    fit = asked.join(headings, "path").filter((F.col("slug") == F.col("symbol")) | F.startswith("slug", F.concat("symbol", F.lit("-"))))
-    found = fit.groupBy("path", "symbol").agg(F.count("*").alias("n"), F.min("line").alias("line"))
-    return asked.join(found, ["path", "symbol"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    found = slug_prefixes(headings).groupBy("path", "symbol").agg(F.count("*").alias("n"), F.min("line").alias("line"))
+    return wanted.distinct().join(found, ["path", "symbol"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
