@@ -44,7 +44,8 @@ def repeated_spans(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id")
     starts and the text's compressed words.
 
     1. Seed: in each window the smallest hash among its runs of SEED words is its anchor. Equal
-       texts are one from here on, by a 128-bit key.
+       texts are one from here on, by a 128-bit key: one row of each goes on, by its row number, so
+       later joins have no key that copies share.
     2. Anchors that occur once are dropped (counted with map-side sums); the others are joined
        back to their texts: a window that repeats has an anchor that repeats.
     3. Extend: around each anchor left, the windows it anchors are hashed (96 bits) and counted over
@@ -56,56 +57,50 @@ def repeated_spans(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id")
     kind = dict(docs.dtypes)[id_col]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in rows_of(batches):
-            made: list[list] = [[] for _ in range(4)]
-            for raw in batch.column(3).to_pylist():
+            made: list[list] = [[] for _ in range(5)]
+            for raw in batch.column(4).to_pylist():
                 words = raw.split()
+                joined = b" ".join(words)
                 hashes = word_hashes(words)
                 at = np.unique(anchor_of_windows(hashes, window, SEED))
                 seeds = run_hashes(hashes, SEED, _BASES[0])[at] if len(at) else np.empty(0, np.uint64)
-                for column, value in zip(made, (len(words), hashlib.sha256(b" ".join(words)).hexdigest(), seeds.view(np.int64), at.astype(np.int32)), strict=True):
+                for column, value in zip(made, (len(words), hashlib.sha256(joined).hexdigest(), seeds.view(np.int64), at.astype(np.int32), squeeze(joined) if len(at) else None), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(made[0], pa.int64()), pa.array(made[1]), pa.array(made[2], pa.list_(pa.int64())), pa.array(made[3], pa.list_(pa.int32()))],
-                [id_col, "k1", "k2", "n_words", "whole_sha256", "seeds", "places"],
+                [*batch.columns[:4], pa.array(made[0], pa.int64()), pa.array(made[1]), pa.array(made[2], pa.list_(pa.int64())), pa.array(made[3], pa.list_(pa.int32())), pa.array(made[4], pa.binary())],
+                [id_col, "row", "k1", "k2", "n_words", "whole_sha256", "seeds", "places", "packed"],
             )
 
-    keyed = docs.select(F.col(id_col), text_bytes().alias("text")).select(id_col, *text_key(F.col("text")), "text")
+    keyed = docs.select(F.col(id_col), text_bytes().alias("text")).select(id_col, F.monotonically_increasing_id().alias("row"), *text_key(F.col("text")), "text")
     parsed = materialize(
-        keyed.mapInArrow(parse, f"`{id_col}` {kind}, k1 long, k2 long, n_words long, whole_sha256 string, seeds array<long>, places array<int>"), "parsed"
+        keyed.mapInArrow(parse, f"`{id_col}` {kind}, row long, k1 long, k2 long, n_words long, whole_sha256 string, seeds array<long>, places array<int>, packed binary"), "parsed"
     )
-    texts = parsed.filter(F.size("seeds") > 0).groupBy("k1", "k2").agg(F.first("seeds").alias("seeds"), F.first("places").alias("places"))
-    anchors = texts.select("k1", "k2", F.explode(F.arrays_zip("seeds", "places")).alias("a")).select("k1", "k2", F.col("a.seeds").alias("seed"), F.col("a.places").alias("place"))
+    with_seeds = parsed.filter(F.size("seeds") > 0)
+    texts = with_seeds.groupBy("k1", "k2").agg(F.min_by(F.struct("row", "seeds", "places"), "row").alias("t")).select("t.*")
+    anchors = texts.select("row", F.inline(F.arrays_zip("seeds", "places"))).withColumnsRenamed({"seeds": "seed", "places": "place"})
     repeated = materialize(anchors.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"), "seeds")
-    marks = materialize(anchors.join(repeated, "seed").groupBy("k1", "k2").agg(F.collect_list("place").alias("places")), "marks")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for batch in rows_of(batches):
-            packed = [squeeze(b" ".join(raw.split())) for raw in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(packed, pa.binary())], ["k1", "k2", "packed"])
-
-    packed = keyed.select("k1", "k2", "text").mapInArrow(pack, "k1 long, k2 long, packed binary")
-    sought = materialize(packed.join(marks, ["k1", "k2"]).dropDuplicates(["k1", "k2"]), "sought")
+    marks = materialize(anchors.join(repeated, "seed").groupBy("row").agg(F.collect_list("place").alias("places")), "marks")
+    sought = materialize(with_seeds.select("row", "k1", "k2", "packed").join(marks, "row"), "sought")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
-        names = ["w1", "w2", "k1", "k2", "start"]
+        names = ["w1", "w2", "row", "start"]
         for batch in rows_of(batches, 1 << 20):
-            k1, k2 = (np.asarray(c) for c in batch.columns[:2])
             out: list[list[np.ndarray]] = [[] for _ in names]
-            for row, (raw, places) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3), strict=True)):
+            for row, raw, places in zip(np.asarray(batch.column(0)), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 hashes = word_hashes(expand(raw).split())
                 starts = _marked_windows(anchor_of_windows(hashes, window, SEED), places.values.to_numpy())
                 first, second = (run_hashes(hashes, window, b)[starts] for b in _BASES)
-                for column, value in zip(out, (first.view(np.int64), (second >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(starts), k1[row]), np.full(len(starts), k2[row]), starts.astype(np.int32)), strict=True):
+                for column, value in zip(out, (first.view(np.int64), (second >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(starts), row), starts.astype(np.int32)), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names)
 
-    windows = sought.select("k1", "k2", "packed", "places").mapInArrow(extend, "w1 long, w2 int, k1 long, k2 long, start int")
+    windows = sought.select("row", "packed", "places").mapInArrow(extend, "w1 long, w2 int, row long, start int")
     more = materialize(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"), "windows")
-    starts = windows.join(more, ["w1", "w2"]).groupBy("k1", "k2").agg(F.sort_array(F.collect_list("start")).alias("starts"))
-    found = materialize(sought.select("k1", "k2", "packed").join(starts, ["k1", "k2"]), "repeats")
+    starts = windows.join(more, ["w1", "w2"]).groupBy("row").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+    found = materialize(sought.select("row", "k1", "k2", "packed").join(starts, "row"), "repeats")
     return parsed.select(id_col, "k1", "k2", "n_words", "whole_sha256"), found
 
 
