@@ -135,6 +135,20 @@ def short_sha(sha: Column) -> Column:
     return F.substring(sha, 1, 7)
 
 
+def short_digest(digest: Column) -> Column:
+    return F.concat(F.substring(digest, 1, 4), F.lit("…"))
+
+
+def relativize(file: Column, dir_: Column) -> Column:
+    """A path below a directory without it; another path as it is."""
+    return F.when((dir_ != "") & file.startswith(F.concat(dir_, F.lit("/"))), F.substring(file, F.length(dir_) + 2, F.length(file))).otherwise(file)
+
+
+def rule_slug(id_: Column) -> Column:
+    """A node id as the stem of a file name."""
+    return F.when(id_ == SYSTEM_ID, F.lit("root")).otherwise(F.replace(id_, F.lit("/"), F.lit("-")))
+
+
 def glob_regex(glob: str, *, across: bool) -> str:
     """A whole-string pattern for ``*`` and ``?``; ``across`` lets them match a slash."""
     import re

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import budget, edges, prefix, resolve
+from ..operators import budget, commands, edges, history, prefix, resolve
 from ..sources.files import Notation
-from .graph import GraphTables
+from .graph import GraphTables, stamp_claims
 
-CLASSES = ("referential", "structural", "exhaustiveness", "budget", "freshness")
+# The classes in their order. The texts of findings below are fixed forms, too.
+CLASSES = ("referential", "structural", "exhaustiveness", "budget", "freshness", "liveness")
 _LOCATIONS = "array<struct<file:string,line:int,text:string>>"
 
 
@@ -27,6 +30,12 @@ def referential(graph: GraphTables, tracked: DataFrame, notation: Notation) -> D
     say = F.concat
     open_ = graph.claims.filter(F.startswith("anchor", F.lit(notation.landmark)) & F.col("resolved").isNull())
     unresolved = _finding(open_, "referential", say(F.lit("anchor "), "anchor", F.lit(f' unresolved (0 occurrences of "{notation.landmark}'), "slug", F.lit('")')), node=F.col("node_id"), detail=F.concat(F.lit("claim now unanchored: "), "text"))
+    symbol = graph.claims.filter(~F.startswith("anchor", F.lit(notation.landmark)))
+    path, name = F.substring_index("anchor", "#", 1), F.substring_index("anchor", "#", -1)
+    bad_path, none, several = X.normalize_id(path).isNull(), F.col("n") == 0, F.col("n") > 1
+    named = lambda what: say(F.lit("anchor "), "anchor", F.lit(f' {what} definitions of "'), name, F.lit('" in '), path)
+    why = F.when(bad_path, say(F.lit("anchor "), "anchor", F.lit(" unresolved ("), path, F.lit(" is not a repository-relative path)"))).when(none, say(named("unresolved (0"), F.lit(")"))).otherwise(say(named("ambiguous (>1"), F.lit(")")))
+    unnamed = _finding(symbol.filter(none | several), "referential", why, node=F.col("node_id"), detail=F.concat(F.lit("claim now unanchored: "), "text"))
     referenced = graph.claim_refs.select(F.substring_index("addr", "/", -1).alias("slug"))
     declared = graph.claims.filter(F.startswith("anchor", F.lit(notation.landmark))).select("slug")
     used = declared.union(referenced).distinct()
@@ -48,7 +57,7 @@ def referential(graph: GraphTables, tracked: DataFrame, notation: Notation) -> D
     why = F.when(F.col("outcome") == "ambiguous", " is an ambiguous abbreviation (matches multiple nodes)").otherwise(" resolves to no declared claim")
     dangling = _finding(lost, "referential", say(F.lit(notation.claim), "addr", why), locations=F.array(F.struct("file", "line", F.lit(None).cast("string"))))
     out = unresolved
-    for more in (ambiguous, undecided, duplicated, unguarded, dangling):
+    for more in (unnamed, ambiguous, undecided, duplicated, unguarded, dangling):
         out = out.unionByName(more)
     return out
 
@@ -82,20 +91,91 @@ def exhaustiveness(graph: GraphTables, tracked: DataFrame, *, depth: int = 1, ex
 def chain_budget(graph: GraphTables, texts: DataFrame, notation: Notation, *, cap: int = 32768) -> DataFrame:
     """The one chain of node files, from the root down, that is furthest over the cap."""
     docs = texts.filter(X.basename(F.col("path")) == notation.node_file).select(X.parent_dir(F.col("path")).alias("dir"), "text")
-    chains = prefix.chain_bytes(graph.nodes, docs).withColumn("ord", F.rank().over(_by_id()))
-    worst = budget.worst_chain(chains, cap)
+    worst = budget.worst_chain(prefix.chain_bytes(graph.nodes, docs), cap)
     return _finding(worst, "budget", F.concat(F.lit("root chain to "), "id", F.lit(" → "), X.kib(F.col("chain_bytes")), F.lit(f" > {cap // 1024} KiB cap")), node=F.col("id"), profile="codex")
 
 
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.orderBy("id")
+def token_budgets(graph: GraphTables, texts: DataFrame, notation: Notation, size: Column | None = None, *, root_cap: int = 2000) -> DataFrame:
+    """Node files over their declared budget, with their largest part, and a root file over its ceiling.
+
+    ``size`` measures ``text``; by default in words. Give a token count of one's own for exact tokens
+    (see ``functions.sizes.token_count``).
+    """
+    size = F.regexp_count("text", F.lit(r"\S+")) if size is None else size
+    parts = budget.file_parts(graph.nodes.select(F.col("source").alias("path")).join(texts, "path"), notation.fence)
+    sized = parts.withColumn("part_size", size.cast("long"))
+    whole = budget.largest_part(sized, "path", "part_size", "ord", "name").withColumnRenamed("total", "in_parts")
+    files = graph.nodes.select("id", "budget", F.col("source").alias("path")).join(texts.select("path", size.cast("long").alias("size")), "path")
+    over = files.filter((F.col("budget").isNotNull() & (F.col("size") > F.col("budget"))) | ((F.col("id") == X.SYSTEM_ID) & (F.col("size") > root_cap)))
+    both = over.join(whole, "path", "left")
+    n = lambda c: X.thousands(F.col(c))
+    own = both.filter(F.col("size") > F.col("budget"))
+    root = both.filter((F.col("id") == X.SYSTEM_ID) & (F.col("size") > root_cap))
+    by_node = _finding(own, "budget", F.concat("id", F.lit(" renders "), n("size"), F.lit(" tokens > declared budget "), n("budget")), node=F.col("id"), detail=F.concat(F.lit("largest contributor: "), "name", F.lit(" ("), n("part_size"), F.lit(" tokens)")), profile="node")
+    return by_node.unionByName(_finding(root, "budget", F.concat(F.lit("always-loaded set for "), "id", F.lit(" renders "), n("size"), F.lit(f" tokens > {root_cap:,}")), node=F.col("id"), profile="root"))
+
+
+def claim_states(graph: GraphTables, texts: DataFrame, stamps: DataFrame, commits: DataFrame, notation: Notation = Notation()) -> DataFrame:
+    """Each claim with its committed stamp, what it digests now, and its outcome as ``history.blame`` names it.
+
+    ``stamps(node_id, slug, verified_sha, verified_digest)``, ``commits(seq, sha, file, ...)``. Adds
+    ``file, region, current_digest, mark, n_later``: the commits to its file after the stamp's.
+    """
+    claims = graph.claims.select("node_id", "slug", "anchor", "enforced_by", "resolved", F.regexp_extract("resolved", r"(?s)\A(.*):[0-9]+\z", 1).alias("file"))
+    now = stamp_claims(graph, texts, "", notation).select("node_id", "slug", "region", F.col("verified_digest").alias("current_digest"))
+    marks = commits.select(F.col("sha").alias("verified_sha"), F.col("seq").alias("mark")).distinct()
+    known = stamps.select("node_id", "slug", "verified_sha", "verified_digest").join(marks, "verified_sha", "left")
+    joined = claims.join(known, ["node_id", "slug"], "left").join(now, ["node_id", "slug"], "left")
+    counted = history.churn(joined.withColumn("threshold", F.lit(0).cast("long")), commits.select("file", "seq")).drop("state", "threshold")
+    return history.blame(counted)
+
+
+def freshness(states: DataFrame, nodes: DataFrame, *, threshold: int | None = None, leash: int | None = None, overrides: DataFrame | None = None) -> DataFrame:
+    """Findings of ``claim_states``: regions whose digest changed, files that churned past a threshold, marks that history lacks.
+
+    Guarded claims (``enforced_by``) are not held to digests, and to ``leash`` instead of
+    ``threshold``; ``overrides(node_id, threshold)`` stand for both. Without a threshold churn is not looked at.
+    """
+    own = overrides if overrides is not None else states.sparkSession.createDataFrame([], "node_id string, threshold long")
+    limit = F.when(F.col("enforced_by").isNotNull(), F.lit(leash).cast("long")).otherwise(F.lit(threshold).cast("long"))
+    seen = states.filter("outcome IN ('stale', 'history-unavailable', 'churn')").join(own.select("node_id", F.col("threshold").alias("__own")), "node_id", "left")
+    seen = seen.withColumn("limit", F.coalesce("__own", limit))
+    address = resolve.short_addresses(seen.select("node_id", "slug").unionByName(nodes.select(F.col("id").alias("node_id"), F.lit(None).cast("string").alias("slug")))).filter("slug IS NOT NULL").distinct()
+    seen = seen.join(address, ["node_id", "slug"])
+    say = lambda f, *end: _finding(f, "freshness", F.concat(F.lit("claim "), "address", *end), node=F.col("node_id"), detail=F.concat(F.lit("verified at "), X.short_sha(F.col("verified_sha")), F.lit("; anchored in "), "file"))
+    drifted = say(seen.filter("outcome = 'stale' AND enforced_by IS NULL"), F.lit(" — digest of its region "), "region", F.lit(" changed"))
+    churned = say(seen.filter("outcome = 'churn' AND n_later > limit"), F.lit(" — anchored file changed in "), F.col("n_later").cast("string"), F.lit(" commits, past its leash "), F.col("limit").cast("string"))
+    lost = say(seen.filter("outcome = 'history-unavailable' AND limit IS NOT NULL"), F.lit(" — cannot verify freshness: history unavailable"))
+    return drifted.unionByName(churned).unionByName(lost)
+
+
+def liveness(graph: GraphTables, texts: DataFrame, tracked: DataFrame, *, programs: Sequence[str] = ()) -> DataFrame:
+    """Declared commands whose parts name no known program, tracked file or task of a root manifest. Nothing is run."""
+    parts = commands.command_parts(graph.nodes.select("id", F.explode("commands").alias("name", "command")))
+    tasks = commands.manifest_tasks(texts)
+    return _finding(
+        commands.unresolved(parts, tasks, tracked.select("path"), programs), "liveness",
+        F.concat(F.lit("command "), "name", F.lit(" does not resolve: "), "why"), node=F.col("id"), detail=F.concat(F.lit("in: "), "command"),
+    )
 
 
-def check(graph: GraphTables, files: DataFrame, texts: DataFrame, notation: Notation = Notation(), *, baseline: DataFrame | None = None, depth: int = 1, cap: int = 32768) -> DataFrame:
-    """All findings, in the order of the classes; none means that declarations and code agree."""
-    found = [referential(graph, files, notation), structural(graph, baseline), exhaustiveness(graph, files, depth=depth), chain_budget(graph, texts, notation, cap=cap)]
+def check(
+    graph: GraphTables, files: DataFrame, texts: DataFrame, notation: Notation = Notation(), *, baseline: DataFrame | None = None, depth: int = 1, cap: int = 32768, root_cap: int = 2000,
+    size: Column | None = None, stamps: DataFrame | None = None, commits: DataFrame | None = None, threshold: int | None = None, leash: int | None = None, overrides: DataFrame | None = None,
+    programs: Sequence[str] | None = None, only: Sequence[str] = CLASSES,
+) -> DataFrame:
+    """All findings, in the order of the classes; none means that declarations and code agree.
+
+    Freshness needs the committed ``stamps`` and the ``commits``; liveness a list of ``programs`` that
+    are taken for granted. ``only`` names the classes to run.
+    """
+    makers = {
+        "referential": lambda: referential(graph, files, notation), "structural": lambda: structural(graph, baseline), "exhaustiveness": lambda: exhaustiveness(graph, files, depth=depth),
+        "budget": lambda: chain_budget(graph, texts, notation, cap=cap).unionByName(token_budgets(graph, texts, notation, size, root_cap=root_cap)),
+        "freshness": lambda: freshness(claim_states(graph, texts, stamps, commits, notation), graph.nodes, threshold=threshold, leash=leash, overrides=overrides) if stamps is not None and commits is not None else None,
+        "liveness": lambda: liveness(graph, texts, files, programs=programs) if programs is not None else None,
+    }
+    found = [f for f in (makers[c]() for c in CLASSES if c in only) if f is not None]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -103,8 +183,39 @@ def check(graph: GraphTables, files: DataFrame, texts: DataFrame, notation: Nota
     return out.orderBy(rank, "node", "message")
 
 
+def summary(findings: DataFrame) -> DataFrame:
+    """``class, n``: findings per class, and the total under the class ``all``; zeroes are listed."""
+    classes = findings.sparkSession.createDataFrame([(c,) for c in CLASSES], "class string")
+    per = classes.join(findings.groupBy("class").agg(F.count("*").alias("n")), "class", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return per.unionByName(findings.agg(F.lit("all").alias("class"), F.count("*").alias("n")))
+
+
+def findings_json(findings: DataFrame) -> DataFrame:
+    """``value``: each finding as one JSON object, null fields left out."""
+    return findings.select(F.to_json(F.struct(*findings.columns)).alias("value"))
+
+
+def allow_report(graph: GraphTables) -> DataFrame:
+    """``node_id, edge, reason, ord``: every allowed edge, by node, then as declared; reasons on one line."""
+    return graph.allow.select("node_id", "edge", X.flat(F.col("reason")).alias("reason"), "ord").orderBy("node_id", "ord")
+
+
 def freeze(graph: GraphTables) -> DataFrame:
     """The structural violations as a baseline: ``node, direction, target`` in order."""
     declared = graph.depends.select(F.col("node_id").alias("from_id"), F.col("target").alias("to_id"))
     allowed = graph.allow.select(F.col("node_id").alias("from_id"), F.col("edge").alias("to_id"))
     return edges.structural_violations(graph.imports, declared, allowed).orderBy("node", "direction", "target")
+
+
+def write_baseline(frozen: DataFrame, path: str) -> None:
+    """A baseline as JSON lines in key order, range-partitioned."""
+    keys = ["node", "direction", "target"]
+    frozen.select(keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").json(path)
+
+
+def read_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """A stored baseline; rows of another form are refused."""
+    rows = spark.read.schema("node string, direction string, target string").option("mode", "FAILFAST").json(path)
+    if not rows.filter("node IS NULL OR target IS NULL OR direction NOT IN ('undeclared', 'vestigial') OR direction IS NULL").isEmpty():
+        raise ValueError("a baseline's rows are (node, undeclared or vestigial, target)")
+    return rows

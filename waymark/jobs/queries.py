@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..operators import budget, edges, history, ignore, prefix, resolve, tokens
-from ..sources.tables import customer_places, page_paths, region_pairs, site_nodes, table, trade_refs
+from ..sources.files import Notation, readable
+from ..sources.tables import customer_files, customer_places, page_paths, region_pairs, site_nodes, table, trade_refs
+from . import check, graph, reads
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -581,3 +583,175 @@ def rule_file_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of output files that differ in case only."""
     name = F.lower(F.concat_ws("-", "p_brand", "p_size"))
     return table(spark, sf_dir, "part").groupBy(name.alias("file_name")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_id")).filter("n > 1")
+
+
+# -- a graph compiled from the customers ----------------------------------------------------------
+
+_CUST = """cust AS (SELECT c_custkey AS k, r_name || '/' || n_name AS up, r_name || '/' || n_name || '/c' || c_custkey AS dir, c_custkey % 97 IN (5, 6, 7, 8) AS bad FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+  both_ AS (SELECT c.*, CASE WHEN c.bad THEN c.up ELSE c.dir END AS owner, n.dir AS next, CASE WHEN n.bad THEN n.up ELSE n.dir END AS next_owner FROM cust c LEFT JOIN cust n ON n.k = c.k + 1)"""
+_FOUND = "claims AS (SELECT dir AS node_id, k, 'rule-' || k AS slug, '※ rule-' || k AS anchor, 'invariant' AS kind, dir || '/lib.py:' || CASE WHEN next IS NULL THEN 3 ELSE 4 END AS resolved, 'resolved' AS resolution FROM both_ WHERE NOT bad UNION ALL SELECT dir, k, CASE k % 3 WHEN 0 THEN 'gone' WHEN 1 THEN 'thing' ELSE 'twice' END, dir || '/lib.py#' || CASE k % 3 WHEN 0 THEN 'gone' WHEN 1 THEN 'thing' ELSE 'twice' END, 'hazard', CASE WHEN k % 3 = 1 THEN dir || '/lib.py:' || CASE WHEN next IS NULL THEN 4 ELSE 5 END END, CASE k % 3 WHEN 0 THEN 'unresolved' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END FROM both_ WHERE NOT bad)"
+_EDGES = """refs AS (SELECT owner AS from_id, next_owner AS to_id, unnest([dir || '/lib.py', dir || '/ui.ts', dir || '/src/lib.rs', dir || '/mod.ex']) AS file, unnest([2, 1, 1, 2]) AS line, next FROM both_ WHERE next IS NOT NULL),
+  imports AS (SELECT from_id, to_id, file, line::INT AS line FROM refs WHERE from_id <> to_id AND NOT (file LIKE '%.py' AND next LIKE '% %'))"""
+_NODE_ROWS = """node_rows AS (SELECT dir AS id, 'component' AS kind, 'customer ' || k AS purpose, k % 60 AS budget, dir || '/AGENTS.md' AS source FROM both_ WHERE NOT bad
+  UNION ALL SELECT r_name || '/' || n_name, 'container', n_name, NULL, r_name || '/' || n_name || '/AGENTS.md' FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT '/', 'system', 'all customers', NULL, 'AGENTS.md')"""
+
+
+def _compiled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, graph.GraphTables]:
+    files = customer_files(spark, sf_dir)
+    return files, graph.compile_graph(files).cache()
+
+
+@query("graph_nodes", f"WITH {_CUST}, {_NODE_ROWS} SELECT id, kind, purpose, budget::BIGINT AS budget, source, CASE id WHEN '/' THEN 'root' ELSE replace(id, '/', '-') END AS rule_file FROM node_rows")
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of all authored blocks that are not refused."""
+    return _compiled(spark, sf_dir)[1].nodes.select("id", "kind", "purpose", "budget", "source", X.rule_slug(F.col("id")).alias("rule_file"))
+
+
+@query(
+    "graph_errors",
+    f"""WITH {_CUST} SELECT dir || '/AGENTS.md' AS path, CASE k % 97 WHEN 5 THEN 'unknown kind ''module''' WHEN 6 THEN 'invariants is an empty list; leave it out' WHEN 7 THEN 'two claims derive the same slug: rule-' || k ELSE 'id is no repository path' END AS error FROM cust WHERE bad""",
+)
+def graph_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _compiled(spark, sf_dir)[1].errors.select("path", "error")
+
+
+@query("symbol_resolution", f"WITH {_CUST}, {_FOUND} SELECT node_id, slug, anchor, kind, resolved, resolution FROM claims")
+def symbol_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims anchored by landmarks in comments and by definitions: one, none, or several."""
+    return _compiled(spark, sf_dir)[1].claims.select("node_id", "slug", "anchor", "kind", "resolved", "resolution")
+
+
+@query(
+    "graph_landmarks",
+    f"""WITH {_CUST}, occ AS (SELECT 'rule-' || k AS slug, dir || '/lib.py' AS file, CASE WHEN next IS NULL THEN 3 ELSE 4 END AS line, owner FROM both_ UNION ALL SELECT 'shared-' || (k % 50), dir || '/src/lib.rs', 2, owner FROM both_)
+      SELECT slug, arg_min(file, file) AS file, arg_min(line, file)::INT AS line, arg_min(owner, file) AS node, CASE WHEN arg_min(owner, file) <> '/' THEN substr(arg_min(file, file), length(arg_min(owner, file)) + 2) END || ':' || arg_min(line, file) AS place FROM occ GROUP BY slug""",
+)
+def graph_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landmarks in comments of two languages, the first of each slug, in the territory that it lies in."""
+    g = _compiled(spark, sf_dir)[1]
+    return g.landmarks.join(reads.anchors(g).select("slug", "place"), "slug").select("slug", "file", "line", "node", "place")
+
+
+@query("graph_imports", f"WITH {_CUST}, {_EDGES} SELECT DISTINCT from_id, to_id, file, line FROM imports")
+def graph_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports of four languages, each found in its own way and attributed to the nodes at both ends."""
+    return _compiled(spark, sf_dir)[1].imports.select("from_id", "to_id", "file", "line")
+
+
+_WORDS = "32 + CASE WHEN k % 2 = 0 THEN 2 + (dir LIKE '% %')::INT ELSE 0 END + (dir LIKE '% %')::INT + CASE WHEN k % 3 <> 0 AND next IS NOT NULL THEN 3 + (next LIKE '% %')::INT ELSE 0 END"
+_CHECKS = f"""declared AS (SELECT dir AS from_id, next AS to_id FROM both_ WHERE NOT bad AND k % 3 <> 0 AND next IS NOT NULL), edges AS (SELECT DISTINCT from_id, to_id FROM imports),
+  found AS (
+    SELECT 'referential' AS class, node_id AS node, 'anchor ' || anchor || CASE resolution WHEN 'unresolved' THEN ' unresolved (0' ELSE ' ambiguous (>1' END || ' definitions of "' || slug || '" in ' || node_id || '/lib.py)' AS message FROM claims WHERE resolution <> 'resolved'
+    UNION ALL SELECT 'referential', r_name || '/' || n_name, 'decided_by target § 000' || (n_nationkey % 4) || CASE n_nationkey % 4 WHEN 3 THEN ' resolves to no decision record' ELSE ' names a superseded decision record' END FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 IN (1, 3)
+    UNION ALL SELECT 'referential', NULL, '⊨ ' || dir || '/' || CASE WHEN k % 10 = 1 THEN 'gone' ELSE 'rule-' || k END || ' resolves to no declared claim' FROM both_ WHERE dir NOT LIKE '% %' AND (bad OR (k % 10 = 1 AND k % 3 <> 0))
+    UNION ALL SELECT 'structural', from_id, from_id || ' imports ' || to_id || ' — edge not declared' FROM edges e WHERE NOT EXISTS (SELECT 1 FROM declared d WHERE d.from_id = e.from_id AND d.to_id = e.to_id)
+    UNION ALL SELECT 'structural', from_id, from_id || ' declares depends on ' || to_id || ' — no import found' FROM declared d WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE d.from_id = e.from_id AND d.to_id = e.to_id)
+    UNION ALL SELECT 'budget', dir, dir || ' renders ' || ({_WORDS}) || ' tokens > declared budget ' || (k % 60) FROM both_ WHERE NOT bad AND {_WORDS} > k % 60
+    UNION ALL SELECT 'liveness', '/', 'command test does not resolve: ' || unnest(['./run.sh', 'sort']) || ' is no known program or tracked file')"""
+
+
+@query("check_findings", f"WITH {_CUST}, {_FOUND}, {_EDGES}, {_CHECKS} SELECT class, node, message FROM found")
+def check_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings about the customers' graph: anchors, decisions, references, edges, budgets in words, and commands."""
+    files, g = _compiled(spark, sf_dir)
+    return check.check(g, files, readable(files), programs=["make"]).select("class", "node", "message")
+
+
+@query("check_summary", f"WITH {_CUST}, {_FOUND}, {_EDGES}, {_CHECKS}, names AS (SELECT unnest(['referential', 'structural', 'exhaustiveness', 'budget', 'freshness', 'liveness']) AS class) SELECT class, count(message) AS n FROM names LEFT JOIN (SELECT * FROM found WHERE class IN ('budget', 'exhaustiveness')) USING (class) GROUP BY class UNION ALL SELECT 'all', count(*) FROM found WHERE class IN ('budget', 'exhaustiveness')")
+def check_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, g = _compiled(spark, sf_dir)
+    return check.summary(check.check(g, files, readable(files), only=("exhaustiveness", "budget")))
+
+
+@query("freeze_keys", f"WITH {_CUST}, {_FOUND}, {_EDGES}, {_CHECKS} SELECT node, CASE WHEN message LIKE '%imports%' THEN 'undeclared' ELSE 'vestigial' END AS direction, split_part(split_part(split_part(message, ' imports ', 2) || split_part(message, ' depends on ', 2), ' — ', 1), ' — ', 1) AS target FROM found WHERE class = 'structural'")
+def freeze_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a baseline of the customers' graph lists."""
+    return check.freeze(_compiled(spark, sf_dir)[1])
+
+
+@query(
+    "blame_outcomes",
+    f"""WITH {_CUST}, {_FOUND}, later AS (SELECT o_custkey AS k, min(o_orderkey) AS mark, count(*) - 1 AS n FROM orders GROUP BY o_custkey)
+      SELECT node_id, slug, CASE WHEN c.k % 5 = 0 THEN 'unverified' WHEN resolved IS NULL THEN 'unresolved' WHEN c.k % 5 = 1 THEN 'fresh' WHEN c.k % 5 = 2 THEN 'stale' WHEN c.k % 5 = 4 OR mark IS NULL THEN 'history-unavailable' ELSE 'churn' END AS outcome,
+        CASE WHEN c.k % 5 = 3 AND resolved IS NOT NULL AND mark IS NOT NULL THEN n END AS n_later FROM claims c LEFT JOIN later l ON l.k = c.k""",
+)
+def blame_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stamps of five kinds against what claims digest now and against orders as the changes of a customer's module."""
+    files, g = _compiled(spark, sf_dir)
+    texts = readable(files)
+    k = F.regexp_extract("node_id", "c([0-9]+)$", 1).try_cast("long")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("seq"))
+    dirs = files.filter(F.endswith("path", F.lit("/lib.py"))).select(F.regexp_extract("path", "/c([0-9]+)/lib", 1).try_cast("long").alias("k"), F.col("path").alias("file"))
+    commits = orders.join(dirs, "k").select("seq", F.concat(F.lit("s"), "seq").alias("sha"), "file")
+    firsts = orders.groupBy("k").agg(F.concat(F.lit("s"), F.min("seq")).alias("first"))
+    made = graph.stamp_claims(g, texts, "", Notation()).select("node_id", "slug", F.col("verified_digest").alias("now"))
+    kept = g.claims.select("node_id", "slug", k.alias("k")).filter("k % 5 <> 0").join(firsts, "k", "left").join(made, ["node_id", "slug"], "left")
+    digest = F.when(F.col("k") % 5 == 1, F.col("now")).when(F.col("k") % 5 == 2, F.lit("old"))
+    sha = F.when(F.col("k") % 5 == 4, "gone").otherwise(F.coalesce("first", F.lit("none")))
+    stamps = kept.select("node_id", "slug", sha.alias("verified_sha"), digest.alias("verified_digest"))
+    states = check.claim_states(g, texts, stamps, commits)
+    return states.select("node_id", "slug", "outcome", F.when(F.col("outcome") == "churn", F.col("n_later")).alias("n_later"))
+
+
+@query(
+    "lock_rows",
+    f"""WITH {_CUST}, {_NODE_ROWS}, {_FOUND}, {_EDGES}, nc AS (SELECT node_id AS id, count(*) AS n FROM claims GROUP BY ALL), ni AS (SELECT from_id AS id, count(DISTINCT to_id) AS n FROM imports GROUP BY ALL)
+      SELECT 'nodes' AS part, r.id AS key, kind, coalesce(nc.n, 0)::INT AS n_claims, coalesce(ni.n, 0)::INT AS n_imports FROM node_rows r LEFT JOIN nc USING (id) LEFT JOIN ni USING (id)
+      UNION ALL SELECT 'landmarks', 'rule-' || k, NULL, NULL, NULL FROM cust UNION ALL SELECT DISTINCT 'landmarks', 'shared-' || (k % 50), NULL, NULL, NULL FROM cust UNION ALL SELECT 'records', 'adr/000' || n_nationkey, NULL, NULL, NULL FROM nation WHERE n_nationkey < 3""",
+)
+def lock_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored form of the graph, key by key, with what its JSON values hold."""
+    rows = graph.lock_rows(_compiled(spark, sf_dir)[1])
+    size = lambda path: F.when(F.col("part") == "nodes", F.json_array_length(F.get_json_object("value", path))).alias("n_" + path.rsplit(".", 1)[-1])
+    return rows.select("part", "key", F.get_json_object("value", "$.kind").alias("kind"), size("$.claims"), size("$.extracted.imports"))
+
+
+@query("router_rows", f"WITH {_CUST}, {_NODE_ROWS} SELECT CASE kind WHEN 'component' THEN regexp_replace(id, '/[^/]*$', '') ELSE '/' END AS node_id, id, kind, purpose, source FROM node_rows WHERE id <> '/'")
+def router_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.router(_compiled(spark, sf_dir)[1])
+
+
+@query("hazard_rows", f"WITH {_CUST}, {_FOUND} SELECT slug, node_id, 'mind ' || k AS text, anchor FROM claims WHERE kind = 'hazard'")
+def hazard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.hazards(_compiled(spark, sf_dir)[1])
+
+
+@query(
+    "node_lookup",
+    """WITH ids AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS id FROM (SELECT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*', '') AS path FROM pages) WHERE contains(path, '/')),
+      asked AS (SELECT id AS query FROM ids UNION SELECT regexp_extract(id, '[^/]*$') FROM ids UNION SELECT split_part(id, '.', 1) FROM ids UNION SELECT './' || id FROM ids),
+      last AS (SELECT regexp_extract(id, '[^/]*$') AS query, count(*) AS n, min(id) AS only_ FROM ids GROUP BY ALL)
+      SELECT a.query, CASE WHEN i.id IS NOT NULL OR n = 1 THEN 'found' WHEN n > 1 THEN 'ambiguous' ELSE 'unknown' END AS outcome, coalesce(i.id, CASE WHEN n = 1 THEN only_ END) AS id,
+        CASE WHEN i.id IS NULL AND n > 1 THEN least(n, 20)::INT WHEN i.id IS NULL AND n IS NULL THEN (SELECT least(count(*), 20)::INT FROM ids s WHERE list_contains(list_concat(string_split(s.id, '/'), regexp_split_to_array(s.id, '[/._-]')), regexp_extract(a.query, '[^/]*$'))) ELSE 0 END AS n_candidates
+      FROM asked a LEFT JOIN ids i ON i.id = CASE WHEN starts_with(a.query, './') THEN substr(a.query, 3) ELSE a.query END LEFT JOIN last ON last.query = a.query""",
+)
+def node_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories of pages by their ids, last segments and first words, some unknown."""
+    nodes = page_paths(spark, sf_dir).filter(F.contains("path", F.lit("/"))).select(F.regexp_replace("path", r"/[^/]*\z", "").alias("id")).distinct()
+    asked = nodes.select(F.col("id").alias("query")).union(nodes.select(X.last_segment(F.col("id")))).union(nodes.select(F.substring_index("id", ".", 1))).union(nodes.select(F.concat(F.lit("./"), "id")))
+    return resolve.node_lookup(asked, nodes).select("query", "outcome", "id", F.size("candidates").alias("n_candidates"))
+
+
+@query(
+    "proposable_dirs",
+    f"""WITH {_PATHS}, tops AS (SELECT split_part(path, '/', 1) AS dir, count(*) AS n_files FROM paths WHERE contains(path, '/') GROUP BY ALL)
+      SELECT dir, n_files FROM tops WHERE dir NOT IN (SELECT split_part(path, '/', 1) FROM paths WHERE split_part(path, '/', 2) = 'fr')""",
+)
+def proposable_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts without a covered directory; those with French pages count as covered."""
+    files = page_paths(spark, sf_dir)
+    s = X.segments(F.col("path"))
+    covered = files.filter(F.get(s, F.lit(1)) == "fr").select(F.concat_ws("/", F.get(s, F.lit(0)), F.lit("fr")).alias("dir"))
+    return reads.proposable(files, covered)
+
+
+@query(
+    "output_differences",
+    """SELECT coalesce(d.doc_id, c.conv_id)::VARCHAR AS path, CASE WHEN c.conv_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'stale' ELSE 'changed' END AS state
+      FROM documents d FULL JOIN (SELECT conv_id, min(text) AS text FROM conversations GROUP BY conv_id) c ON c.conv_id = d.doc_id WHERE c.text IS DISTINCT FROM d.text""",
+)
+def output_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as what is rendered, conversations as what is on disk."""
+    rendered = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    present = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("path")).agg(F.min("text").alias("text"))
+    return reads.differences(rendered, present)

@@ -56,3 +56,38 @@ def customer_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     dirs = region.select(F.col("r_name").alias("dir")).unionByName(nations.select("dir")).unionByName(people)
     root = spark.range(1).select(F.lit("/").alias("id"), F.lit("").alias("dir"))
     return root.unionByName(dirs.select(F.col("dir").alias("id"), "dir"))
+
+
+def customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, content``: the customers as a repository, so that a graph can be compiled whose rows are known from the tables.
+
+    The root, each nation below its region, and each customer ``c<key>`` below the nation have a node
+    file. Each customer has a module in four languages that names the customer with the next key, a
+    landmark ``rule-<key>``, and a claim on it. Keys with remainder 5 to 8 of 97 have blocks that are
+    refused: unknown kind, empty list, two claims of one slug, an absolute id.
+    """
+    region, nation, customer = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    nations = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", F.concat_ws("/", "r_name", "n_name").alias("up"))
+    people = customer.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("k"), "up", F.concat(F.col("up"), F.lit("/c"), F.col("c_custkey")).alias("dir"))
+    other = people.select((F.col("k") - 1).alias("k"), F.col("dir").alias("next"))
+    both = people.join(other, "k", "left")
+    k, n = F.col("k").cast("string"), (F.col("k") + 1).cast("string")
+    lines = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    rest = F.col("k") % 97
+    block = lines(
+        "# c", k, "\n\n```graph\nkind: ", F.when(rest == 5, "module").otherwise("component"), "\npurpose: customer ", k, "\n", F.when(rest == 8, "id: /abs\n").otherwise(""), "budget: ", (F.col("k") % 60).cast("string"), "\n",
+        F.when(rest == 6, lines("invariants: []\n")).otherwise(lines("invariants:\n  - claim: rule of ", k, "\n    anchor: ※ rule-", k, "\n", F.when(F.col("k") % 2 == 0, lines("    enforced_by: ", F.col("dir"), "/lib.py\n")).otherwise(""))),
+        "hazards:\n  - claim: mind ", k, "\n    anchor: ", F.when(rest == 7, lines("※ rule-", k)).otherwise(lines(F.col("dir"), "/lib.py#", F.when(F.col("k") % 3 == 0, "gone").when(F.col("k") % 3 == 1, "thing").otherwise("twice"))), "\n",
+        F.when((F.col("k") % 3 != 0) & F.col("next").isNotNull(), lines("edges:\n  depends: [", F.col("next"), "]\n")).otherwise(""), "```\n\n## Notes\n\nfree words here\n",
+    )
+    python = lines("import os\n", F.when(F.col("next").isNotNull(), lines("from ", F.replace("next", F.lit("/"), F.lit(".")), ".lib import thing\n")).otherwise(""), "\n# ※ rule-", k, "\ndef thing(x):\n    return x + ", k, "\n\n\ndef twice(): pass\ndef twice(): pass\n")
+    script = lines("import { x } from '", F.when(F.col("next").isNotNull(), lines("../../../", F.col("next"), "/ui")).otherwise("lib"), "'; // ⊨ ", F.col("dir"), "/", F.when(F.col("k") % 10 == 1, "gone").otherwise(lines("rule-", k)), "\n")
+    rust = lines("use c", n, "::thing;\n/* ※ shared-", (F.col("k") % 50).cast("string"), " */\nfn go() {}\n")
+    elixir = lines("defmodule Shop.C", k, " do\n  alias Shop.C", n, "\nend\n")
+    crate = lines("[package]\nname = \"c", k, "\"\n")
+    named = {"AGENTS.md": block, "lib.py": python, "ui.ts": script, "src/lib.rs": rust, "mod.ex": elixir, "Cargo.toml": crate}
+    files = both.select("dir", F.explode(F.array(*(F.struct(F.lit(p).alias("p"), c.alias("c")) for p, c in named.items()))).alias("f")).select(F.concat_ws("/", "dir", "f.p").alias("path"), F.col("f.c").alias("content"))
+    upper = nations.select(F.concat_ws("/", "up", F.lit("AGENTS.md")).alias("path"), lines("```graph\nkind: container\npurpose: ", F.col("n_name"), "\nedges:\n  decided_by: [\"§ 000", (F.col("n_nationkey") % 4).cast("string"), "\"]\n```\n").alias("content"))
+    adr = nation.filter("n_nationkey < 3").select(lines("adr/000", F.col("n_nationkey").cast("string"), "-note.md").alias("path"), lines("# Note\n\nStatus: ", F.when(F.col("n_nationkey") == 1, "Superseded").otherwise("Accepted"), "\n").alias("content"))
+    root = spark.range(1).select(F.lit("AGENTS.md").alias("path"), F.lit("```graph\nkind: system\npurpose: all customers\ncommands:\n  test: X=1 make test && ./run.sh | sort\nedges:\n  allow:\n    - edge: adr\n      reason: why  not\n```\n").alias("content"))
+    return files.unionByName(upper).unionByName(adr).unionByName(root).select("path", F.encode("content", "utf-8").alias("content"))
