@@ -21,6 +21,8 @@ BITS = 64
 LARGE = 2000
 #: What a signature row and a compared pair cost, in nanoseconds, when thresholds are allotted.
 ROW_NS, PAIR_NS = 1500.0, 3.0
+#: Keys of so many bits or fewer are counted in arrays by each task.
+COUNTED_BITS = 16
 
 
 def shingle_hashes(raw: bytes, width: int) -> np.ndarray:
@@ -70,18 +72,27 @@ def _set_code(distinct: np.ndarray) -> int:
 
 
 def set_prints(docs: DataFrame, *, shingle: int = 5, id_col: str = "doc_id") -> DataFrame:
-    """``<id>, f0, f1, f2``: two independent SimHashes of each row's set of shingles, and a hash of the set."""
+    """``<id>, f0, f1, f2, size``: two independent SimHashes of each row's set of shingles, a hash of the set, and its size class.
+
+    Sets whose sizes differ by a factor of 1.25 at most (as a similarity of 0.8 asks) are of one class or of two neighbouring ones.
+    """
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            out = np.empty((3, batch.num_rows), np.uint64)
+            out, size = np.empty((3, batch.num_rows), np.uint64), np.zeros(batch.num_rows, np.int32)
             for row, raw in enumerate(batch.column(1).to_pylist()):
                 distinct = np.unique(shingle_hashes(raw, shingle))
                 out[:, row] = majority_bits(distinct), majority_bits(_second_lane(distinct)), _set_code(distinct)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in out)], [id_col, "f0", "f1", "f2"])
+                size[row] = size_class(len(distinct))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in out), pa.array(size)], [id_col, "f0", "f1", "f2", "size"])
+
+    return docs.select(id_col, text_bytes().alias("text")).mapInArrow(run, f"`{id_col}` {kind}, f0 long, f1 long, f2 long, size int")
 
-    return docs.select(id_col, text_bytes().alias("text")).mapInArrow(run, f"`{id_col}` {kind}, f0 long, f1 long, f2 long")
+
+def size_class(n: int) -> int:
+    """The number of the step of factor 1.25 that ``n`` lies on; rounding errors only make neighbours of equals."""
+    return int(math.log(max(n, 1)) / math.log(1.25) * (1 - 1e-12))
 
 
 def shingle_sets(docs: DataFrame, *, shingle: int = 5) -> DataFrame:
@@ -148,12 +159,13 @@ def _within(rates: np.ndarray, most: int) -> np.ndarray:
     return np.cumsum(p)[: most + 1]
 
 
-def allot(bits: list[tuple[int, ...]], equal: list[float], differ: np.ndarray, nodes: int, bound: int) -> tuple[float, list[int]]:
+def allot(bits: list[tuple[int, ...]], equal: list[float], differ: np.ndarray, nodes: int, bound: int, *, rows_per: float = 1, share: float = 1) -> tuple[float, list[int]]:
     """Thresholds per partition by dynamic programming over estimated work; -1 leaves one out.
 
     With m partitions whose thresholds add up to ``bound - m + 1``, two fingerprints within ``bound``
     differences are within the threshold of one partition at least. ``equal`` are the pairs with
     equal keys as counted over all nodes; for more differences they grow as if bits were independent.
+    ``rows_per`` multiplies rows and ``share`` pairs where buckets are cut by size classes.
     """
     total = bound - len(bits) + 1
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -165,7 +177,7 @@ def allot(bits: list[tuple[int, ...]], equal: list[float], differ: np.ndarray, n
                 if e >= 0:
                     a, b = (e + 1) // 2, e // 2
                     rows = sum(math.comb(len(group), k) for k in range(a + 1)) + (sum(math.comb(len(group), k) for k in range(b + 1)) if a != b else 0)
-                    more = nodes * rows * ROW_NS + pairs * chance[e] / max(chance[0], 1e-300) * PAIR_NS * math.comb(e, b)
+                    more = nodes * rows * rows_per * ROW_NS + share * pairs * chance[e] / max(chance[0], 1e-300) * PAIR_NS * math.comb(e, b)
                 else:
                     more = 0.0
                 if rank := after.get(spent + e):
@@ -176,12 +188,23 @@ def allot(bits: list[tuple[int, ...]], equal: list[float], differ: np.ndarray, n
     return best.get(total, (math.inf, []))
 
 
-def plan_parts(nodes: DataFrame, bound: int) -> list[Part]:
+@dataclass(frozen=True)
+class Plan:
+    """Partitions with thresholds, and whether buckets are cut by size classes; ``seconds`` is the estimate."""
+
+    parts: list[Part]
+    sized: bool = False
+    seconds: float = 0.0
+
+
+def plan_parts(nodes: DataFrame, bound: int, *, lane: str = "f0", size: str | None = None) -> Plan:
     """Partitions and thresholds from statistics of all distinct fingerprints ``nodes(f0, ...)``.
 
     One pass adds up how often each two bits are set together (a 64 by 64 table); a second counts,
-    for 2, 3, ... partitions of correlated bits, the pairs that share each partition's key; the
-    cheapest allotment of thresholds is taken.
+    for 2 to ``bound + 1`` partitions of correlated bits, the pairs that share each partition's key;
+    the cheapest allotment of thresholds is taken. With a column ``size`` of size classes, each
+    allotment is also priced with buckets cut by class: two rows for one, and only the pairs of one or
+    neighbouring classes, by the classes' counts.
     """
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,57 +216,80 @@ def plan_parts(nodes: DataFrame, bound: int) -> list[Part]:
                 sums += (x.T @ x).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(range(BITS), pa.int32()), pa.array(list(sums), pa.list_(pa.int64()))], ["bit", "with"])
 
-    counts = nodes.select("f0").mapInArrow(together, "bit int, with array<long>").groupBy("bit").agg(*(F.sum(F.col("with")[j]).alias(f"c{j}") for j in range(BITS)))
+    counts = nodes.select(lane).mapInArrow(together, "bit int, with array<long>").groupBy("bit").agg(*(F.sum(F.col("with")[j]).alias(f"c{j}") for j in range(BITS)))
     table = {r[0]: r[1:] for r in counts.collect()}
     n = nodes.count()
     if n < 2:
-        return []
+        return Plan([])
     both = np.array([table[b] for b in range(BITS)], np.float64) / n
     p = np.diag(both)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-9))
     correlation = (both - np.outer(p, p)) / np.outer(spread, spread)
     differ = 2 * p * (1 - p)
-    choices = [group_bits(correlation, m) for m in range(2, min(bound + 2, 6) + 1)]
+    choices = [group_bits(correlation, m) for m in range(2, bound + 2)]
     parts = [Part(g, 0, 0) for groups in choices for g in groups]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = {k: np.zeros(1 << len(part.bits), np.int64) for k, part in enumerate(parts) if len(part.bits) <= COUNTED_BITS}
         for batch in rows_of(batches):
             f = np.asarray(batch.column(0)).view(np.uint64)
             for k, part in enumerate(parts):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), k, np.int32)), pa.array(part.keys(f).view(np.int64))], ["part", "key"])
+                key = part.keys(f).view(np.int64)
+                if k in small:
+                    small[k] += np.bincount(key, minlength=len(small[k]))
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), k, np.int32)), pa.array(key), pa.array(np.ones(len(f), np.int64))], ["part", "key", "n"])
+        for k, count in small.items():
+            used = np.flatnonzero(count)
+            if len(used):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k, np.int32)), pa.array(used), pa.array(count[used])], ["part", "key", "n"])
 
-    shared = nodes.select("f0").mapInArrow(keys, "part int, key long").groupBy("part", "key").agg(F.count("*").alias("n"))
+    shared = nodes.select(lane).mapInArrow(keys, "part int, key long, n long").groupBy("part", "key").agg(F.sum("n").alias("n"))
     pairs = dict(shared.groupBy("part").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2.0)).collect())
-    best, at = (math.inf, []), 0
+    ways: list[tuple[bool, float, float]] = [(False, 1.0, 1.0)]
+    if size:
+        # At most one row for each step of factor 1.25 that a size can lie on: some 150.
+        classes = dict(nodes.groupBy(size).count().collect())
+        ways.append((True, 2.0, sum(c * (2 * c + 2 * classes.get(k + 1, 0)) for k, c in classes.items()) / n**2))
+    best, at = Plan([], seconds=math.inf), 0
     for groups in choices:
-        cost, thresholds = allot(groups, [max(pairs.get(at + k, 0.0), n * (n - 1) / 2 * 2.0 ** -len(g)) for k, g in enumerate(groups)], differ, n, bound)
+        equal = [max(pairs.get(at + k, 0.0), n * (n - 1) / 2 * 2.0 ** -len(g)) for k, g in enumerate(groups)]
         at += len(groups)
-        if cost < best[0]:
-            best = cost, [Part(g, (e + 1) // 2, e // 2) for g, e in zip(groups, thresholds, strict=True) if e >= 0]
-    return best[1]
+        for sized, rows_per, share in ways:
+            cost, thresholds = allot(groups, equal, differ, n, bound, rows_per=rows_per, share=share)
+            if cost / 1e9 < best.seconds:
+                best = Plan([Part(g, (e + 1) // 2, e // 2) for g, e in zip(groups, thresholds, strict=True) if e >= 0], sized, cost / 1e9)
+    return best
 
 
-def _signatures(nodes: DataFrame, parts: list[Part], lanes: int) -> DataFrame:
-    """``bucket, side, f...``: each node under its keys; side 0 is stored (and looked up, if one set serves)."""
-    names = [f"f{k}" for k in range(lanes)]
+def _signatures(nodes: DataFrame, plan: Plan, names: list[str]) -> DataFrame:
+    """``bucket, side, f0..``: each node under the keys of its lane ``names[0]``; side 0 is stored (and looked up, if one set serves).
+
+    The lanes ``names`` come out as ``f0, f1, ...`` in that order. In a sized plan each node stands
+    in the buckets of its own size class and of the next.
+    """
+    parts = plan.parts
+    lanes = [f"f{k}" for k in range(len(names))]
     masks = [[flips(len(p.bits), r) for r in ((p.left,) if p.left == p.right else (p.left, p.right))] for p in parts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 1 << 18):
-            f = [np.asarray(c).view(np.uint64) for c in batch.columns]
+            f = [np.asarray(c).view(np.uint64) for c in batch.columns[: len(lanes)]]
+            steps = [np.asarray(batch.column(len(lanes))).astype(np.uint64) + np.uint64(up) for up in (1, 2)] if plan.sized else [None]
             for k, (part, sides) in enumerate(zip(parts, masks, strict=True)):
                 key = part.keys(f[0])
                 for side, mask in enumerate(sides):
-                    step = max(1, (1 << 17) // len(mask))
-                    for start in range(0, len(key), step):
-                        bucket = (key[start : start + step, None] ^ mask).ravel()
+                    block = max(1, (1 << 17) // len(mask))
+                    for start in range(0, len(key), block):
+                        bucket = (key[start : start + block, None] ^ mask).ravel()
                         mixed = (bucket + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15)) if len(part.bits) > 56 else bucket | np.uint64(k << 56)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(mixed.view(np.int64)), pa.array(np.full(len(bucket), side, np.int8)), *(pa.array(np.repeat(x[start : start + step], len(mask)).view(np.int64)) for x in f)],
-                            ["bucket", "side", *names],
-                        )
+                        rest = [pa.array(np.full(len(bucket), side, np.int8)), *(pa.array(np.repeat(x[start : start + block], len(mask)).view(np.int64)) for x in f)]
+                        for step in steps:
+                            under = mixed if step is None else mixed + np.repeat(step[start : start + block], len(mask)) * np.uint64(0xD6E8FEB86659FD93)
+                            yield pa.RecordBatch.from_arrays([pa.array(under.view(np.int64)), *rest], ["bucket", "side", *lanes])
 
-    return nodes.select(*names).mapInArrow(run, "bucket long, side byte, " + ", ".join(f"{n} long" for n in names))
+    source = nodes.select(*(F.col(n).alias(f"f{k}") for k, n in enumerate(names)), *(["size"] if plan.sized else []))
+    return source.mapInArrow(run, "bucket long, side byte, " + ", ".join(f"{n} long" for n in lanes))
 
 
 def _near(f: np.ndarray, one: int, many: np.ndarray, bound: int, bound_all: int) -> np.ndarray:
@@ -388,16 +434,16 @@ def near_groups(prints: DataFrame, *, bound: int = 2, lanes: int = 1, bound_all:
     names = [f"f{k}" for k in range(lanes)]
     bound_all = 2 * bound + 1 if bound_all is None else bound_all
     nodes = materialize(prints.select(*names).distinct(), "nodes")
-    parts = plan_parts(nodes, bound)
+    plan = plan_parts(nodes, bound)
     code = lambda end: F.concat(*(F.lpad(F.hex(f"{end}{k}"), 16, "0") for k in range(lanes)))
-    if not parts:
+    if not plan.parts:
         return nodes.withColumn("group", code("f")).limit(0)
-    signatures = _signatures(nodes, parts, lanes)
+    signatures = _signatures(nodes, plan, names)
     if bound <= 2 and lanes == 1:
         signatures = materialize(signatures, "signatures")
         large = signatures.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE).select("bucket")
         dense = signatures.join(large, "bucket").select("f0").distinct()
-        single = _signatures(dense, [Part(tuple(range(BITS)), 1, bound - 1)] if bound else [], lanes)
+        single = _signatures(dense, Plan([Part(tuple(range(BITS)), 1, bound - 1)] if bound else []), names)
         edges = _edges(signatures.join(large, "bucket", "left_anti"), lanes, bound, bound_all).unionByName(_edges(single, lanes, bound, bound_all))
     else:
         edges = _edges(signatures, lanes, bound, bound_all)
@@ -435,18 +481,20 @@ def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def similar_groups(docs: DataFrame, prints: DataFrame, *, shingle: int, percent: int, bound: int, bound_all: int, id_col: str) -> DataFrame:
     """``f2, group``: the connected components of shingle sets linked by a measured similarity.
 
-    SimHash only proposes pairs. First it gives edges that span each bucket's close sets (all pairs
+    SimHash only proposes pairs, by an index of its own for each of two lanes of 64 bits: at most
+    ``bound`` bits of one lane and ``bound_all`` of both differ. First it gives edges that span each bucket's close sets (all pairs
     where a bucket has few); they are measured and joined to components. Then all pairs of the
     sets met so far that are within the bounds but in different components are measured as well, so
     a group of n near copies costs about n pairs and no proposed pair goes unmeasured that could join
     two components. Sets without a link may be left out.
     """
-    nodes = materialize(prints.select("f0", "f1", "f2").distinct(), "nodes")
-    parts = plan_parts(nodes, bound)
-    if not parts:
+    nodes = materialize(prints.select("f0", "f1", "f2", "size").distinct(), "nodes")
+    lanes = [(a, b, plan_parts(nodes, bound, lane=a, size="size")) for a, b in (("f0", "f1"), ("f1", "f0"))]
+    if not lanes[0][2].parts:
         return nodes.select("f2", F.col("f2").alias("group")).limit(0)
-    ends = lambda edges, k: edges.select(F.least(f"a{k}", f"b{k}").alias("a"), F.greatest(f"a{k}", f"b{k}").alias("b")).filter("a <> b").distinct()
-    first = materialize(ends(_edges(_signatures(nodes, parts, 3), 3, bound, bound_all), 2), "candidates")
+    ends = lambda edges, k: edges.select(F.least(f"a{k}", f"b{k}").alias("a"), F.greatest(f"a{k}", f"b{k}").alias("b")).filter("a <> b")
+    found = [ends(_edges(_signatures(nodes, plan, [a, b, "f2"]), 3, bound, bound_all), 2) for a, b, plan in lanes]
+    first = materialize(found[0].union(found[1]).distinct(), "candidates")
     met = materialize(first.select(F.col("a").alias("f2")).union(first.select("b")).distinct(), "met")
     ids = materialize(prints.join(met, "f2", "left_semi").groupBy("f2").agg(F.min(id_col).alias("__id")).select("__id").distinct(), "ids")
     texts = docs.join(ids, docs[id_col].eqNullSafe(ids["__id"]), "left_semi")
@@ -454,22 +502,23 @@ def similar_groups(docs: DataFrame, prints: DataFrame, *, shingle: int, percent:
     linked = materialize(_measured(first, sets, percent), "linked")
     groups = connected_components(linked)
     labels = groups.select(F.col("node").alias("f2"), F.col("component").alias("f3"))
-    marked = materialize(nodes.join(met, "f2", "left_semi").join(labels, "f2", "left").select("f0", "f1", "f2", F.coalesce("f3", "f2").alias("f3")), "marked")
-    second = ends(_edges(_signatures(marked, parts, 4), 4, bound, bound_all, labelled=True), 2)
-    second = materialize(second.join(first, ["a", "b"], "left_anti"), "candidates")
+    marked = materialize(nodes.join(met, "f2", "left_semi").join(labels, "f2", "left").select("f0", "f1", "f2", F.coalesce("f3", "f2").alias("f3"), "size"), "marked")
+    found = [ends(_edges(_signatures(marked, plan, [a, b, "f2", "f3"]), 4, bound, bound_all, labelled=True), 2) for a, b, plan in lanes]
+    second = materialize(found[0].union(found[1]).distinct().join(first, ["a", "b"], "left_anti"), "candidates")
     more = materialize(_measured(second, sets, percent), "linked")
     if not more.isEmpty():
         groups = connected_components(linked.unionByName(more))
     return groups.select(F.col("node").alias("f2"), F.col("component").alias("group"))
 
 
-def keep_one(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bound: int = 14, bound_all: int = 32, id_col: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bound: int = 12, bound_all: int = 32, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each group of near copies: the one with the smallest id.
 
     Two texts are linked if their sets of ``shingle``-word runs (A-Z lower-cased) have a Jaccard
     similarity of ``percent`` hundredths or more. The similarity is measured for pairs that SimHash
-    proposes: at most ``bound`` of 64 bits and ``bound_all`` of 128 differ, which at a similarity of
-    0.8 holds for about 95 in 100 pairs (9.7 and 19.4 bits differ on average) and for more above.
+    proposes: at most ``bound`` bits of either of two lanes of 64 and ``bound_all`` of all 128 differ,
+    which at a similarity of 0.8 holds for about 97 in 100 pairs (9.7 of 64 bits differ on average) and
+    for more above.
     Rows with one id are one document, of which one row stays; rows with a null id all stay. Texts
     without words are copies of each other. All columns are kept.
     """
