@@ -134,10 +134,32 @@ def test_leaks_agree_with_full_alignment(spark):
                 assert edits <= found[d, i] <= budget
 
 
+def test_items_of_one_template_take_no_time_each():
+    """Many items that share a prompt, in a text that repeats it: the item that is there is found, and no other."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    prompt = "answer the following question about the passage and explain it why"
+    items = [(k, f"{prompt} {word()} {word()} {word()} {word()}") for k in range(400)]
+    index = decontam.Index.build(items, 10, 0.08)
+    text = " ".join(f"{prompt} {word()} {word()}" for _ in range(100))
+    begun = time.perf_counter()
+    assert index.search([text, "x", f"{text} {items[7][1]} {text}"]) == [(2, 7, 0, len(text) + 1, len(text) + 1 + len(items[7][1]))]
+    assert time.perf_counter() - begun < 60
+    part = decontam.Index.build([(k, f"{prompt[:20]} " + " ".join(word() for _ in range(60))) for k in range(100)], 10, 0.08)
+    changed = part.texts[5].replace(part.texts[5].split(" ")[30], "zzz")
+    assert [(t, m) for t, m, *_ in part.search([text, changed])] == [(1, 5)]
+
+
+def test_short_items_match_as_whole_words():
+    index = decontam.Index.build([(1, "Is it?"), (2, "a long enough item of text"), (3, "is it")], 10, 0.08)
+    found = sorted((t, index.ids[m], e, a, b) for t, m, e, a, b in index.search(["This, is it! is it", "isit", "a long enough item of text is", ""]))
+    assert found == [(0, 1, 0, 5, 10), (0, 3, 0, 5, 10), (2, 2, 0, 0, 26)]
+
+
 def test_leaks_edges(spark, odd, none):
     bench = spark.createDataFrame([(1, "s1 s2 s3 s4 s5 s6 s7"), (1, "s1 s2 s3 s4 s5 s6 s7"), (2, None), (3, ""), (4, "one"), (None, "S40, s41; S42 s43 s44")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(odd, bench).collect()}
-    assert got == {(d, i) for d in (5, 6, None) for i in (1, None)}
+    assert got == {(d, i) for d in (5, 6, None) for i in (1, None)} | {(7, 4)}
     assert decontam.find_leaks(none, bench).count() == 0 and decontam.find_leaks(odd, bench.limit(0)).count() == 0
     kept = decontam.drop_leaks(odd, bench)
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "7", "None"]
