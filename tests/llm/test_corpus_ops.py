@@ -462,8 +462,56 @@ def test_network_gradient():
 def test_chances_add_up_to_one():
     counts = np.random.default_rng(5).integers(0, 50, pseudolikelihood.WORDS).astype(float)
     known = pseudolikelihood.Vocabulary.build(counts)
-    shares = np.bincount(known.of, np.exp(known.share.astype(float)), pseudolikelihood.CLASSES)
-    assert np.allclose(shares, 1, atol=1e-3)
+    once = (known.counts + pseudolikelihood.FLOOR) / known.weights[known.of]
+    assert np.allclose(np.bincount(known.of, once, pseudolikelihood.CLASSES), 1)
+    at = np.arange(2000)
+    want = np.log((np.maximum(counts[at] - 1, 0) + 0.1) / (known.weights[known.of[at]] - 1))
+    assert np.allclose(known.log_share(at), want)
+
+
+def test_scores_agree_with_a_plain_loop(spark, docs, monkeypatch):
+    """Each position by itself: window, hidden layer, softmax and share written out."""
+    rows = docs.select("doc_id", "text").limit(30)
+    flat = pseudolikelihood.WindowNetwork.start(3)
+    monkeypatch.setattr(pseudolikelihood, "train", lambda *a, **k: flat)
+    got = {r.doc_id: r for r in pseudolikelihood.score_likelihood(rows).collect()}
+    texts = {r.doc_id: words(r.text) for r in rows.collect()}
+    number = lambda w: zlib.crc32(w) % 2**22 // 16 * 16 + zlib.crc32(w[-2:]) % 16
+    count = Counter(number(w) for ws in texts.values() for w in ws)
+    known = pseudolikelihood.Vocabulary.build(np.array([count[k] for k in range(2**22)], float))
+    net = pseudolikelihood.WindowNetwork(flat)
+    weight = Counter()
+    for k in range(2**22):
+        weight[int(known.of[k])] += count[k] + 0.1
+    for i, ws in texts.items():
+        classes = [int(known.of[number(w)]) for w in ws]
+        total = new = 0.0
+        for p, c in enumerate(classes):
+            near = [classes[q] if 0 <= q < len(ws) else 128 for q in (p - 2, p - 1, p + 1, p + 2)]
+            z = np.tanh(np.concatenate([net.embed[x] for x in near]) @ net.inner + net.shift) @ net.outer + net.base
+            n = count[number(ws[p])]
+            total += z[c] - math.log(sum(math.exp(x) for x in z)) + math.log((n - 1 + 0.1) / (weight[c] - 1))
+            new += n == 1
+        assert got[i].n_words == len(ws) and (not ws or math.isclose(got[i].log_likelihood, total, rel_tol=1e-4))
+        assert not ws or (math.isclose(got[i].mean_log_likelihood, total / len(ws), rel_tol=1e-4) and math.isclose(got[i].unseen_share, new / len(ws)))
+
+
+def test_context_helps_and_copies_are_told_apart(spark):
+    """On held-out texts of two invented languages the window beats the class frequencies, and what occurs twice has no unseen words."""
+    rng = np.random.default_rng(6)
+    tongues = [[f"{''.join(rng.choice(list(letters), 4))}{end}" for _ in range(400)] for letters, end in (("abcdefg", "ing"), ("hijklmn", "eux"))]
+    say = lambda k: " ".join(rng.choice(tongues[k % 2], 60))
+    docs = [(k, f"{say(k)} only{k}a only{k}b") for k in range(400)]
+    docs += [(k + 1000, t) for k, t in docs[:20]]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    known = pseudolikelihood.Vocabulary.build(pseudolikelihood.count_words(frame))
+    net = pseudolikelihood.WindowNetwork(pseudolikelihood.train(frame, known, rounds=4, stride=1))
+    classes = [known.of[pseudolikelihood.word_numbers(say(k).encode())] for k in range(40)]
+    base = np.log(np.bincount(known.of, known.counts, 128)[np.concatenate(classes)] / known.counts.sum())
+    gain = np.concatenate([net.log_chances(pseudolikelihood.contexts(c), c) for c in classes]) - base
+    assert gain.mean() > 0.3
+    unseen = {r.doc_id: r.unseen_share for r in pseudolikelihood.score_likelihood(frame).collect()}
+    assert max(unseen[k] for k in (*range(20), *range(1000, 1020))) < min(unseen[k] for k in range(20, 400))
 
 
 def test_training_takes_every_position_once():

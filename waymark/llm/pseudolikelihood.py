@@ -13,37 +13,48 @@ from pyspark.sql import functions as F
 
 from .common import rows_of, text_bytes
 
-#: Word numbers (hashed), classes, of which the first OWN hold one word each; one more is the margin.
-WORDS, CLASSES, OWN = 1 << 18, 128, 96
+#: Word numbers (hashed), word endings (hashed), and classes: the first OWN hold one word each; one more is the margin.
+WORDS, ENDINGS, CLASSES, OWN = 1 << 22, 16, 128, 96
 #: Neighbours that the network sees on each side, and its widths.
 SIDE, WIDTH, HIDDEN = 2, 12, 32
+#: What a word weighs besides its count, so that words that stand nowhere else have a chance.
+FLOOR = 0.1
 _SHAPES = ((CLASSES + 1, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
 _SIZES = [int(np.prod(s)) for s in _SHAPES]
 
 
 def word_numbers(raw: bytes) -> np.ndarray:
+    """A number for each word: a hash of the word, its lowest bits a hash of its last two bytes."""
     words = raw.split()
-    return np.fromiter(map(crc32, words), np.int64, len(words)) & (WORDS - 1)
+    whole = np.fromiter(map(crc32, words), np.int64, len(words)) % WORDS
+    return whole // ENDINGS * ENDINGS + np.fromiter(map(crc32, [w[-2:] for w in words]), np.int64, len(words)) % ENDINGS
 
 
 @dataclass
 class Vocabulary:
-    """Each word's class, and its log share of the class, from counts over the whole corpus."""
+    """Each word number's class and its count over the whole corpus, and the classes' weights."""
 
     of: np.ndarray
-    share: np.ndarray
+    counts: np.ndarray
+    weights: np.ndarray
 
     @classmethod
     def build(cls, counts: np.ndarray) -> Vocabulary:
-        """The OWN most frequent words have a class each; the others are dealt into classes of like weight."""
-        order = np.lexsort((np.arange(WORDS), -counts))
-        weight = counts + 0.1
-        of = np.empty(WORDS, np.int64)
-        of[order[:OWN]] = np.arange(OWN)
+        """The OWN most frequent words have a class each; the others are classed by ending, in bands of like weight."""
+        used = np.flatnonzero(counts)
+        order = used[np.lexsort((used, -counts[used]))]
+        bands = (CLASSES - OWN) // ENDINGS
+        of = OWN + (bands - 1) * ENDINGS + np.arange(WORDS) % ENDINGS
         rest = order[OWN:]
-        mass = np.cumsum(weight[rest]) - weight[rest]
-        of[rest] = OWN + np.minimum((mass / weight[rest].sum() * (CLASSES - OWN)).astype(np.int64), CLASSES - OWN - 1)
-        return cls(of.astype(np.uint8), np.log(weight / np.bincount(of, weight, CLASSES)[of]).astype(np.float32))
+        mass = np.cumsum(counts[rest]) - counts[rest]
+        band = np.minimum(mass * bands // max(counts[rest].sum(), 1), bands - 1).astype(np.int64)
+        of[rest] = OWN + band * ENDINGS + rest % ENDINGS
+        of[order[:OWN]] = np.arange(len(order[:OWN]))
+        return cls(of.astype(np.uint8), counts.astype(np.int32), np.bincount(of, counts + FLOOR, CLASSES))
+
+    def log_share(self, numbers: np.ndarray) -> np.ndarray:
+        """The log share of each word in its class, the place it stands at left out of all counts."""
+        return np.log((np.maximum(self.counts[numbers] - 1, 0) + FLOOR) / np.maximum(self.weights[self.of[numbers]] - 1, FLOOR))
 
 
 class WindowNetwork:
@@ -104,11 +115,14 @@ def count_words(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(WORDS, np.int64)
         for batch in rows_of(batches):
-            sums += np.bincount(np.concatenate([word_numbers(raw) for raw in batch.column(0).to_pylist()]), minlength=WORDS)
+            number, n = np.unique(np.concatenate([word_numbers(raw) for raw in batch.column(0).to_pylist()]), return_counts=True)
+            sums[number] += n
         used = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], ["word", "n"])
+        for start in range(0, len(used), 1 << 16):
+            part = used[start : start + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(sums[part])], ["word", "n"])
 
-    table = docs.select(text_bytes().alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    table = docs.select(text_bytes().alias("text")).mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(WORDS, np.float64)
     counts[table.column("word").to_numpy()] = table.column("n").to_numpy()
     return counts
@@ -161,12 +175,15 @@ def train(docs: DataFrame, vocabulary: Vocabulary, *, rounds: int = 2, stride: i
 
 
 def score_likelihood(docs: DataFrame, *, rounds: int = 2, stride: int | None = None, id_col: str = "doc_id") -> DataFrame:
-    """``<id>, n_words, log_likelihood, mean_log_likelihood`` for every row of ``docs``.
+    """``<id>, n_words, log_likelihood, mean_log_likelihood, unseen_share`` for every row of ``docs``.
 
     Every word is hidden in turn and predicted from both sides; the conditional log-probabilities of
     all positions of the whole text are added up. A word's chance is that of its class in its window
-    (network) times its share of the class (counts over the corpus). Null and empty texts have 0
-    words, sum 0 and a null mean. An empty table gives an empty table.
+    (network) times its share of the class, by counts over the corpus that leave out the very place:
+    a hidden word must not vouch for itself. Classes of rarer words go by their endings, so context
+    reaches them. ``unseen_share`` is the share of positions whose word stands nowhere else in the
+    corpus (but for equal hashes): texts that occur twice have next to none. Null and empty texts have
+    0 words, sum 0 and a null mean and share. An empty table gives an empty table.
     """
     vocabulary = Vocabulary.build(count_words(docs))
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
@@ -178,17 +195,18 @@ def score_likelihood(docs: DataFrame, *, rounds: int = 2, stride: int | None = N
         for batch in rows_of(batches, 1 << 20):
             numbers = [word_numbers(raw) for raw in batch.column(1).to_pylist()]
             n = np.array([len(x) for x in numbers])
-            sums = np.zeros(len(n))
+            sums, new = np.zeros(len(n)), np.zeros(len(n))
             flat_numbers = np.concatenate(numbers)
             if len(flat_numbers):
                 classes = [known.of[x] for x in numbers]
                 context = np.concatenate([contexts(c) for c in classes if len(c)])
                 target = np.concatenate(classes)
-                each = known.share[flat_numbers].astype(np.float64)
+                each = known.log_share(flat_numbers)
+                new = np.bincount(np.repeat(np.arange(len(n)), n), known.counts[flat_numbers] <= 1, len(n))
                 for start in range(0, len(target), 8192):
                     each[start : start + 8192] += network.log_chances(context[start : start + 8192], target[start : start + 8192])
                 sums = np.bincount(np.repeat(np.arange(len(n)), n), each, len(n))
-            mean = pa.array(np.where(n > 0, sums / np.maximum(n, 1), np.nan), pa.float64(), from_pandas=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sums), mean], [id_col, "n_words", "log_likelihood", "mean_log_likelihood"])
+            mean, share = (pa.array(np.where(n > 0, x / np.maximum(n, 1), np.nan), pa.float64(), from_pandas=True) for x in (sums, new))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sums), mean, share], [id_col, "n_words", "log_likelihood", "mean_log_likelihood", "unseen_share"])
 
-    return docs.select(id_col, text_bytes().alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_words long, log_likelihood double, mean_log_likelihood double")
+    return docs.select(id_col, text_bytes().alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_words long, log_likelihood double, mean_log_likelihood double, unseen_share double")
