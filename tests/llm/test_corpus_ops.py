@@ -270,6 +270,21 @@ def test_quality_edges(odd, none, spark):
     assert all(abs(r.score - 0.5) < 0.05 for r in blank)
 
 
+def test_quality_scores_agree_with_a_plain_loop(spark, sf_dir, odd):
+    """All pairs of features written out, document by document, with and without the documents' n_chars."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "n_chars")
+    for frame in (docs.limit(25), docs.select("doc_id", "text").limit(10), odd.select("doc_id", "text")):
+        model = quality.fit_quality(docs, labels, max_rows=200)
+        for r in quality.score_quality(frame, model).collect():
+            ids, x = quality.features((r.text or "").encode(), r.n_chars if "n_chars" in frame.columns else None)
+            vx = [model.v[i].astype(float) * float(a) for i, a in zip(ids, x, strict=True)][:400]
+            z = model.bias + sum(float(model.w[i]) * float(a) for i, a in zip(ids, x, strict=True))
+            if len(ids) <= 400:
+                z += sum(float(vx[i] @ vx[j]) for i in range(len(vx)) for j in range(i))
+                assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-4
+
+
 # -- token counts ---------------------------------------------------------------------------------
 
 

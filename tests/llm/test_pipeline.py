@@ -32,7 +32,7 @@ def test_columns_stay_until_the_mix(stages):
 def test_quality_rejects_what_it_scores_low(spark, sf_dir, stages):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    want = {r.doc_id for r in stages[0][0] if model.score(*quality.features((r.text or "").encode())) >= 0.3}
+    want = {r.doc_id for r in stages[0][0] if model.score(*quality.features((r.text or "").encode(), r.n_chars)) >= 0.3}
     assert {r.doc_id for r in stages[0][1]} == want and len(want) < len(stages[0][0])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,8 +22,9 @@ WORDS = 1 << 15
 #: Names of the structure statistics, each between 0 and about 1.
 STATS = (
     "log_bytes", "log_words", "word_length", "upper", "digit", "symbol", "punctuation", "white", "lines_repeated",
-    "words_repeated", "short_lines", "bar_words", "bang_words", "non_ascii", "top_word", "empty",
+    "words_repeated", "short_lines", "mark_words", "doubled_marks", "non_ascii", "top_word", "empty", "log_chars", "chars_known",
 )
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 _UPPER = bytes(range(65, 91))
 _DIGIT = bytes(range(48, 58))
 _PUNCT = b".,;:!?'\"()-"
@@ -31,8 +33,12 @@ _WHITE = b" \t\n\r\x0b\x0c"
 _HIGH = bytes(range(128, 256))
 
 
-def features(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers and values of a whole text: word weights of length 1, and the statistics."""
+_MARKS = re.compile(rb"([^\w\s\x80-\xff])\1")
+_LETTERS = re.compile(rb"[0-9A-Za-z\x80-\xff]")
+
+
+def features(raw: bytes, n_chars: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers and values of a whole text: word weights of length 1, the statistics, and the metadata ``n_chars``."""
     words = raw.split()
     n, size = len(words), max(len(raw), 1)
     bag = Counter(words)
@@ -41,8 +47,9 @@ def features(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     stats = (
         math.log1p(len(raw)) / 12, math.log1p(n) / 10, min(1.0, sum(map(len, words)) / max(n, 1) / 20), share(_UPPER), share(_DIGIT),
         share(_SYMBOL), share(_PUNCT), share(_WHITE), 1 - len(set(lines)) / max(len(lines), 1), 1 - len(bag) / max(n, 1),
-        sum(len(x) < 30 for x in lines) / max(len(lines), 1), bag[b"|"] / max(n, 1), raw.count(b"!!") / max(n, 1), share(_HIGH),
-        max(bag.values(), default=0) / max(n, 1), float(n == 0),
+        sum(len(x) < 30 for x in lines) / max(len(lines), 1), sum(c for w, c in bag.items() if not _LETTERS.search(w)) / max(n, 1),
+        min(1.0, len(_MARKS.findall(raw)) / max(n, 1)), share(_HIGH), max(bag.values(), default=0) / max(n, 1), float(n == 0),
+        math.log1p(max(n_chars or 0, 0)) / 12, float(n_chars is not None),
     )
     ids = np.fromiter((crc32(w) for w in bag), np.int64, len(bag)) % WORDS
     values = np.log1p(np.fromiter(bag.values(), np.float32, len(bag)))
@@ -64,6 +71,17 @@ class FactorisationMachine:
         z = self.bias + float(self.w[ids] @ x) + 0.5 * float((vx.sum(0) ** 2 - (vx * vx).sum(0)).sum())
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
 
+    def score_many(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """``score`` of each row, all at once; no row is without features, as statistics always are."""
+        if not rows:
+            return np.empty(0)
+        ids, x = (np.concatenate(c) for c in zip(*rows, strict=True))
+        begin = np.cumsum([0] + [len(i) for i, _ in rows[:-1]])
+        vx = self.v[ids] * x[:, None]
+        pairs = np.add.reduceat(vx, begin, axis=0) ** 2 - np.add.reduceat(vx * vx, begin, axis=0)
+        z = self.bias + np.add.reduceat(self.w[ids] * x, begin).astype(np.float64) + 0.5 * pairs.sum(1, dtype=np.float64)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
     @classmethod
     def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, rank: int = 4, epochs: int = 12, rate: float = 0.08, decay: float = 1e-5, seed: int = 7) -> FactorisationMachine:
         """AdaGrad on the logistic loss, in mini-batches; both classes carry the same total weight."""
@@ -108,12 +126,17 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows_of(batches):
-        made = [features(b) for b in batch.column(1).to_pylist()]
+        made = [features(b, n) for b, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([i.astype(np.int32) for i, _ in made], pa.list_(pa.int32())), pa.array([x for _, x in made], pa.list_(pa.float32()))], ["label", "ids", "x"]
         )
 
 
+def known_chars(docs: DataFrame) -> Column:
+    """The documents' own ``n_chars``, null where there is no such column of whole numbers."""
+    return F.col("n_chars").cast("long") if dict(docs.dtypes).get("n_chars") in WHOLE else F.lit(None).cast("long")
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, seed: int = 11, label_col: str = "quality") -> FactorisationMachine:
     """Fit on ``max_rows`` labelled rows at most, none of them held out, chosen by a seeded hash.
 
@@ -126,15 +149,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, see
         .groupBy("doc_id").agg(F.min(label_col).alias("label"))
         .orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_rows)
     )
-    texts = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(chosen), "doc_id")
-    texts = texts.groupBy("doc_id").agg(F.first("label").cast("int").alias("label"), F.min("text").alias("text"))
-    found = texts.select("label", "text").mapInArrow(_featurise, "label int, ids array<int>, x array<float>").toArrow()
+    texts = docs.select("doc_id", F.struct(text_bytes().alias("text"), known_chars(docs).alias("n_chars")).alias("t")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.first("label").cast("int").alias("label"), F.min("t").alias("t"))
+    found = texts.select("label", "t.text", "t.n_chars").mapInArrow(_featurise, "label int, ids array<int>, x array<float>").toArrow()
     rows = [(i.values.to_numpy().astype(np.int64), x.values.to_numpy()) for i, x in zip(found.column("ids"), found.column("x"), strict=True)]
     return FactorisationMachine.fit(rows, found.column("label").to_numpy().astype(np.float64))
 
 
 def score_quality(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
-    """Adds ``score``, 0 to 1, to every row of ``docs`` from its whole ``text`` alone.
+    """Adds ``score``, 0 to 1, to every row of ``docs`` from its whole ``text`` and, if there is one, its ``n_chars``.
 
     Null and empty texts are scored like any other, from their statistics. Row order within a
     partition stays; other columns pass through, and an old ``score`` is replaced.
@@ -142,12 +165,14 @@ def score_quality(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.w, model.v))
     docs = docs.drop("score")
     text_at = docs.columns.index("text")
+    chars_at = docs.columns.index("n_chars") if dict(docs.dtypes).get("n_chars") in WHOLE else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = FactorisationMachine(*shared.value)
         for batch in rows_of(batches):
             raw = [(t or "").encode() for t in batch.column(text_at).to_pylist()]
-            scores = [machine.score(*features(b)) for b in raw]
+            chars = batch.column(chars_at).to_pylist() if chars_at is not None else [None] * len(raw)
+            scores = machine.score_many([features(b, n) for b, n in zip(raw, chars, strict=True)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
