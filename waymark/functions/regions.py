@@ -224,7 +224,7 @@ def segments(text: str, fence: str, marker: str = "@graph") -> list[tuple[str, s
 
 # -- commands as text -----------------------------------------------------------------------------
 
-_WORD = re.compile(r"""(?:[^\s'"\;&|]|&(?!&)|\\.|'[^']*'?|"(?:\\.|[^"\\])*"?)+|\\\Z""", re.S)
+_WORD = re.compile(r"""(?:[^\s'"\\;&|]|&(?!&)|\\.|'[^']*'?|"(?:\\.|[^"\\])*"?)+|\\\Z""", re.S)
 _OPERATOR = re.compile(r"&&|\|\|?|;")
 _ASSIGNMENT = re.compile(r"[A-Za-z_][A-Za-z0-9_]*=")
 
