@@ -69,15 +69,12 @@ def contains_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "contains_sorted",
-    f"""WITH {_PLACES} SELECT parent, count(*) AS n_children, string_agg(child, ',' ORDER BY child) AS children FROM (
-        SELECT CASE WHEN contains(dir, '/') THEN regexp_replace(dir, '/[^/]*$', '') ELSE '/' END AS parent, id AS child FROM places WHERE dir <> '' AND length(dir) - length(replace(dir, '/', '')) < 2)
-      GROUP BY parent""",
+    f"""WITH {_PLACES} SELECT parent, child, row_number() OVER (PARTITION BY parent ORDER BY child) AS position FROM (
+        SELECT CASE WHEN contains(dir, '/') THEN regexp_replace(dir, '/[^/]*$', '') ELSE '/' END AS parent, id AS child FROM places WHERE dir <> '')""",
 )
 def contains_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lists that a graph file holds: children of the root and of each region, in order."""
-    upper = customer_places(spark, sf_dir).filter(F.size(X.segments(F.col("dir"))) < 3)
-    per = prefix.contains_edges(upper).groupBy("parent").agg(F.count("*").alias("n_children"), F.array_sort(F.collect_list("child")).alias("c"))
-    return per.select("parent", "n_children", F.array_join("c", ",").alias("children"))
+    """The children of each place in order, as a graph file lists them."""
+    return prefix.contains_ordered(prefix.contains_edges(customer_places(spark, sf_dir)))
 
 
 _DIRS = "dirs AS (SELECT CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS own FROM paths), parts AS (SELECT own, string_split(own, '/') AS s FROM dirs WHERE own <> ''), up AS (SELECT own, array_to_string(s[1:n], '/') AS dir FROM (SELECT own, s, unnest(range(1, len(s) + 1)) AS n FROM parts))"

@@ -6,10 +6,11 @@ equi-join on exploded ancestors (depth rows per distinct directory), never a nes
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from ..sources.shared import ensure_checkpoints
 
 
 def deepest_owner(dirs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -37,6 +38,22 @@ def contains_edges(nodes: DataFrame) -> DataFrame:
     return inner.join(owned, "__up").select(F.col("owner").alias("parent"), F.col("id").alias("child"))
 
 
+def contains_ordered(edges: DataFrame) -> DataFrame:
+    """``parent, child, position``: each parent's distinct children numbered from 1 in order.
+
+    One range-partitioned order of all edges; a child's position is its place among its parent's
+    children in its range, plus those in earlier ranges. A parent with most of the children is spread
+    over as many ranges as it fills, and only (range, parent) counts are added up.
+    """
+    ensure_checkpoints(edges.sparkSession)
+    ranged = edges.select("parent", "child").distinct().repartitionByRange("parent", "child").withColumn("__range", F.spark_partition_id()).checkpoint()
+    counts = ranged.groupBy("parent", "__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("parent").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("parent", "__range", before.alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__range", "parent").orderBy("child"))
+    return ranged.withColumn("__place", place).join(offsets, ["parent", "__range"]).select("parent", "child", (F.col("__before") + F.col("__place")).alias("position"))
+
+
 def dir_rollup(files: DataFrame, *, path: str = "path") -> DataFrame:
     """``dir, n_files, n_direct``: files in and below each directory. Counts are per directory first."""
     direct = files.groupBy(X.parent_dir(F.col(path)).alias("own")).agg(F.count("*").alias("n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import subprocess
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..operators.ignore import drop_ignored, parse_rules
+from .shared import shared_root
 
 
 @dataclass(frozen=True)
@@ -78,13 +80,34 @@ def named(files: DataFrame, names: Sequence[str]) -> DataFrame:
     return files.filter(X.basename(F.col("path")).isin(*names))
 
 
-def history(spark: SparkSession, root: str) -> DataFrame:
-    """``seq, sha, subject, file``: one row per commit and file it touches, oldest first, from one log."""
-    done = subprocess.run(["git", "-C", root, "log", "--reverse", "--name-only", "-z", "--format=%x01%H%x02%s"], check=True, capture_output=True)
-    rows, seq = [], 0
-    for part in done.stdout.decode("utf-8", "replace").split("\x01")[1:]:
-        head, *names = part.split("\0")
-        sha, subject = head.split("\x02", 1)
-        seq += 1
-        rows += [(seq, sha, subject.strip(), n.strip("\n")) for n in names if n.strip("\n")]
-    return spark.createDataFrame(rows, "seq long, sha string, subject string, file string")
+def history(spark: SparkSession, root: str, *, chunk: int = 50_000) -> DataFrame:
+    """``seq, sha, subject, file``: one row per commit and file it touches, oldest first, from one log.
+
+    The log is read as a stream; the driver holds ``chunk`` rows at a time and writes them to the
+    shared folder.
+    """
+    path = f"{shared_root(spark)}/waymark/history-{uuid.uuid4().hex}"
+    schema = "seq long, sha string, subject string, file string"
+    spark.createDataFrame([], schema).write.parquet(path)
+    rows: list[tuple] = []
+
+    def put() -> None:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
+        rows.clear()
+
+    seq, sha, subject = 0, "", ""
+    with subprocess.Popen(["git", "-C", root, "-c", "core.quotePath=false", "log", "--reverse", "--name-only", "--format=%x01%H%x02%s"], stdout=subprocess.PIPE) as log:
+        for raw in log.stdout:
+            line = raw.decode("utf-8", "replace").rstrip("\n")
+            if line.startswith("\x01"):
+                seq += 1
+                sha, subject = line[1:].split("\x02", 1)
+            elif line:
+                rows.append((seq, sha, subject.strip(), line))
+                if len(rows) >= chunk:
+                    put()
+    if log.returncode:
+        raise subprocess.CalledProcessError(log.returncode, "git log")
+    if rows:
+        put()
+    return spark.read.schema(schema).parquet(path)
