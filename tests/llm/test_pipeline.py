@@ -102,3 +102,13 @@ def test_edges(spark, sf_dir):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, frame, sf_dir)
             assert out.columns[: len(schema.names)] == schema.names and out.count() <= 2 * frame.count()
+
+
+def test_own_columns_with_clashing_names_stay(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    own = docs.selectExpr("*", "'c' AS copy", "doc_id + 1 AS repeats", "'s' AS score", "-1 AS predicted", "7 AS size", "'t' AS target")
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, own, sf_dir)
+        assert out.columns[: len(own.columns)] == own.columns
+        for r in out.collect():
+            assert (r.copy, r.repeats, r.score, r.predicted, r.size, r.target) == ("c", r.doc_id + 1, "s", -1, 7, "t")
