@@ -95,6 +95,32 @@ def size_class(n: int) -> int:
     return int(math.log(max(n, 1)) / math.log(1.25) * (1 - 1e-12))
 
 
+#: Further lanes of SimHash bits that tell candidates from links before sets are compared, and how many may differ.
+SKETCH = 14
+SKETCH_BOUND = 169
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """``f2, s0..``: SKETCH further lanes of 64 SimHash bits of each set ``(f2, hashes)``.
+
+    They are 896 bits. At a similarity of 0.8 some 136 of them differ, with a deviation of 11;
+    SKETCH_BOUND is three deviations above.
+    """
+    names = [f"s{k}" for k in range(SKETCH)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches):
+            out = np.empty((SKETCH, batch.num_rows), np.uint64)
+            for row, hashes in enumerate(batch.column(1)):
+                lane = _second_lane(hashes.values.to_numpy().view(np.uint64))
+                for k in range(SKETCH):
+                    lane = _second_lane(lane)
+                    out[k, row] = majority_bits(lane)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in out)], ["f2", *names])
+
+    return sets.select("f2", "hashes").mapInArrow(run, "f2 long, " + ", ".join(f"{n} long" for n in names))
+
+
 def shingle_sets(docs: DataFrame, *, shingle: int = 5) -> DataFrame:
     """``f2, hashes``: each row's set of shingles under its code, as in ``set_prints``."""
 
@@ -263,7 +289,8 @@ def plan_parts(nodes: DataFrame, bound: int, *, lane: str = "f0", size: str | No
 
 
 def _signatures(nodes: DataFrame, plan: Plan, names: list[str]) -> DataFrame:
-    """``bucket, side, f0..``: each node under the keys of its lane ``names[0]``; side 0 is stored (and looked up, if one set serves).
+    """``bucket, side, f0..``: each node under the keys of its lane ``names[0]``. ``side`` is twice the partition's
+    number, and one more for what is only looked up; what is stored is looked up, too, if one set serves.
 
     The lanes ``names`` come out as ``f0, f1, ...`` in that order. In a sized plan each node stands
     in the buckets of its own size class and of the next.
@@ -283,7 +310,7 @@ def _signatures(nodes: DataFrame, plan: Plan, names: list[str]) -> DataFrame:
                     for start in range(0, len(key), block):
                         bucket = (key[start : start + block, None] ^ mask).ravel()
                         mixed = (bucket + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15)) if len(part.bits) > 56 else bucket | np.uint64(k << 56)
-                        rest = [pa.array(np.full(len(bucket), side, np.int8)), *(pa.array(np.repeat(x[start : start + block], len(mask)).view(np.int64)) for x in f)]
+                        rest = [pa.array(np.full(len(bucket), 2 * k + side, np.int8)), *(pa.array(np.repeat(x[start : start + block], len(mask)).view(np.int64)) for x in f)]
                         for step in steps:
                             under = mixed if step is None else mixed + np.repeat(step[start : start + block], len(mask)) * np.uint64(0xD6E8FEB86659FD93)
                             yield pa.RecordBatch.from_arrays([pa.array(under.view(np.int64)), *rest], ["bucket", "side", *lanes])
@@ -353,40 +380,68 @@ def link_bucket(f: np.ndarray, side: np.ndarray, bound: int, bound_all: int) ->
     return np.concatenate(out_i or [none]), np.concatenate(out_j or [none])
 
 
-def cross_pairs(f: np.ndarray, side: np.ndarray, bound: int, bound_all: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of a bucket within the bounds whose labels (the last row of ``f``) differ, block by block."""
+def first_meeting(differ: np.ndarray, plan: Plan) -> np.ndarray:
+    """The first partition in which fingerprints meet that differ in the bits ``differ``; they meet in one at least."""
+    out = np.full(len(differ), len(plan.parts), np.int64)
+    for k in range(len(plan.parts) - 1, -1, -1):
+        part = plan.parts[k]
+        mask = np.uint64(sum(1 << b for b in part.bits))
+        out[np.bitwise_count(differ & mask) <= part.left + part.right] = k
+    return out
+
+
+def cross_pairs(f: np.ndarray, side: np.ndarray, bound: int, bound_all: int, plan: Plan, part: int, others: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of a bucket within the bounds whose labels (the last row of ``f``) differ, block by block.
+
+    A pair is given by the first partition of the plan in which it meets, and with ``others`` only if
+    the other lane (row 1 of ``f``) does not give it, being over the bound there. Rows between that and
+    the last two are a sketch, in which SKETCH_BOUND bits may differ.
+    """
     crossed = bool(side.any())
     a, b = (np.flatnonzero(side == 0), np.flatnonzero(side)) if crossed else (np.arange(f.shape[1]),) * 2
     step = max(1, (1 << 19) // max(len(b), 1))
     for start in range(0, len(a), step):
         i, j = _pairs(f, a[start : start + step], b, bound, bound_all, f.shape[1] ** 2)
         apart = f[-1, i] != f[-1, j] if crossed else (f[-1, i] != f[-1, j]) & (i < j)
+        if others:
+            apart &= np.bitwise_count(f[1, i] ^ f[1, j]) > bound
+        i, j = i[apart], j[apart]
+        apart = first_meeting(f[0, i] ^ f[0, j], plan) == part
+        if len(f) > 4:
+            far = np.zeros(len(i), np.int64)
+            for row in f[2:-2]:
+                far += np.bitwise_count(row[i] ^ row[j])
+            apart &= far <= SKETCH_BOUND
         if apart.any():
             yield i[apart], j[apart]
 
 
-def _edges(signatures: DataFrame, lanes: int, bound: int, bound_all: int, *, labelled: bool = False) -> DataFrame:
+def _edges(signatures: DataFrame, lanes: int, bound: int, bound_all: int, *, labelled: Plan | None = None, others: bool = False) -> DataFrame:
     """``a0.., b0..`` from rows of buckets: probe and verify, bucket by bucket in sorted partitions.
 
-    ``labelled``: the last lane is a label, and all pairs of different labels are given.
+    ``labelled``: the signatures' plan, if the last lane is a label and all pairs of different labels
+    are asked for; then the rows are ``a, b`` of the lane before it.
     """
-    names = [f"{end}{k}" for end in "ab" for k in range(lanes)]
+    names = [f"{end}{k}" for end in "ab" for k in range(lanes)] if labelled is None else ["a", "b"]
 
     def joined(f: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        if labelled is not None:
+            f = f[-2:-1]
         return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (*f[:, i], *f[:, j])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            bucket, side, *f = columns
+            bucket, number, *f = columns
+            side = number & 1
             f = np.stack(f).view(np.uint64)
             cut = np.flatnonzero(np.diff(bucket)) + 1
             starts, ends = np.append(0, cut), np.append(cut, len(bucket))
             many = ends - starts > 1
             found, size = [], 0
-            if labelled:
+            if labelled is not None:
                 for a, b in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
-                    for i, j in cross_pairs(f[:, a:b], side[a:b], bound, bound_all):
+                    for i, j in cross_pairs(f[:, a:b], side[a:b], bound, bound_all, labelled, int(number[a]) >> 1, others):
                         found.append((i + a, j + a))
                         size += len(i)
                         if size > 1 << 16:
@@ -484,9 +539,9 @@ def similar_groups(docs: DataFrame, prints: DataFrame, *, shingle: int, percent:
     SimHash only proposes pairs, by an index of its own for each of two lanes of 64 bits: at most
     ``bound`` bits of one lane and ``bound_all`` of both differ. First it gives edges that span each bucket's close sets (all pairs
     where a bucket has few); they are measured and joined to components. Then all pairs of the
-    sets met so far that are within the bounds but in different components are measured as well, so
-    a group of n near copies costs about n pairs and no proposed pair goes unmeasured that could join
-    two components. Sets without a link may be left out.
+    sets met so far that are within the bounds but in different components are measured as well, if
+    a sketch of 896 further bits does not tell them apart. So a group of n near copies costs about n
+    pairs, and no proposed pair goes unmeasured that could join two components. Sets without a link may be left out.
     """
     nodes = materialize(prints.select("f0", "f1", "f2", "size").distinct(), "nodes")
     lanes = [(a, b, plan_parts(nodes, bound, lane=a, size="size")) for a, b in (("f0", "f1"), ("f1", "f0"))]
@@ -502,8 +557,11 @@ def similar_groups(docs: DataFrame, prints: DataFrame, *, shingle: int, percent:
     linked = materialize(_measured(first, sets, percent), "linked")
     groups = connected_components(linked)
     labels = groups.select(F.col("node").alias("f2"), F.col("component").alias("f3"))
-    marked = materialize(nodes.join(met, "f2", "left_semi").join(labels, "f2", "left").select("f0", "f1", "f2", F.coalesce("f3", "f2").alias("f3"), "size"), "marked")
-    found = [ends(_edges(_signatures(marked, plan, [a, b, "f2", "f3"]), 4, bound, bound_all, labelled=True), 2) for a, b, plan in lanes]
+    more_bits = [f"s{k}" for k in range(SKETCH)]
+    marked = nodes.join(sketches(sets), "f2").join(labels, "f2", "left").select("f0", "f1", *more_bits, "f2", F.coalesce("f3", "f2").alias("f3"), "size")
+    marked = materialize(marked, "marked")
+    found = [_edges(_signatures(marked, plan, [a, b, *more_bits, "f2", "f3"]), SKETCH + 4, bound, bound_all, labelled=plan, others=a == "f1") for a, b, plan in lanes]
+    found = [f.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b") for f in found]
     second = materialize(found[0].union(found[1]).distinct().join(first, ["a", "b"], "left_anti"), "candidates")
     more = materialize(_measured(second, sets, percent), "linked")
     if not more.isEmpty():
