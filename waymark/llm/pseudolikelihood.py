@@ -17,17 +17,37 @@ from .common import rows_of, text_bytes
 WORDS, ENDINGS, CLASSES, OWN = 1 << 22, 16, 128, 96
 #: Neighbours that the network sees on each side, and its widths.
 SIDE, WIDTH, HIDDEN = 2, 12, 32
+#: Logits are cut here, so that no power overflows.
+LARGEST = 60.0
 #: What a word weighs besides its count, so that words that stand nowhere else have a chance.
 FLOOR = 0.1
 _SHAPES = ((CLASSES + 1, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
 _SIZES = [int(np.prod(s)) for s in _SHAPES]
 
 
-def word_numbers(raw: bytes) -> np.ndarray:
-    """A number for each word: a hash of the word, its lowest bits a hash of its last two bytes."""
-    words = raw.split()
+_WHITE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+
+
+def numbers_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all words of some texts, one after the other, and how many each text has.
+
+    A number is a hash of the word, its lowest bits a hash of its last two bytes.
+    """
+    joined = b"\n".join(texts)
+    words = joined.split()
     whole = np.fromiter(map(crc32, words), np.int64, len(words)) % WORDS
-    return whole // ENDINGS * ENDINGS + np.fromiter(map(crc32, [w[-2:] for w in words]), np.int64, len(words)) % ENDINGS
+    text = np.frombuffer(joined, np.uint8)
+    white = _WHITE[text]
+    ends = np.flatnonzero(~white & np.append(white[1:], True)) if len(text) else np.empty(0, np.int64)
+    size = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(size + 1) - size - 1
+    n = np.searchsorted(ends, begin + size) - np.searchsorted(ends, begin)
+    before = np.where((ends > 0) & ~white[ends - 1], text[ends - 1], 0).astype(np.int64)
+    return whole // ENDINGS * ENDINGS + (text[ends] * np.int64(167) + before * 59) // 8 % ENDINGS, n
+
+
+def word_numbers(raw: bytes) -> np.ndarray:
+    return numbers_of([raw])[0]
 
 
 @dataclass
@@ -79,18 +99,16 @@ class WindowNetwork:
         return x, h, h @ self.outer + self.base
 
     def log_chances(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        z = self.forward(context)[2]
-        z -= z.max(axis=1, keepdims=True)
-        return z[np.arange(len(z)), target] - np.log(np.exp(z).sum(axis=1))
+        z = np.minimum(self.forward(context)[2], LARGEST)
+        own = z[np.arange(len(z)), target]
+        return own - np.log(np.exp(z, out=z).sum(axis=1))
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One gradient step on the mean negative log-likelihood."""
         x, h, z = self.forward(context)
-        z -= z.max(axis=1, keepdims=True)
-        g = np.exp(z)
-        g /= g.sum(axis=1, keepdims=True)
-        g[np.arange(len(g)), target] -= 1
-        g /= len(g)
+        g = np.exp(np.minimum(z, LARGEST, out=z), out=z)
+        g *= 1 / (len(g) * g.sum(axis=1, keepdims=True))
+        g[np.arange(len(g)), target] -= 1 / len(g)
         gh = (g @ self.outer.T) * (1 - h * h)
         gx = (gh @ self.inner.T).reshape(-1, WIDTH)
         self.outer -= rate * (h.T @ g)
@@ -102,11 +120,16 @@ class WindowNetwork:
             self.embed[:, k] -= rate * np.bincount(where, gx[:, k], CLASSES + 1).astype(np.float32)
 
 
-def contexts(classes: np.ndarray) -> np.ndarray:
-    """For each position the classes of its neighbours, nearest last and first; past the ends, the margin."""
-    padded = np.pad(classes, SIDE, constant_values=CLASSES)
-    view = np.lib.stride_tricks.sliding_window_view(padded, 2 * SIDE + 1)
-    return np.delete(view, SIDE, axis=1)
+def contexts(classes: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
+    """For each position the classes of SIDE neighbours before and after it, within its text; past the ends, the margin.
+
+    ``classes`` are those of some texts, one after the other, of ``n`` words each (without it: of one text).
+    """
+    n = np.array([len(classes)]) if n is None else n
+    at = np.arange(len(classes)) + SIDE * (np.repeat(np.arange(len(n)), n) + 1)
+    padded = np.full(len(classes) + SIDE * (len(n) + 1), CLASSES, np.int64)
+    padded[at] = classes
+    return np.stack([padded[at + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
 
 
 def count_words(docs: DataFrame) -> np.ndarray:
@@ -115,7 +138,7 @@ def count_words(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(WORDS, np.int64)
         for batch in rows_of(batches):
-            number, n = np.unique(np.concatenate([word_numbers(raw) for raw in batch.column(0).to_pylist()]), return_counts=True)
+            number, n = np.unique(numbers_of(batch.column(0).to_pylist())[0], return_counts=True)
             sums[number] += n
         used = np.flatnonzero(sums)
         for start in range(0, len(used), 1 << 16):
@@ -149,21 +172,19 @@ def train(docs: DataFrame, vocabulary: Vocabulary, *, rounds: int = 2, stride: i
         now = spark.sparkContext.broadcast(flat)
 
         def run(batches: Iterator[pa.RecordBatch], now=now, turn=turn) -> Iterator[pa.RecordBatch]:
-            network, seen, held = WindowNetwork(now.value), 0, []
+            network, seen = WindowNetwork(now.value), 0
             for batch in rows_of(batches):
-                for raw in batch.column(0).to_pylist():
-                    classes = known.value.of[word_numbers(raw)]
-                    at = targets(len(classes), turn, rounds, stride)
-                    if len(at):
-                        held.append((contexts(classes)[at], classes[at]))
-                if held:
-                    x, y = (np.concatenate(c) for c in zip(*held, strict=True))
-                    order = np.random.default_rng(seen).permutation(len(y))
-                    for start in range(0, len(y), 512):
-                        part = order[start : start + 512]
-                        network.step(x[part], y[part], rate / (1 + seen / 2e5) / (1 + turn))
-                        seen += len(part)
-                    held = []
+                numbers, n = numbers_of(batch.column(0).to_pylist())
+                classes = known.value.of[numbers]
+                first = np.repeat((n * 7 + turn * max(1, stride // rounds)) % stride, n)
+                place = np.arange(len(classes)) - np.repeat(np.cumsum(n) - n, n)
+                at = np.flatnonzero((place >= first) & ((place - first) % stride == 0))
+                x, y = contexts(classes, n)[at], classes[at]
+                order = np.random.default_rng(seen).permutation(len(y))
+                for start in range(0, len(y), 512):
+                    part = order[start : start + 512]
+                    network.step(x[part], y[part], rate / (1 + seen / 2e5) / (1 + turn))
+                    seen += len(part)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(now.value)), pa.int32()), pa.array(network.flat().astype(np.float64) * seen), pa.array(np.full(len(now.value), float(seen)))], ["at", "value", "weight"])
 
@@ -193,14 +214,11 @@ def score_likelihood(docs: DataFrame, *, rounds: int = 2, stride: int | None = N
         known, flat = model.value
         network = WindowNetwork(flat)
         for batch in rows_of(batches, 1 << 20):
-            numbers = [word_numbers(raw) for raw in batch.column(1).to_pylist()]
-            n = np.array([len(x) for x in numbers])
+            flat_numbers, n = numbers_of(batch.column(1).to_pylist())
             sums, new = np.zeros(len(n)), np.zeros(len(n))
-            flat_numbers = np.concatenate(numbers)
             if len(flat_numbers):
-                classes = [known.of[x] for x in numbers]
-                context = np.concatenate([contexts(c) for c in classes if len(c)])
-                target = np.concatenate(classes)
+                target = known.of[flat_numbers]
+                context = contexts(target, n)
                 each = known.log_share(flat_numbers)
                 new = np.bincount(np.repeat(np.arange(len(n)), n), known.counts[flat_numbers] <= 1, len(n))
                 for start in range(0, len(target), 8192):
