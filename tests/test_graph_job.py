@@ -62,7 +62,7 @@ def frame(spark, changes=None):
 
 def findings(spark, changes=None, **more):
     files = frame(spark, changes)
-    graph = compile_graph(files)
+    graph = compile_graph(files).cache()
     return [(r["class"], r.node, r.message) for r in C.check(graph, files, S.readable(files), **more).collect()]
 
 
