@@ -18,6 +18,7 @@ from .search import search_top_k
 from .simhash import near_duplicates
 from .tokencount import count_tokens
 from .urlrules import filter_urls
+from .variants import group_variants
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -70,6 +71,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bound=2)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(table(spark, sf_dir, "documents"), spoil=31, least_length=7, least=2, ratio=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_pseudo_likelihood": op9_pseudo_likelihood,
     "op10_simhash": op10_simhash,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 SQL: dict[str, str] = {
@@ -112,4 +118,41 @@ SQL: dict[str, str] = {
         SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
                sha256(coalesce(array_to_string(list_filter(words, lambda w, i: ps IS NULL OR NOT list_contains(ps, i)), ' '), '')) AS kept_sha256
         FROM split LEFT JOIN per USING (r)""",
+    "op11_spelling_variants": r"""
+        WITH RECURSIVE
+        steps AS (
+          SELECT b, list_reduce(list_prepend(b::BIGINT, range(8)::BIGINT[]), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS v FROM range(256) t(b)),
+        tab AS MATERIALIZED (SELECT list(v ORDER BY b) AS t FROM steps),
+        texts AS (
+          SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+'),
+            lambda r: translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS rs FROM documents),
+        runs AS (SELECT doc_id, unnest(rs) AS r FROM texts),
+        per AS MATERIALIZED (SELECT doc_id, r, count(*) AS c FROM runs WHERE length(r) >= 7 GROUP BY ALL),
+        bytes AS (
+          SELECT doc_id, r, c,
+            list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':', ''), lambda x: ascii(x)::BIGINT)
+            || flatten(list_transform(string_split(r, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, (unicode(x) - 64)::BIGINT] END)) AS bs
+          FROM per),
+        hashed AS (
+          SELECT r, c, xor(list_reduce(list_prepend(4294967295::BIGINT, bs), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS h
+          FROM bytes, tab),
+        cut AS (
+          SELECT CASE WHEN h % 31 = 0 THEN left(r, (h % length(r))::BIGINT) || substr(r, (h % length(r))::BIGINT + 2) ELSE r END AS word, c FROM hashed),
+        words AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+        holes AS (SELECT word, n, unnest(list_transform(range(length(word)), lambda i: left(word, i::BIGINT) || '*' || substr(word, i::BIGINT + 2))) AS hole FROM words),
+        shorter AS (SELECT DISTINCT word, n, replace(hole, '*', '') AS gone FROM holes),
+        near AS (
+          SELECT a.word, b.word AS other, b.n AS m FROM holes a JOIN holes b ON a.hole = b.hole AND a.word <> b.word
+          UNION ALL SELECT s.word, w.word, w.n FROM shorter s JOIN words w ON s.gone = w.word
+          UNION ALL SELECT w.word, s.word, s.n FROM shorter s JOIN words w ON s.gone = w.word),
+        best AS (SELECT word, count(*) AS n_near, max(m) AS top FROM near GROUP BY word),
+        chosen AS (
+          SELECT n.word, min(n.other) AS other FROM near n JOIN best b ON n.word = b.word AND n.m = b.top GROUP BY n.word),
+        formed AS MATERIALIZED (
+          SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN b.top >= 10 * w.n THEN c.other END AS form, CASE WHEN b.top >= 10 * w.n THEN b.top END AS form_n
+          FROM words w LEFT JOIN best b USING (word) LEFT JOIN chosen c USING (word)),
+        walk AS (
+          SELECT word, word AS root, form AS ahead FROM formed
+          UNION ALL SELECT k.word, f.word, f.form FROM walk k JOIN formed f ON f.word = k.ahead)
+        SELECT f.word, f.form, k.root, f.n, f.n_near, f.form_n FROM formed f JOIN walk k ON k.word = f.word AND k.ahead IS NULL""",
 }
