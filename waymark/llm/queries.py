@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontam import find_leaks
+from .digest import compare_edits
 from .extract import extract_pages
 from .mixing import mix_documents
 from .pseudolikelihood import score_likelihood
@@ -75,6 +76,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(table(spark, sf_dir, "documents"), spoil=31, least_length=7, least=2, ratio=10)
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edits(table(spark, sf_dir, "documents"), share=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pseudo_likelihood": op9_pseudo_likelihood,
     "op10_simhash": op10_simhash,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_document_fingerprints": op12_document_fingerprints,
 }
 
 SQL: dict[str, str] = {
@@ -155,4 +161,62 @@ SQL: dict[str, str] = {
           SELECT word, word AS root, form AS ahead FROM formed
           UNION ALL SELECT k.word, f.word, f.form FROM walk k JOIN formed f ON f.word = k.ahead)
         SELECT f.word, f.form, k.root, f.n, f.n_near, f.form_n FROM formed f JOIN walk k ON k.word = f.word AND k.ahead IS NULL""",
+    "op12_document_fingerprints": r"""
+        WITH ordered AS (
+          SELECT doc_id, coalesce(text, '') AS text,
+                 coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC), first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC)) AS following,
+                 coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), first_value(doc_id) OVER (ORDER BY doc_id DESC)) AS next_id
+          FROM documents),
+        edited AS (
+          SELECT doc_id, next_id, length(text)::BIGINT AS n_chars, text,
+                 left(text, length(text) - length(text) // 3) || left(following, length(text) // 3) AS changed FROM ordered),
+        forms AS (SELECT doc_id, 0 AS form, text AS t FROM edited UNION ALL SELECT doc_id, 1, changed FROM edited),
+        letters AS (SELECT doc_id, form, list_transform(string_split(t, ''), lambda x: unicode(x)) AS cs FROM forms WHERE t <> ''),
+        bytes AS (
+          SELECT doc_id, form, unnest(flatten(list_transform(cs, lambda u: CASE
+              WHEN u < 128 THEN [u]
+              WHEN u < 2048 THEN [192 + u // 64, 128 + u % 64]
+              WHEN u < 65536 THEN [224 + u // 4096, 128 + u // 64 % 64, 128 + u % 64]
+              ELSE [240 + u // 262144, 128 + u // 4096 % 64, 128 + u // 64 % 64, 128 + u % 64] END)))::UBIGINT AS b,
+            generate_subscripts(flatten(list_transform(cs, lambda u: CASE WHEN u < 128 THEN [0] WHEN u < 2048 THEN [0, 0] WHEN u < 65536 THEN [0, 0, 0] ELSE [0, 0, 0, 0] END)), 1) AS i
+          FROM letters),
+        reach AS (
+          SELECT doc_id, form, b, lead(b, 1) OVER w AS b1, lead(b, 2) OVER w AS b2, lead(b, 3) OVER w AS b3, lead(b, 7) OVER w AS b7,
+                 lead(b, 4) OVER w AS b4, lead(b, 9) OVER w AS b9, lead(b, 5) OVER w AS b5, lead(b, 11) OVER w AS b11
+          FROM bytes WINDOW w AS (PARTITION BY doc_id, form ORDER BY i)),
+        triplets AS (
+          SELECT doc_id, form, b + 256 * b1 + 65536 * b2 + 16777216 AS x FROM reach WHERE b2 IS NOT NULL
+          UNION ALL SELECT doc_id, form, b + 256 * b3 + 65536 * b7 + 2 * 16777216 FROM reach WHERE b7 IS NOT NULL
+          UNION ALL SELECT doc_id, form, b + 256 * b4 + 65536 * b9 + 3 * 16777216 FROM reach WHERE b9 IS NOT NULL
+          UNION ALL SELECT doc_id, form, b + 256 * b5 + 65536 * b11 + 4 * 16777216 FROM reach WHERE b11 IS NOT NULL),
+        once AS (SELECT doc_id, form, (x::UBIGINT * 2654435761) % 4294967296 AS y FROM triplets),
+        twice AS (SELECT doc_id, form, ((xor(y, y >> 15) * 2246822519::UBIGINT) % 4294967296) >> 24 AS bucket FROM once),
+        counted AS (SELECT doc_id, form, bucket, count(*) AS c FROM twice GROUP BY ALL),
+        counts AS MATERIALIZED (
+          SELECT f.doc_id, f.form, b.bucket, coalesce(c.c, 0) AS c
+          FROM forms f CROSS JOIN (SELECT range::UBIGINT AS bucket FROM range(256)) b LEFT JOIN counted c ON c.doc_id = f.doc_id AND c.form = f.form AND c.bucket = b.bucket),
+        sorted AS (SELECT doc_id, form, list_sort(list(c)) AS cs FROM counts GROUP BY ALL),
+        quartiles AS (SELECT doc_id, form, cs[64] AS q1, cs[128] AS q2, cs[192] AS q3 FROM sorted),
+        codes AS (
+          SELECT doc_id, form, bucket, (c > q1)::BIGINT + (c > q2)::BIGINT + (c > q3)::BIGINT AS code FROM counts JOIN quartiles USING (doc_id, form)),
+        lists AS (SELECT doc_id, form, list(code ORDER BY bucket) AS code FROM codes GROUP BY ALL),
+        sizes AS (SELECT doc_id, form, octet_length(encode(t))::BIGINT AS n FROM forms),
+        tops AS (SELECT doc_id, form, n, length(bin(n)) - 1 AS top FROM sizes),
+        heads AS (
+          SELECT doc_id, form, CASE WHEN n < 4 THEN n ELSE 4 * top + (n >> (top - 2)) % 4 END AS len,
+                 least(15, 16 * q1 // greatest(q3, 1)) AS r1, least(15, 16 * q2 // greatest(q3, 1)) AS r2
+          FROM tops JOIN quartiles USING (doc_id, form)),
+        prints AS MATERIALIZED (
+          SELECT doc_id, form, len, r1, r2, code,
+                 printf('%02x%x%x', len, r1, r2) || array_to_string(list_transform(range(128), lambda j: printf('%x', 4 * code[2 * j + 1] + code[2 * j + 2])), '') AS digest
+          FROM heads JOIN lists USING (doc_id, form)),
+        pairs AS (
+          SELECT doc_id, 1 AS other_form, doc_id AS other FROM edited UNION ALL SELECT doc_id, 0, next_id FROM edited),
+        alike AS (
+          SELECT p.doc_id, p.other_form, 1.0::DOUBLE - least(416, least(abs(a.len - b.len), 16) + least(abs(a.r1 - b.r1), 4) + least(abs(a.r2 - b.r2), 4)
+                   + list_sum(list_transform(list_zip(a.code, b.code), lambda z: CASE WHEN abs(z[1] - z[2]) = 3 THEN 6 ELSE abs(z[1] - z[2]) END)))::DOUBLE / 416.0::DOUBLE AS v
+          FROM pairs p JOIN prints a ON a.doc_id = p.doc_id AND a.form = 0 JOIN prints b ON b.doc_id = p.other AND b.form = p.other_form)
+        SELECT e.doc_id, e.n_chars, sha256(e.changed) AS edited_sha256, a.digest AS fingerprint, b.digest AS edited_fingerprint, x.v AS near_edited, y.v AS near_next
+        FROM edited e JOIN prints a ON a.doc_id = e.doc_id AND a.form = 0 JOIN prints b ON b.doc_id = e.doc_id AND b.form = 1
+        JOIN alike x ON x.doc_id = e.doc_id AND x.other_form = 1 JOIN alike y ON y.doc_id = e.doc_id AND y.other_form = 0""",
 }
