@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import mine_collocations
 from .common import table
 from .decontam import find_leaks
 from .digest import compare_edits
@@ -80,6 +81,10 @@ def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edits(table(spark, sf_dir, "documents"), share=3)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(table(spark, sf_dir, "documents"), threshold=100, longest=5, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_document_fingerprints": op12_document_fingerprints,
+    "op13_collocations": op13_collocations,
 }
 
 SQL: dict[str, str] = {
@@ -219,4 +225,28 @@ SQL: dict[str, str] = {
         SELECT e.doc_id, e.n_chars, sha256(e.changed) AS edited_sha256, a.digest AS fingerprint, b.digest AS edited_fingerprint, x.v AS near_edited, y.v AS near_next
         FROM edited e JOIN prints a ON a.doc_id = e.doc_id AND a.form = 0 JOIN prints b ON b.doc_id = e.doc_id AND b.form = 1
         JOIN alike x ON x.doc_id = e.doc_id AND x.other_form = 1 JOIN alike y ON y.doc_id = e.doc_id AND y.other_form = 0""",
+    "op13_collocations": r"""
+        WITH pieces AS (
+          SELECT coalesce(lang, 'und') AS lang,
+                 unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+          FROM documents),
+        lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+        grams AS (
+          SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS phrase
+          FROM lists, (SELECT unnest(range(1, 6)) AS size) WHERE len(ws) >= size),
+        counts AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL),
+        totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY lang),
+        candidates AS MATERIALIZED (SELECT lang, size, phrase, f AS a FROM counts WHERE size > 1 AND f >= 100),
+        free AS (
+          SELECT * FROM candidates c WHERE NOT EXISTS (
+            SELECT 1 FROM candidates d WHERE d.lang = c.lang AND d.size > c.size AND d.a = c.a AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' '))),
+        cuts AS (
+          SELECT lang, phrase, a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS first, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest
+          FROM (SELECT *, unnest(range(1, size)) AS k FROM free)),
+        scored AS (
+          SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, t.n, ((1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+          FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.first JOIN counts y ON y.lang = c.lang AND y.phrase = c.rest JOIN totals t ON t.lang = c.lang),
+        weakest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest WHERE nth = 1)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000""",
 }
