@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .bloom import bit_rows, counted, filled, masks, mix, passing, places, slots_for
+from .bloom import bit_rows, filled, masks, mix, passing, places, slots_for
 from .common import materialize, rows_of, text_bytes
 
 #: A to Z lower-cased, what ends a piece becomes a full stop, tabs become spaces.
@@ -195,7 +195,9 @@ def phrase_counts(texts: DataFrame, words: DataFrame, threshold: int, longest: i
     ``words(lang, word, n)`` are the frequent ones. A sequence can reach the threshold only if its words,
     then its pairs do: pairs of frequent words go through the summaries first, longer sequences of
     frequent pairs after them, as 64-bit hashes. What survives is counted exactly, by words, in a last
-    pass. Filters let too much through where they are full, never too little.
+    pass: a task hands each hash partition one row with its phrases, and the partition adds the rows up;
+    it holds the survivors only, as many as its summary. Filters let too much through where they are
+    full, never too little.
     """
     spark = texts.sparkSession
 
@@ -260,16 +262,40 @@ def phrase_counts(texts: DataFrame, words: DataFrame, threshold: int, longest: i
             yield counts
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
+        """One row per hash partition: its phrases and how often each stands in what the task has read."""
+        held: dict[tuple[str, int, bytes], int] = {}
 
-        def columns(keys: list) -> list[pa.Array]:
-            langs, sizes, phrases = zip(*keys, strict=True)
-            return [pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string())]
-
-        yield from counted(exactly(batches), REMEMBER, schema, columns)
+        def flush() -> Iterator[pa.RecordBatch]:
+            parts: dict[int, list[tuple]] = {}
+            for (lang, size, phrase), n in held.items():
+                parts.setdefault(xxh64_intdigest(phrase, size) % partitions, []).append((lang, size, phrase, n))
+            held.clear()
+            columns = [[list(column) for column in zip(*rows, strict=True)] for rows in parts.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), *(pa.array([c[i] for c in columns], pa.list_(t)) for i, t in enumerate(kinds))], names=["part", "lang", "size", "phrase", "f"])
+
+        for counts in exactly(batches):
+            for key, n in counts.items():
+                held[key] = held.get(key, 0) + n
+            if len(held) >= REMEMBER:
+                yield from flush()
+        if held:
+            yield from flush()
 
-    counts = texts.mapInArrow(tally, "lang string, size int, phrase string, f long").groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
-    return counts.filter(F.col("f") >= threshold).select("lang", "phrase", "size", "f")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int, bytes], int] = {}
+        for batch in batches:
+            langs, sizes, phrases, counts = (batch.column(i).flatten().to_pylist() for i in range(1, 5))
+            for lang, size, phrase, n in zip(langs, sizes, phrases, counts, strict=True):
+                key = lang, size, phrase
+                sums[key] = sums.get(key, 0) + n
+        rows = [(lang, phrase, size, n) for (lang, size, phrase), n in sums.items() if n >= threshold]
+        if rows:
+            langs, phrases, sizes, counts = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int32()), pa.array(counts, pa.int64())], names=["lang", "phrase", "size", "f"])
+
+    kinds = (pa.string(), pa.int32(), pa.binary(), pa.int64())
+    packed = texts.mapInArrow(tally, "part long, lang array<string>, size array<int>, phrase array<binary>, f array<long>")
+    return packed.repartition(partitions, "part").mapInArrow(merge, "lang string, phrase string, size int, f long")
 
 
 def mine_collocations(docs: DataFrame, threshold: int = 100, longest: int = 5, scale: int = 1000, inside: int = 100, top: int = 2000, lang_col: str = "lang", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
