@@ -17,7 +17,7 @@ from .common import materialize, rows_of, text_bytes
 #: A to Z lower-cased, what ends a piece becomes a full stop, tabs become spaces.
 _PLAIN = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x2E if c in b".,;:!?\n\x0b\x0c\r" else 0x20 if c == 9 else c for c in range(256))
 #: Distinct words that a task numbers, distinct phrases that it adds up, and sequences that it counts at once.
-REMEMBER, CHUNK = 500_000, 1 << 22
+REMEMBER, CHUNK = 300_000, 1 << 21
 #: Blocks of 8 bytes in one broadcast filter (32 MB at most). A fuller filter lets more through and drops nothing.
 SLOTS = 1 << 22
 #: Counters that a hash partition should need, which sets how many there are.
