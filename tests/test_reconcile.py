@@ -52,7 +52,7 @@ def frame(spark, changes=None):
 
 @pytest.fixture(scope="module")
 def graph(spark):
-    return compile_graph(frame(spark)).cache()
+    return compile_graph(frame(spark))
 
 
 def test_symbols_resolve_once_never_or_several_times(spark, graph):
@@ -100,7 +100,7 @@ def test_stamps_survive_the_stored_graph(spark, graph, tmp_path):
 
 def test_freshness_and_blame(spark):
     files = frame(spark, {"web/AGENTS.md": NODE.replace("web/sum.py#twice", "notes.md#c10"), "web/plain.md": "# Plain\n"})
-    graph, texts = compile_graph(files).cache(), S.readable(files)
+    graph, texts = compile_graph(files), S.readable(files)
     now = {(r.node_id, r.slug): r.verified_digest for r in stamp_claims(graph, texts, "x").collect()}
     stamps = spark.createDataFrame(
         [("web", "total", "s1", "drifted"), ("/", "top", "s1", now["/", "top"]), ("web", "c1", "s1", None), ("web", "c10", "lost", None), ("web", "gone", "s1", None)],

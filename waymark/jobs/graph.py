@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, fields
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +16,7 @@ from ..functions.lexing import LANGUAGES, comments, declared_modules, fenced_blo
 from ..functions.regions import anchored_region, headings, regions
 from ..operators import edges, prefix, resolve, tokens
 from ..sources.files import Notation, named, readable
+from ..sources.shared import stored
 
 #: What an authored block may hold, level by level; anything else is refused.
 _BLOCK = {"kind", "id", "purpose", "commands", "invariants", "hazards", "edges", "budget"}
@@ -28,27 +28,6 @@ _NODE_SCHEMA = (
 )
 
 
-@dataclass
-class GraphTables:
-    """The compiled graph: one DataFrame for each kind of row."""
-
-    nodes: DataFrame
-    errors: DataFrame
-    claims: DataFrame
-    depends: DataFrame
-    decided_by: DataFrame
-    allow: DataFrame
-    landmark_occ: DataFrame
-    landmarks: DataFrame
-    claim_refs: DataFrame
-    imports: DataFrame
-    contains: DataFrame
-    records: DataFrame
-
-    def cache(self) -> GraphTables:
-        return GraphTables(*(getattr(self, f.name).cache() for f in fields(self)))
-
-
 class Refused(ValueError):
     pass
 
@@ -161,47 +140,43 @@ def authored_blocks(files: DataFrame, notation: Notation) -> DataFrame:
     return named(files, [notation.node_file]).select("path", "content").mapInArrow(run, _NODE_SCHEMA)
 
 
-def _comment_lines(texts: DataFrame) -> DataFrame:
-    """``file, line, content`` where tokens count: comments, HTML comments of markdown, all lines of other files."""
-    lexed = texts.filter(F.col("ext").isin(*LANGUAGES, "md", "markdown"))
-    others = texts.filter(~F.col("ext").isin(*LANGUAGES, "md", "markdown"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [
-                (path, line, content)
-                for path, ext, text in zip(*(c.to_pylist() for c in batch.columns), strict=True)
-                for line, content in (comments(text, LANGUAGES[ext]) if ext in LANGUAGES else markdown_comments(text))
-            ]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string()), strict=True)], ["file", "line", "content"])
-
-    plain = tokens.lines_of(others.withColumnRenamed("path", "file"), "text", "file")
-    return lexed.select("path", "ext", "text").mapInArrow(run, "file string, line int, content string").unionByName(plain)
+def lexed(texts: DataFrame, notation: Notation) -> DataFrame:
+    """``kind, file, language, line, content, source`` of what one pass over ``texts(path, ext, text)`` finds.
 
+    ``line``: a line of a comment (in markdown of an HTML comment, in other files any line) that holds a
+    token; ``import`` and ``module``: names that code imports and declares.
+    """
+    marks = (notation.landmark, notation.claim)
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
+    columns = ["kind", "file", "language", "line", "content", "source"]
 
-def _names(texts: DataFrame) -> DataFrame:
-    """``file, language, name, line, source, declares``: names that files import, and modules that they declare."""
+    def lines_of(ext: str, text: str) -> list[tuple[int, str]]:
+        if not any(m in text for m in marks):
+            return []
+        if ext in LANGUAGES:
+            return comments(text, LANGUAGES[ext])
+        return markdown_comments(text) if ext in ("md", "markdown") else list(enumerate((x.removesuffix("\r") for x in text.split("\n")), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for path, ext, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                language = LANGUAGES[ext]
-                rows += [(path, language, *found, False) for found in imported(text, language)]
-                if language == "elixir":
-                    rows += [(path, language, name, 0, "", True) for name in declared_modules(text)]
+                rows += [("line", path, None, line, content, None) for line, content in lines_of(ext, text) if any(m in content for m in marks)]
+                if language := LANGUAGES.get(ext):
+                    rows += [("import", path, language, line, name, source) for name, line, source in imported(text, language)]
+                    if language == "elixir":
+                        rows += [("module", path, language, 0, name, "") for name in declared_modules(text)]
             if rows:
-                kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "language", "name", "line", "source", "declares"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], columns)
+
+    return texts.select("path", "ext", "text").mapInArrow(run, "kind string, file string, language string, line int, content string, source string")
 
-    code = texts.filter(F.col("ext").isin(*LANGUAGES)).select("path", "ext", "text")
-    return code.mapInArrow(run, "file string, language string, name string, line int, source string, declares boolean")
 
+def file_references(files: DataFrame, names: DataFrame) -> DataFrame:
+    """``from_file, to_file, line, source``: imports that name a tracked file (a crate's directory for Rust).
 
-def file_references(files: DataFrame, texts: DataFrame) -> DataFrame:
-    """``from_file, to_file, line, source``: imports that name a tracked file (a crate's directory for Rust)."""
-    names = _names(texts)
+    ``names(file, language, name, line, source, declares)`` are the names that files import and declare.
+    """
     used = names.filter(~F.col("declares"))
     paths = files.select("path")
 
@@ -280,54 +255,123 @@ def anchor_digests(anchors: DataFrame, versions: DataFrame, notation: Notation)
     return both.select(*names, "text").mapInArrow(run, schema)
 
 
-def compile_graph(files: DataFrame, notation: Notation = Notation()) -> GraphTables:
-    """All tables of the graph that ``files(path, content)`` declare and show.
+class GraphTables:
+    """The graph that ``files(path, content)`` declare and show: one DataFrame for each kind of row.
 
     Refused blocks are rows of ``errors`` and make no node. Everything is attributed to the node with
-    the deepest directory above it; landmarks without an owner belong to the root.
+    the deepest directory above it; landmarks without an owner belong to the root. A table is computed
+    when it is first asked for. What others build on (files, blocks, what lexing found, claims) is
+    written once to the shared folder; nothing is cached on executors.
     """
-    texts = readable(files).cache()
-    blocks = authored_blocks(files, notation)
-    own_dir = X.parent_dir(F.col("path"))
-    blocks = refuse_equal_slugs(blocks, notation)
-    lower = blocks.filter("error IS NULL").withColumn("dir", own_dir).withColumn("node", X.node_id(F.coalesce("id", F.when(own_dir == "", F.lit(X.SYSTEM_ID)).otherwise(own_dir))))
-    lower = lower.cache()
-    twice = lower.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("n"), F.min("path").alias("path")).filter("n > 1")
-    errors = (
-        blocks.filter("error IS NOT NULL").select("path", "error")
-        .unionByName(lower.filter("node IS NULL").select("path", F.lit("id is no repository path").alias("error")))
-        .unionByName(twice.select("path", F.concat(F.lit("id declared twice: "), "node").alias("error")))
-    )
-    good = lower.filter("node IS NOT NULL")
-    nodes = good.select(F.col("node").alias("id"), "kind", "purpose", "commands", "budget", F.col("path").alias("source"), "dir")
 
-    claims = good.select(F.col("node").alias("node_id"), F.posexplode("claims").alias("ord", "c")).select(
-        "node_id", "ord", "c.*", X.derive_slug(F.col("c.anchor"), notation.landmark).alias("slug")
-    )
-    target = lambda c: X.node_id(F.col(c))
-    depends = good.select(F.col("node").alias("node_id"), F.posexplode("depends").alias("ord", "t")).select("node_id", target("t").alias("target"), "ord")
-    decided = good.select(F.col("node").alias("node_id"), F.posexplode("decided_by").alias("ord", "token"))
-    allow = good.select(F.col("node").alias("node_id"), F.posexplode("allow").alias("ord", "a")).select("node_id", target("a.edge").alias("edge"), "a.reason", "ord")
-
-    lines = _comment_lines(texts).cache()
-    found = tokens.payloads(F.col("content"), notation.landmark)
-    occ = lines.filter(F.col("content").contains(notation.landmark)).select("file", "line", F.explode(found).alias("slug")).filter(X.is_valid_slug(F.col("slug")))
-    refs = lines.filter(F.col("content").contains(notation.claim)).select("file", "line", F.explode(tokens.payloads(F.col("content"), notation.claim)).alias("addr"))
-    refs = refs.filter(X.is_claim_address(F.col("addr")))
-    landmarks = prefix.territory_owner(tokens.landmark_winners(occ, "file", "line"), nodes, path="file", fallback=X.SYSTEM_ID).select("slug", "file", "line", F.col("owner").alias("node"))
-
-    is_mark = F.startswith("anchor", F.lit(notation.landmark))
-    marks = claims.filter(is_mark).join(landmarks.select("slug", F.concat_ws(":", "file", "line").alias("resolved")), "slug", "left")
-    marks = marks.withColumns({"n": F.when(F.col("resolved").isNotNull(), 1).otherwise(0).cast("long"), "resolution": F.when(F.col("resolved").isNotNull(), "resolved").otherwise("unresolved")})
-    split = F.split("anchor", "#", 2)
-    named_ = claims.filter(~is_mark).withColumns({"path": X.normalize_id(split[0]), "symbol": split[1]})
-    known = definitions(texts).join(named_.select("path", "symbol").distinct(), ["path", "symbol"], "left_semi")
-    named_ = resolve.by_cardinality(named_, known, ["path", "symbol"], "line").withColumn("resolved", F.when(F.col("line").isNotNull(), F.concat_ws(":", "path", "line")))
-    claims = marks.select(*claims.columns, "resolved", "n", "resolution").unionByName(named_.select(*claims.columns, "resolved", "n", "resolution"))
-
-    attributed = edges.attribute_refs(file_references(files, texts), nodes).select("from_id", "to_id", F.col("from_file").alias("file"), "line", "source").distinct()
-    records = resolve.decision_records(files.select("path")).join(texts.select("path", resolve.record_status(F.col("text")).alias("status")), "path")
-    return GraphTables(nodes, errors, claims, depends, decided, allow, occ, landmarks, refs, attributed, prefix.contains_edges(nodes), records.select("id", "number", "status", "path"))
+    def __init__(self, files: DataFrame, notation: Notation = Notation()) -> None:
+        self.given, self.notation = files, notation
+
+    @cached_property
+    def files(self) -> DataFrame:
+        """``path, content``: the files as they are compiled."""
+        return stored(self.given.select("path", "content"), "files")
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        return readable(self.files)
+
+    @cached_property
+    def _blocks(self) -> DataFrame:
+        own_dir = X.parent_dir(F.col("path"))
+        blocks = refuse_equal_slugs(authored_blocks(self.files, self.notation), self.notation).withColumn("dir", own_dir)
+        node = X.node_id(F.coalesce("id", F.when(own_dir == "", F.lit(X.SYSTEM_ID)).otherwise(own_dir)))
+        return stored(blocks.withColumn("node", F.when(F.col("error").isNull(), node)), "blocks")
+
+    @cached_property
+    def _good(self) -> DataFrame:
+        return self._blocks.filter("node IS NOT NULL")
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return self._good.select(F.col("node").alias("id"), "kind", "purpose", "commands", "budget", F.col("path").alias("source"), "dir")
+
+    @cached_property
+    def errors(self) -> DataFrame:
+        blocks = self._blocks
+        twice = self._good.groupBy("node").agg(F.count("*").alias("n"), F.min("path").alias("path")).filter("n > 1")
+        return (
+            blocks.filter("error IS NOT NULL").select("path", "error")
+            .unionByName(blocks.filter("error IS NULL AND node IS NULL").select("path", F.lit("id is no repository path").alias("error")))
+            .unionByName(twice.select("path", F.concat(F.lit("id declared twice: "), "node").alias("error")))
+        )
+
+    @cached_property
+    def depends(self) -> DataFrame:
+        return self._good.select(F.col("node").alias("node_id"), F.posexplode("depends").alias("ord", "t")).select("node_id", X.node_id(F.col("t")).alias("target"), "ord")
+
+    @cached_property
+    def decided_by(self) -> DataFrame:
+        return self._good.select(F.col("node").alias("node_id"), F.posexplode("decided_by").alias("ord", "token"))
+
+    @cached_property
+    def allow(self) -> DataFrame:
+        return self._good.select(F.col("node").alias("node_id"), F.posexplode("allow").alias("ord", "a")).select("node_id", X.node_id(F.col("a.edge")).alias("edge"), "a.reason", "ord")
+
+    @cached_property
+    def _found(self) -> DataFrame:
+        """What one pass over all files finds: lines with tokens, names that are imported, modules that are declared."""
+        return stored(lexed(self.texts, self.notation), "lexed")
+
+    def _tokens(self, token: str) -> DataFrame:
+        lines = self._found.filter((F.col("kind") == "line") & F.col("content").contains(token))
+        return lines.select("file", "line", F.explode(tokens.payloads(F.col("content"), token)).alias("payload"))
+
+    @cached_property
+    def landmark_occ(self) -> DataFrame:
+        return self._tokens(self.notation.landmark).filter(X.is_valid_slug(F.col("payload"))).select("file", "line", F.col("payload").alias("slug"))
+
+    @cached_property
+    def claim_refs(self) -> DataFrame:
+        return self._tokens(self.notation.claim).filter(X.is_claim_address(F.col("payload"))).select("file", "line", F.col("payload").alias("addr"))
+
+    @cached_property
+    def landmarks(self) -> DataFrame:
+        won = tokens.landmark_winners(self.landmark_occ, "file", "line")
+        return stored(prefix.territory_owner(won, self.nodes, path="file", fallback=X.SYSTEM_ID).select("slug", "file", "line", F.col("owner").alias("node")), "landmarks")
+
+    @cached_property
+    def claims(self) -> DataFrame:
+        """The claims with what their anchors resolve to; only files that anchors name by a symbol are searched for definitions."""
+        claims = self._good.select(F.col("node").alias("node_id"), F.posexplode("claims").alias("ord", "c")).select(
+            "node_id", "ord", "c.*", X.derive_slug(F.col("c.anchor"), self.notation.landmark).alias("slug")
+        )
+        columns = [*claims.columns, "resolved", "n", "resolution"]
+        is_mark = F.startswith("anchor", F.lit(self.notation.landmark))
+        marks = claims.filter(is_mark).join(self.landmarks.select("slug", F.concat_ws(":", "file", "line").alias("resolved")), "slug", "left")
+        marks = marks.withColumns({"n": F.when(F.col("resolved").isNotNull(), 1).otherwise(0).cast("long"), "resolution": F.when(F.col("resolved").isNotNull(), "resolved").otherwise("unresolved")})
+        split = F.split("anchor", "#", 2)
+        named_ = claims.filter(~is_mark).withColumns({"path": X.normalize_id(split[0]), "symbol": split[1]})
+        wanted = named_.select("path", "symbol").distinct()
+        searched = self.texts.join(wanted.select("path").distinct(), "path", "left_semi")
+        known = definitions(searched).join(wanted, ["path", "symbol"], "left_semi")
+        named_ = resolve.by_cardinality(named_, known, ["path", "symbol"], "line").withColumn("resolved", F.when(F.col("line").isNotNull(), F.concat_ws(":", "path", "line")))
+        return stored(marks.select(*columns).unionByName(named_.select(*columns)), "claims")
+
+    @cached_property
+    def imports(self) -> DataFrame:
+        names = self._found.filter("kind <> 'line'").select("file", "language", F.col("content").alias("name"), "line", "source", (F.col("kind") == "module").alias("declares"))
+        found = edges.attribute_refs(file_references(self.files, names), self.nodes)
+        return stored(found.select("from_id", "to_id", F.col("from_file").alias("file"), "line", "source").distinct(), "imports")
+
+    @cached_property
+    def contains(self) -> DataFrame:
+        return prefix.contains_edges(self.nodes)
+
+    @cached_property
+    def records(self) -> DataFrame:
+        status = self.texts.select("path", resolve.record_status(F.col("text")).alias("status"))
+        return resolve.decision_records(self.files.select("path")).join(status, "path").select("id", "number", "status", "path")
+
+
+def compile_graph(files: DataFrame, notation: Notation = Notation()) -> GraphTables:
+    """All tables of the graph that ``files(path, content)`` declare and show; see ``GraphTables``."""
+    return GraphTables(files, notation)
 
 
 def refuse_equal_slugs(blocks: DataFrame, notation: Notation) -> DataFrame:
@@ -404,42 +448,3 @@ def committed_stamps(rows: DataFrame) -> DataFrame:
     node = F.from_json("value", "id string, claims array<struct<id:string,verified:struct<sha:string,digest:string>>>")
     claims = rows.filter("part = 'nodes'").select(node.alias("n")).select(F.col("n.id").alias("node_id"), F.explode("n.claims").alias("c"))
     return claims.filter("c.verified IS NOT NULL").select("node_id", F.col("c.id").alias("slug"), F.col("c.verified.sha").alias("verified_sha"), F.col("c.verified.digest").alias("verified_digest"))
-
-
-def lock_text(tables: GraphTables, *, version: int = 3) -> str:
-    """The graph as one canonical JSON text for one small repository: sorted keys, two spaces, one last newline.
-
-    Its rows come to the driver here; ``write_lock`` stores a graph of any size.
-    """
-    by = lambda frame, key: _grouped([r.asDict(recursive=True) for r in frame.collect()], key)
-    claims, depends, decided, allow = by(tables.claims, "node_id"), by(tables.depends, "node_id"), by(tables.decided_by, "node_id"), by(tables.allow, "node_id")
-    contains, imports = by(tables.contains, "parent"), by(tables.imports.select("from_id", "to_id").distinct(), "from_id")
-    ordered = lambda rows: sorted(rows, key=lambda r: r["ord"])
-    nodes = {}
-    for n in tables.nodes.collect():
-        nodes[n.id] = {
-            "id": n.id, "kind": n.kind, "purpose": n.purpose, "budget": n.budget, "source": n.source, "commands": dict(n.commands or {}),
-            "contains": sorted(r["child"] for r in contains.get(n.id, [])),
-            "declared": {
-                "depends": [r["target"] for r in ordered(depends.get(n.id, []))], "decided_by": [r["token"] for r in ordered(decided.get(n.id, []))],
-                "allow": [{"edge": r["edge"], "reason": r["reason"]} for r in ordered(allow.get(n.id, []))],
-            },
-            "extracted": {"imports": sorted(r["to_id"] for r in imports.get(n.id, []))},
-            "claims": [
-                {"anchor": r["anchor"], "enforced_by": r["enforced_by"], "id": r["slug"], "kind": r["kind"], "resolved": r["resolved"], "text": r["text"], "verified": r.get("verified")}
-                for r in ordered(claims.get(n.id, []))
-            ],
-        }
-    whole = {
-        "adrs": {r.id: {"number": int(r.number), "path": r.path, "status": r.status} for r in tables.records.orderBy("path").collect()},
-        "landmarks": {r.slug: {"file": r.file, "line": r.line, "node": r.node} for r in tables.landmarks.collect()},
-        "nodes": nodes, "version": version,
-    }
-    return json.dumps(whole, ensure_ascii=False, indent=2, sort_keys=True) + "\n"
-
-
-def _grouped(rows: list[dict], key: str) -> dict[str, list[dict]]:
-    out: dict[str, list[dict]] = {}
-    for r in rows:
-        out.setdefault(r[key], []).append(r)
-    return out

@@ -595,7 +595,8 @@ _NODE_ROWS = """node_rows AS (SELECT dir AS id, 'component' AS kind, 'customer '
 
 def _compiled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, graph.GraphTables]:
     files = customer_files(spark, sf_dir)
-    return files, graph.compile_graph(files).cache()
+    g = graph.compile_graph(files)
+    return g.files, g
 
 
 @query("graph_nodes", f"WITH {_CUST}, {_NODE_ROWS} SELECT id, kind, purpose, budget::BIGINT AS budget, source, CASE id WHEN '/' THEN 'root' ELSE replace(id, '/', '-') END AS rule_file FROM node_rows")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -26,3 +27,14 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     """Let ``DataFrame.checkpoint`` write to the shared folder if no folder was set before."""
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_root(spark))
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it again.
+
+    Plans that build on it begin at a scan, several of them do not compute it twice, and it outlives
+    executors and needs none of their memory. It stays until the shared folder is cleared.
+    """
+    path = f"{shared_root(df.sparkSession)}/waymark/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
