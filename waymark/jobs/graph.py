@@ -176,6 +176,7 @@ def file_references(files: DataFrame, names: DataFrame) -> DataFrame:
     """``from_file, to_file, line, source``: imports that name a tracked file (a crate's directory for Rust).
 
     ``names(file, language, name, line, source, declares)`` are the names that files import and declare.
+    Packages and module paths are written in between, as each is read twice.
     """
     used = names.filter(~F.col("declares"))
     paths = files.select("path")
@@ -197,12 +198,13 @@ def file_references(files: DataFrame, names: DataFrame) -> DataFrame:
     script = used.filter("language = 'script'")
     near = script.filter(F.startswith("name", F.lit("."))).withColumn("target", X.join_path(X.parent_dir(F.col("file")), F.col("name")))
     json_ = manifests.filter(X.basename(F.col("path")) == "package.json").select("path", "dir", F.get_json_object("text", "$.name").alias("name"), F.get_json_object("text", "$.main").alias("main")).filter("name IS NOT NULL")
+    json_ = stored(json_, "packages")
     mains = json_.select("path", X.join_path(F.col("dir"), F.col("main")).alias("target")).filter("target IS NOT NULL")
     mains = mains.join(resolve.probe(mains, paths, resolve.module_candidates(F.col("target"))), "target").select("path", F.col("found").alias("__main"))
     packages = json_.join(mains, "path", "left").select("name", "dir", F.col("__main").alias("main"), X.segments(F.col("path")).alias("ord"))
     bare = script.filter(~F.startswith("name", F.lit("."))).withColumnRenamed("name", "source_name")
     bare = bare.join(resolve.bare_specifiers(bare.select(F.col("source_name").alias("source")), packages).withColumnRenamed("source", "source_name"), "source_name")
-    both = near.select("file", "target", "line", "source").unionByName(bare.select("file", "target", "line", "source"))
+    both = stored(near.select("file", "target", "line", "source").unionByName(bare.select("file", "target", "line", "source")), "specifiers")
     scripts = both.join(resolve.probe(both, paths, resolve.module_candidates(F.col("target"))), "target").filter("found IS NOT NULL").select("file", F.col("found").alias("to_file"), "line", "source")
 
     every = elixir.unionByName(python).unionByName(rust).unionByName(scripts)
