@@ -68,20 +68,6 @@ def test_symbols_resolve_once_never_or_several_times(spark, graph):
     }
 
 
-def test_digests_follow_code_and_nothing_else():
-    base = "# ※ a\n@cached\ndef f(x):\n    return x + 1\n\ndef g():\n    return 2\n"
-    of = lambda text: R.anchored_region(text, "m.py", "※ a", "※ ")
-    name, digest = of(base)
-    assert name == "f" and of(base.replace("x + 1", "x+1  # why")) == (name, digest) and of(base.replace("return 2", "return 3")) == (name, digest)
-    assert of(base.replace("x + 1", "x + 2"))[1] != digest and of(base.replace("# ※ a\n", "")) is None
-    assert R.anchored_region("x = 1\n# ※ a\nCAP = 3\n", "d/m.py", "※ a", "※ ")[0] == "m.py"
-    assert R.anchored_region("text ※ a", "m.txt", "※ a", "※ ") is None
-    rust = "struct P;\nimpl P {\n  // ※ a\n  fn go(&self) -> u8 { if true { 1 } else { 2 } }\n}\n"
-    assert R.anchored_region(rust, "p.rs", "※ a", "※ ")[0] == "go"
-    assert [r.name for r in R.regions("const X: u8 = 1;\npub const fn y() {}\nmod m { enum E { A } }\n// fn no() {}\nlet s = \"fn no\";", "rust")] == ["X", "y", "m", "E"]
-    assert [r.name for r in R.regions("export class A {\n  run(x) { if (x) {} }\n}\nfunction* g() {}\ntype T = {};\n", "script")] == ["A", "run", "g", "T"]
-
-
 def test_stamps_survive_the_stored_graph(spark, graph, tmp_path):
     stamps = stamp_claims(graph, S.readable(frame(spark)), "abc1234").cache()
     assert {(r.slug, r.verified_digest is None) for r in stamps.collect()} == {("total", False), ("top", False), ("c1", True)}

@@ -1,18 +1,17 @@
-"""Named definitions of source files: where they begin and end, what they are called, and a digest of their code.
+"""Named definitions of source files: where they begin and end, and what they are called.
 
 Built on the lexers: comments are blank and strings masked, so what looks like a definition in
-either is none. The digest covers tokens, not white space or comments.
+either is none.
 """
 
 from __future__ import annotations
 
 import bisect
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from .lexing import LANGUAGES, bare_code, fence_closes, fence_open, parts
+from .lexing import bare_code, fence_closes, fence_open
 
 # The words that begin a named definition, by language.
 _BEGIN = {
@@ -22,9 +21,8 @@ _BEGIN = {
         r"(?<![\w$.])(?:class|enum|function\b\s*\*?|interface|type(?=\s+[\w$]+\s*[=<]))\s*(?<=[\s*])(?P<a>[\w$]+)"
         r"|(?m:^)[ \t]*(?:(?:public|private|protected|static|async|get|set|override)\s+)*\*?(?!(?:if|for|while|switch|catch|with|function|return|do)\b)(?P<b>#?[\w$]+)\s*\([^(){}]*\)\s*(?::[^{};=]+)?(?=\{)"
     ),
-    "elixir": re.compile(r"(?m)(?<![\w.:@])(?:def|defp|defmacro|defmacrop|defguard|defdelegate|defmodule|defprotocol|defimpl)[ \t(]+(?P<a>[\w.]+[?!]?)(?P<args>\([^()\n]*\))?"),
+    "elixir": re.compile(r"(?m)(?<![\w.:@])(?:def|defp|defmacro|defmacrop|defguard|defdelegate|defmodule|defprotocol|defimpl)[ \t(]+(?P<a>[\w.]+[?!]?)"),
 }
-_TOKEN = re.compile(r"\w+|[^\w\s]")
 #: Lines that stand between a comment and the definition it belongs to.
 _ATTACHED = re.compile(r"\s*(?:$|#!?\[|@(?:doc|moduledoc|typedoc|spec|impl|deprecated|since)\b|@\w[\w.]*(?:\(.*\))?\s*$)")
 
@@ -93,6 +91,26 @@ def _to_end(code: str, at: int) -> int:
     return len(code)
 
 
+def _arity(code: str, at: int) -> int:
+    """How many arguments stand in the parentheses that open at ``at``: commas at their own level, and one."""
+    if code[at : at + 1] != "(":
+        return 0
+    depth, commas, filled = 0, 0, False
+    for m in re.compile(r"[(\[{]|[)\]}]|,|<<|>>|[^\s,]").finditer(code, at):
+        if m[0] in ("(", "[", "{", "<<"):
+            depth += 1
+            filled |= depth > 1
+        elif m[0] in (")", "]", "}", ">>"):
+            depth -= 1
+            if not depth:
+                break
+        elif m[0] == ",":
+            commas += depth == 1
+        else:
+            filled = True
+    return commas + 1 if filled else 0
+
+
 def regions(text: str, language: str) -> list[Region]:
     """The named definitions of a text, in source order; inner ones follow outer ones."""
     code, _ = bare_code(text, language)
@@ -109,8 +127,7 @@ def regions(text: str, language: str) -> list[Region]:
         elif language == "elixir":
             stop = _to_end(code, m.end())
             if not name[0].isupper():
-                args = (m["args"] or "()")[1:-1].strip()
-                name = f"{name}/{args.count(',') + 1 if args else 0}"
+                name = f"{name}/{_arity(code, m.end())}"
         else:
             stop = _braced(code, m.end())
         line = line_of(begin)
@@ -121,21 +138,6 @@ def regions(text: str, language: str) -> list[Region]:
     return out
 
 
-def region_digest(text: str, language: str, region: Region | None = None) -> str:
-    """SHA-256 of the region's tokens (of the whole text without one); comments and white space do not count."""
-    begin, stop = (region.begin, region.stop) if region else (0, len(text))
-    out, at = [], begin
-    for kind, a, b in parts(text, language):
-        if b <= begin or a >= stop:
-            continue
-        out += _TOKEN.findall(text[at : max(at, a)])
-        if kind == "s":
-            out.append(text[a:b])
-        at = max(at, b)
-    out += _TOKEN.findall(text[at:stop])
-    return hashlib.sha256("\0".join(out).encode("utf-8", "surrogatepass")).hexdigest()
-
-
 def bound_region(found: list[Region], line: int) -> Region | None:
     """What a comment at ``line`` speaks of: the definition right below it, else the innermost one around it."""
     below = [r for r in found if r.attached <= line < r.line]
@@ -145,26 +147,6 @@ def bound_region(found: list[Region], line: int) -> Region | None:
     return max(around, key=lambda r: (r.line, -r.end)) if around else None
 
 
-def anchored_region(text: str, path: str, anchor: str, landmark: str, line: int | None = None) -> tuple[str, str] | None:
-    """``(name, digest)`` of what an anchor is bound to in one version of a file; None without a lexer, or if the landmark is gone."""
-    language = LANGUAGES.get(path.rsplit("/", 1)[-1].rsplit(".", 1)[-1].lower())
-    if language is None:
-        return None
-    found = regions(text, language)
-    if anchor.startswith(landmark):
-        slug = anchor[len(landmark) :]
-        if line is None:
-            hits = [k for k, x in enumerate(text.split("\n"), 1) if re.search(re.escape(landmark + slug) + r"(?!\S)", x)]
-            if not hits:
-                return None
-            line = hits[0]
-        bound = bound_region(found, line)
-    else:
-        named = [r for r in found if r.name == anchor.rsplit("#", 1)[-1]]
-        bound = named[0] if named else None
-    return (bound.name if bound else path.rsplit("/", 1)[-1]), region_digest(text, language, bound)
-
-
 _HEADING = re.compile(r"[ \t]*(#{1,6})(?:[ \t]+(.*)|)\Z")
 
 

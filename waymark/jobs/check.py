@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import budget, commands, edges, history, prefix, resolve
+from ..operators import budget, commands, edges, history, lineage, prefix, resolve
 from ..sources.files import Notation
-from .graph import GraphTables, stamp_claims
+from ..sources.shared import stored
+from .graph import GraphTables, anchor_digests, stamp_claims
 
 # The classes in their order. The texts of findings below are fixed forms, too.
 CLASSES = ("referential", "structural", "exhaustiveness", "budget", "freshness", "liveness")
@@ -115,19 +116,40 @@ def token_budgets(graph: GraphTables, texts: DataFrame, notation: Notation, size
     return by_node.unionByName(_finding(root, "budget", F.concat(F.lit("always-loaded set for "), "id", F.lit(" renders "), n("size"), F.lit(f" tokens > {root_cap:,}")), node=F.col("id"), profile="root"))
 
 
-def claim_states(graph: GraphTables, texts: DataFrame, stamps: DataFrame, commits: DataFrame, notation: Notation = Notation()) -> DataFrame:
+def claim_states(
+    graph: GraphTables, texts: DataFrame, stamps: DataFrame, commits: DataFrame, notation: Notation = Notation(), *,
+    parents: DataFrame | None = None, head: str | None = None, versions: DataFrame | None = None, changed: DataFrame | None = None,
+) -> DataFrame:
     """Each claim with its committed stamp, what it digests now, and its outcome as ``history.blame`` names it.
 
     ``stamps(node_id, slug, verified_sha, verified_digest)``, ``commits(seq, sha, file, ...)``. Adds
-    ``file, region, current_digest, mark, n_later``: the commits to its file after the stamp's.
+    ``file, region, current_digest, mark, n_later``: the commits to its file after the stamp's; and
+    ``attribution, staled_sha``: what a changed digest is put down to (``lineage.attribute``).
+
+    Without ``parents(sha, ord, parent)`` the commits are one line; with them and a ``head``, commits count if the
+    head holds them and the stamp's commit does not; a commit without files is a row, too (``file`` null). ``versions(sha, file, text)`` are the files at the commits
+    that touch them (text null: deleted), ``changed(file)`` those whose work tree differs from the head.
     """
     claims = graph.claims.select("node_id", "slug", "anchor", "enforced_by", "resolved", F.regexp_extract("resolved", r"(?s)\A(.*):[0-9]+\z", 1).alias("file"))
     now = stamp_claims(graph, texts, "", notation).select("node_id", "slug", "region", F.col("verified_digest").alias("current_digest"))
     marks = commits.select(F.col("sha").alias("verified_sha"), F.col("seq").alias("mark")).distinct()
     known = stamps.select("node_id", "slug", "verified_sha", "verified_digest").join(marks, "verified_sha", "left")
     joined = claims.join(known, ["node_id", "slug"], "left").join(now, ["node_id", "slug"], "left")
-    counted = history.churn(joined.withColumn("threshold", F.lit(0).cast("long")), commits.select("file", "seq")).drop("state", "threshold")
-    return history.blame(counted)
+    if parents is None:
+        counted = history.churn(joined.withColumn("threshold", F.lit(0).cast("long")), commits.select("file", "seq")).drop("state", "threshold")
+        return history.blame(counted).withColumns({"attribution": F.lit(None).cast("string"), "staled_sha": F.lit(None).cast("string")})
+    joined = stored(joined, "states")
+    bound = joined.filter("verified_sha IS NOT NULL").select("file", "anchor").distinct()
+    digests = commits.select("sha", "file").distinct().join(bound, "file").withColumn("digest", F.lit(None).cast("string"))
+    if versions is not None:
+        digests = anchor_digests(bound.withColumn("at_line", F.lit(None).cast("int")), versions.select("file", "sha", "text"), notation).select("sha", "file", "anchor", "digest")
+    each = lambda frame: frame.withColumn("file", F.concat_ws("\0", "file", "anchor"))
+    differs = changed.select("file", F.lit(True).alias("tree_differs")).distinct() if changed is not None else joined.select("file", F.lit(False).alias("tree_differs")).limit(0)
+    asked = each(joined.filter("verified_sha IS NOT NULL").join(differs, "file", "left").select("node_id", "slug", "file", "anchor", "verified_sha", "verified_digest", F.coalesce("tree_differs", F.lit(False)).alias("tree_differs")))
+    found = lineage.attribute(lineage.since_stamps(asked, commits.select("sha", "seq").distinct(), parents, each(digests), head))
+    by = commits.select(F.col("seq").alias("staled_by"), F.col("sha").alias("staled_sha")).distinct()
+    found = found.join(by, "staled_by", "left").select("node_id", "slug", "n_later", "attribution", "staled_sha")
+    return history.blame(joined.join(found, ["node_id", "slug"], "left").withColumn("n_later", F.coalesce("n_later", F.lit(0))))
 
 
 def freshness(states: DataFrame, nodes: DataFrame, *, threshold: int | None = None, leash: int | None = None, overrides: DataFrame | None = None) -> DataFrame:
@@ -135,6 +157,7 @@ def freshness(states: DataFrame, nodes: DataFrame, *, threshold: int | None = No
 
     Guarded claims (``enforced_by``) are not held to digests, and to ``leash`` instead of
     ``threshold``; ``overrides(node_id, threshold)`` stand for both. Without a threshold churn is not looked at.
+    A changed digest names the commit that changed it, where ``claim_states`` was given the history's parents.
     """
     own = overrides if overrides is not None else states.sparkSession.createDataFrame([], "node_id string, threshold long")
     limit = F.when(F.col("enforced_by").isNotNull(), F.lit(leash).cast("long")).otherwise(F.lit(threshold).cast("long"))
@@ -144,6 +167,9 @@ def freshness(states: DataFrame, nodes: DataFrame, *, threshold: int | None = No
     seen = seen.join(address, ["node_id", "slug"])
     say = lambda f, *end: _finding(f, "freshness", F.concat(F.lit("claim "), "address", *end), node=F.col("node_id"), detail=F.concat(F.lit("verified at "), X.short_sha(F.col("verified_sha")), F.lit("; anchored in "), "file"))
     drifted = say(seen.filter("outcome = 'stale' AND enforced_by IS NULL"), F.lit(" — digest of its region "), "region", F.lit(" changed"))
+    why = F.when(F.col("attribution") == "commit", X.short_sha(F.col("staled_sha"))).when(F.col("attribution") == "uncommitted", "(uncommitted working-tree change)").otherwise("history unavailable (shallow clone?)")
+    named = seen.filter("outcome = 'stale'").select("node_id", F.concat(F.lit("claim "), "address", F.lit(" — digest of its region "), "region", F.lit(" changed")).alias("message"), F.when(F.col("attribution").isNotNull(), F.concat(F.lit("; staling commit: "), why)).alias("__why"))
+    drifted = drifted.join(named.withColumnRenamed("node_id", "node").distinct(), ["node", "message"], "left").withColumn("detail", F.concat("detail", F.coalesce("__why", F.lit("")))).select(*drifted.columns)
     churned = say(seen.filter("outcome = 'churn' AND n_later > limit"), F.lit(" — anchored file changed in "), F.col("n_later").cast("string"), F.lit(" commits, past its leash "), F.col("limit").cast("string"))
     lost = say(seen.filter("outcome = 'history-unavailable' AND limit IS NOT NULL"), F.lit(" — cannot verify freshness: history unavailable"))
     return drifted.unionByName(churned).unionByName(lost)
@@ -214,7 +240,10 @@ def write_baseline(frozen: DataFrame, path: str) -> None:
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
-    """A stored baseline; rows of another form are refused."""
+    """A stored baseline, empty where there is none; rows of another form are refused."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        return spark.createDataFrame([], "node string, direction string, target string")
     rows = spark.read.schema("node string, direction string, target string").option("mode", "FAILFAST").json(path)
     if not rows.filter("node IS NULL OR target IS NULL OR direction NOT IN ('undeclared', 'vestigial') OR direction IS NULL").isEmpty():
         raise ValueError("a baseline's rows are (node, undeclared or vestigial, target)")

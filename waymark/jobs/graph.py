@@ -9,11 +9,11 @@ from functools import cached_property
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import expr as X
 from ..functions.lexing import LANGUAGES, comments, declared_modules, fenced_blocks, imported, markdown_comments
-from ..functions.regions import anchored_region, headings, regions
+from ..functions.regions import headings, regions
+from ..functions.structure import file_digests
 from ..operators import edges, prefix, resolve, tokens
 from ..sources.files import Notation, named, readable
 from ..sources.shared import stored
@@ -232,29 +232,55 @@ def definitions(texts: DataFrame) -> DataFrame:
     return code.unionByName(tokens.slug_prefixes(slugs).select("path", "symbol", "line"))
 
 
-def anchor_digests(anchors: DataFrame, versions: DataFrame, notation: Notation) -> DataFrame:
-    """The rows of ``anchors(file, anchor, at_line, ...)`` joined with ``versions(file, text, ...)``, with ``region, digest``.
+def content_digests(versions: DataFrame, notation: Notation) -> DataFrame:
+    """``content, ext, kind, name, line, region, digest``: what anchors can be bound to in each distinct content.
 
-    Both are null where the language has no lexer, or where the landmark is not in that version.
-    ``at_line`` (null: look it up) is the landmark's line. Each version is parsed once for each of
-    its file's anchors, in the task that holds it.
+    ``versions(file, text, content)``, ``content`` a hash of the text. A content that stands in any number
+    of files and versions of one kind is parsed once, whatever its anchors are.
     """
-    both = versions.join(anchors, "file")
-    others = [f for f in both.schema.fields if f.name not in ("text",)]
-    names = [f.name for f in others]
-    places = [names.index(c) for c in ("file", "anchor", "at_line")]
-    schema = StructType([*others, StructField("region", StringType()), StructField("digest", StringType())])
+    parsed = versions.filter("text IS NOT NULL").select("content", X.extension(F.col("file")).alias("ext"), "text").filter(F.col("ext").isin(*LANGUAGES)).dropDuplicates(["content", "ext"])
+    kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
+    columns = ["content", "ext", "kind", "name", "line", "region", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [batch.column(n) for n in names]
-            found = [
-                (anchored_region(text, file, anchor, notation.landmark, line) if text is not None else None) or (None, None)
-                for file, anchor, line, text in zip(*(kept[k].to_pylist() for k in places), batch.column("text").to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([r for r, _ in found], pa.string()), pa.array([d for _, d in found], pa.string())], [*names, "region", "digest"])
-
-    return both.select(*names, "text").mapInArrow(run, schema)
+            rows = []
+            for content, ext, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [(content, ext, *found) for found in file_digests(text, f".{ext}", notation.landmark) or ()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], columns)
+
+    return parsed.mapInArrow(run, "content string, ext string, kind string, name string, line int, region string, digest string")
+
+
+def anchor_digests(anchors: DataFrame, versions: DataFrame, notation: Notation) -> DataFrame:
+    """The rows of ``anchors(file, anchor, at_line, ...)`` joined with ``versions(file, text, ...)``, with ``region, digest``.
+
+    ``at_line`` (null: look it up) is the landmark's line. A symbol that is gone, and a line without the
+    landmark, stand for the whole file; both columns are null where the language has no lexer, where
+    the landmark is not in that version, and where the file is not (text null). Only versions of anchored
+    files are parsed, and equal contents once (``content_digests``); rows meet by the contents' hashes.
+    """
+    wanted = versions.join(anchors.select("file").distinct(), "file", "left_semi").withColumn("__content", F.sha2("text", 256))
+    known = stored(content_digests(wanted.select("file", "text", F.col("__content").alias("content")), notation), "digests").withColumnRenamed("content", "__content").withColumnRenamed("ext", "__ext")
+    bound = F.struct("region", "digest")
+    whole = known.filter("kind = 'file'").select("__content", "__ext", bound.alias("__whole"))
+    symbols = known.filter("kind = 'symbol'").select("__content", "__ext", F.col("name").alias("__name"), bound.alias("__symbol"))
+    marks = known.filter("kind = 'mark'").select("__content", "__ext", F.col("name").alias("__name"), "line", bound.alias("__bound"))
+    first = marks.groupBy("__content", "__ext", "__name").agg(F.min_by("__bound", "line").alias("__first"))
+    at = marks.groupBy("__content", "__ext", "__name", F.col("line").alias("at_line")).agg(F.first("__bound").alias("__at"))
+
+    rows = wanted.drop("text").withColumn("__ext", X.extension(F.col("file"))).join(anchors, "file")
+    is_mark = F.startswith("anchor", F.lit(notation.landmark))
+    rows = rows.withColumn("__name", F.when(is_mark, F.substring(F.col("anchor"), F.lit(len(notation.landmark) + 1), F.length("anchor"))).otherwise(F.substring_index("anchor", "#", -1)))
+    key = ["__content", "__ext", "__name"]
+    rows = rows.join(whole, key[:2], "left").join(symbols, key, "left").join(first, key, "left").join(at, [*key, "at_line"], "left")
+    mark = F.when(F.col("at_line").isNull(), F.col("__first")).otherwise(F.coalesce("__at", "__whole"))
+    chosen = F.when(is_mark, mark).otherwise(F.coalesce("__symbol", "__whole"))
+    rows = rows.withColumns({"__chosen": chosen, "__file": F.substring_index("file", "/", -1)})
+    # The whole file goes by its own name; a content does not know in which file it stands.
+    region = F.when(F.startswith("__chosen.region", F.lit(".")), F.col("__file")).otherwise(F.col("__chosen.region"))
+    return rows.withColumns({"region": region, "digest": F.col("__chosen.digest")}).drop(*[c for c in rows.columns if c.startswith("__")])
 
 
 class GraphTables:

@@ -753,3 +753,6 @@ def output_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rendered = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
     present = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("path")).agg(F.min("text").alias("text"))
     return reads.differences(rendered, present)
+
+
+from . import version_queries  # noqa: E402,F401  registers the queries over versions

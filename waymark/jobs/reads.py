@@ -81,3 +81,15 @@ def untracked_nodes(present: DataFrame, tracked: DataFrame, node_file: str) -> D
 def with_overlay(files: DataFrame, private: DataFrame) -> DataFrame:
     """``files(path, content)`` with the private ones added; where both have a path, the private one counts."""
     return files.join(private.select("path"), "path", "left_anti").unionByName(private)
+
+
+def blame(graph: GraphTables, states: DataFrame, addresses: DataFrame) -> DataFrame:
+    """``address, lookup, node_id, slug, outcome, region, attribution, staled_sha, n_later``: what became of the claims asked for.
+
+    ``addresses(address)`` may be short; ``lookup`` is found, ambiguous or not-found. ``states`` come from
+    ``check.claim_states``.
+    """
+    every = graph.nodes.select(F.col("id").alias("node_id"), F.lit(None).cast("string").alias("slug")).unionByName(graph.claims.select("node_id", "slug"))
+    asked = resolve.claim_lookup(addresses, every).withColumnRenamed("outcome", "lookup").withColumn("slug", F.substring_index("address", "/", -1))
+    told = states.select("node_id", "slug", "outcome", "region", "attribution", "staled_sha", "n_later")
+    return asked.join(told, ["node_id", "slug"], "left").select("address", "lookup", "node_id", "slug", "outcome", "region", "attribution", "staled_sha", "n_later")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,19 +16,67 @@ def thresholds(claims: DataFrame, overrides: DataFrame, *, key: str, default: in
     return claims.join(overrides.select(key, F.col("threshold").alias("__own")), key, "left").withColumn("threshold", F.coalesce("__own", F.lit(default).cast("long"))).drop("__own")
 
 
+#: Positions of a file's history that are scanned together; what lies beyond is carried from range to range.
+WIDTH = 4096
+
+
+def _suffixes(line: DataFrame, within: list[str], at: str) -> DataFrame:
+    """The marks of ``line(within, at, __mark, __n, __v)`` with what lies after each: ``__n``, and ``__one, __two``.
+
+    ``__v`` is a version's ``(seq, digest)``; ``__one`` is the first by ``seq`` of those after the mark, ``__two``
+    the ``seq`` of the first with another digest than that. Both are running values: a version of
+    another digest than the first one's either stands behind it, or before it, which makes that one second.
+    """
+    after = Window.partitionBy(*within).orderBy(F.desc(at), F.desc("__mark")).rowsBetween(Window.unboundedPreceding, -1)
+    seen = line.withColumns({"__later": F.coalesce(F.sum("__n").over(after), F.lit(0)), "__one": F.min("__v").over(after)})
+    other = F.col("__one").isNotNull() & ~F.col("__v.digest").eqNullSafe(F.col("__one.digest"))
+    seen = seen.withColumn("__c", F.when(F.col("__v").isNotNull() & other, F.greatest("__v.seq", "__one.seq")))
+    return seen.withColumn("__two", F.min("__c").over(after)).filter("__mark").select(*within, at, F.col("__later").alias("__n"), "__one", "__two")
+
+
+def after_marks(marks: DataFrame, versions: DataFrame, keys: list[str], width: int = WIDTH) -> DataFrame:
+    """``keys, mark, n_later, first, first_digest, second``: what stands after each distinct mark of a key.
+
+    ``marks(keys, mark)``, ``versions(keys, at, seq, digest)``: a version is later if ``at > mark``. ``first`` is
+    the least ``seq`` of the later versions, ``second`` the least whose digest is another one. Histories are
+    cut into ranges of ``width`` positions (of a day, if they are times). A range is scanned by itself; its count, its first version and
+    its first of another digest stand for it where ranges are scanned in turn, so a file that half of
+    all commits touch is many tasks, and one row or two for each range in the last scan.
+    """
+    kind = dict(versions.dtypes)["at"]
+    part = F.unix_date(F.col("at").cast("date")) if kind.startswith(("timestamp", "date")) else F.floor(F.col("at") / width)
+    held = versions.select(*keys, "at", part.alias("__range"), F.struct("seq", "digest").alias("__v"), F.lit(1).cast("long").alias("__n"), F.lit(False).alias("__mark"))
+    asked = marks.filter("mark IS NOT NULL").select(*keys, F.col("mark").cast(kind).alias("at")).distinct()
+    asked = asked.withColumns({"__range": part, "__v": F.lit(None).cast(dict(held.dtypes)["__v"]), "__n": F.lit(0).cast("long"), "__mark": F.lit(True)})
+    own = _suffixes(held.unionByName(asked), [*keys, "__range"], "at")
+
+    whole = held.groupBy(*keys, "__range", F.col("__v.digest").alias("__d")).agg(F.min("__v").alias("__v"), F.sum("__n").alias("__n"))
+    place = Window.partitionBy(*keys, "__range").orderBy("__v")
+    every = Window.partitionBy(*keys, "__range")
+    tops = whole.withColumns({"__k": F.row_number().over(place), "__all": F.sum("__n").over(every)}).filter("__k <= 2")
+    tops = tops.select(*keys, "__range", "__v", F.when(F.col("__k") == 1, F.col("__all")).otherwise(0).cast("long").alias("__n"), F.lit(False).alias("__mark"))
+    turns = asked.select(*keys, "__range", "__v", "__n", "__mark").distinct()
+    carried = _suffixes(tops.unionByName(turns), keys, "__range").withColumnsRenamed({"__n": "__n2", "__one": "__one2", "__two": "__two2"})
+
+    both = own.join(carried, [*keys, "__range"])
+    near = F.col("__one2").isNull() | (F.col("__one.seq") <= F.col("__one2.seq"))
+    first = F.when(F.col("__one").isNotNull() & near, F.col("__one")).otherwise(F.col("__one2"))
+    lost = F.when(F.col("__one").isNotNull() & near, F.col("__one2")).otherwise(F.col("__one"))
+    mine = F.when(F.col("__one").isNotNull() & near, F.col("__two")).otherwise(F.col("__two2"))
+    its = F.when(F.col("__one").isNotNull() & near, F.col("__two2")).otherwise(F.col("__two"))
+    second = F.least(mine, F.when(lost["digest"].eqNullSafe(first["digest"]), its).otherwise(lost["seq"]))
+    return both.select(*keys, F.col("at").alias("mark"), (F.col("__n") + F.col("__n2")).alias("n_later"), first["seq"].alias("first"), first["digest"].alias("first_digest"), second.alias("second"))
+
+
 def churn(claims: DataFrame, commits: DataFrame, *, key: str = "file") -> DataFrame:
     """``claims(key, mark, threshold)`` with ``n_later`` and ``state``.
 
-    Commits ``(key, seq)`` after a claim's mark are counted by one running count per file, in which
-    marks are read off: commits and distinct marks are one row each, never pairs. More than the
-    threshold is stale; a null mark means that history is unavailable, a null threshold that the
-    check is off.
+    Commits ``(key, seq)`` after a claim's mark are counted by ``after_marks``: commits and distinct marks
+    are one row each, never pairs. More than the threshold is stale; a null mark means that history is
+    unavailable, a null threshold that the check is off.
     """
-    ticks = commits.groupBy(key, F.col("seq").alias("__at")).agg(F.count("*").alias("__n"))
-    marks = claims.filter("mark IS NOT NULL").select(key, F.col("mark").alias("__at")).distinct()
-    line = ticks.withColumn("__mark", F.lit(False)).unionByName(marks.withColumns({"__n": F.lit(0).cast("long"), "__mark": F.lit(True)}))
-    later = Window.partitionBy(key).orderBy(F.desc("__at"), F.desc("__mark")).rowsBetween(Window.unboundedPreceding, -1)
-    counted = line.withColumn("n_later", F.coalesce(F.sum("__n").over(later), F.lit(0))).filter("__mark").select(key, F.col("__at").alias("mark"), "n_later")
+    versions = commits.select(key, F.col("seq").alias("at"), "seq", F.lit(None).cast("string").alias("digest"))
+    counted = after_marks(claims.select(key, "mark"), versions, [key]).select(key, F.col("mark").cast(dict(claims.dtypes)["mark"]).alias("mark"), "n_later")
     joined = claims.join(counted, [key, "mark"], "left").withColumn("n_later", F.coalesce("n_later", F.lit(0)))
     state = (
         F.when(F.col("threshold").isNull(), "off").when(F.col("mark").isNull(), "history-unavailable")
@@ -40,26 +88,18 @@ def churn(claims: DataFrame, commits: DataFrame, *, key: str = "file") -> DataFr
 def staling_commit(claims: DataFrame, versions: DataFrame, *, key: str = "file") -> DataFrame:
     """``claims(key, mark, digest)`` with the oldest later version whose digest differs: ``staled_by``.
 
-    ``versions(key, seq, digest)``; a version without a digest (region gone) differs from any. Per
-    file, versions and marks lie on one line. A mark takes the next version after it; if that one has
-    the claim's digest, the next version that differs from its own predecessor is the answer. Both
-    are read off by running values, so no claim meets more than one version.
+    ``versions(key, seq, digest)``; a version without a digest (region gone) differs from any. No claim
+    meets more than the two versions that ``after_marks`` finds for its mark.
     """
-    back = Window.partitionBy(key).orderBy(F.desc("__at"), F.desc("__mark"))
-    before = back.rowsBetween(Window.unboundedPreceding, -1)
-    steps = versions.select(key, F.col("seq").alias("__at"), F.col("digest").alias("__then"), F.lit(False).alias("__mark"))
-    forth = Window.partitionBy(key).orderBy("__at")
-    steps = steps.withColumn("__turn", F.when(~F.col("__then").eqNullSafe(F.lag("__then").over(forth)), F.col("__at")))
-    kind, digest = dict(steps.dtypes)["__at"], dict(steps.dtypes)["__then"]
-    marks = claims.filter("mark IS NOT NULL").select(key, F.col("mark").cast(kind).alias("__at"), F.lit(None).cast(digest).alias("__then"), F.lit(True).alias("__mark"), F.lit(None).cast(kind).alias("__turn")).distinct()
-    line = steps.unionByName(marks)
-    # On the way back the last turn seen is the next one; a version's own turn is not its next.
-    line = line.withColumn("__next", F.last("__turn", ignorenulls=True).over(before))
-    version = F.when(~F.col("__mark"), F.struct(F.col("__at").alias("at"), F.col("__then").alias("then"), F.col("__next").alias("next")))
-    line = line.withColumn("__v", F.last(version, ignorenulls=True).over(before)).filter("__mark").select(key, F.col("__at").cast(dict(claims.dtypes)["mark"]).alias("mark"), "__v")
-    joined = claims.join(line, [key, "mark"], "left")
-    staled = F.when(F.col("__v.then").eqNullSafe(F.col("digest")) & F.col("digest").isNotNull(), F.col("__v.next")).otherwise(F.col("__v.at"))
-    return joined.withColumn("staled_by", staled).drop("__v")
+    found = after_marks(claims.select(key, "mark"), versions.select(key, F.col("seq").alias("at"), "seq", "digest"), [key])
+    found = found.withColumn("mark", F.col("mark").cast(dict(claims.dtypes)["mark"])).drop("n_later")
+    joined = claims.join(found, [key, "mark"], "left")
+    return joined.withColumn("staled_by", differing(F.col("digest"))).drop("first", "first_digest", "second")
+
+
+def differing(digest: Column) -> Column:
+    """Of a row of ``after_marks``, the first version that has another digest than this one."""
+    return F.when(F.col("first_digest").eqNullSafe(digest) & digest.isNotNull(), F.col("second")).otherwise(F.col("first"))
 
 
 def blame(claims: DataFrame) -> DataFrame:

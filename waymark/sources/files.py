@@ -111,3 +111,59 @@ def history(spark: SparkSession, root: str, *, chunk: int = 50_000) -> DataFrame
     if rows:
         put()
     return spark.read.schema(schema).parquet(path)
+
+
+def lineage(spark: SparkSession, root: str, *, chunk: int = 50_000) -> tuple[DataFrame, DataFrame, str]:
+    """Commits ``(sha, seq)``, their parents ``(sha, ord, parent)``, and the head, from one log in topological order."""
+    base = f"{shared_root(spark)}/waymark/lineage-{uuid.uuid4().hex}"
+    kinds = {"commits": "sha string, seq long", "parents": "sha string, ord int, parent string"}
+    rows: dict[str, list[tuple]] = {name: [] for name in kinds}
+
+    def put() -> None:
+        for name, schema in kinds.items():
+            spark.createDataFrame(rows[name], schema).write.mode("append").parquet(f"{base}/{name}")
+            rows[name].clear()
+
+    put()
+    seq, sha = 0, ""
+    with subprocess.Popen(["git", "-C", root, "log", "--topo-order", "--reverse", "--format=%H %P"], stdout=subprocess.PIPE) as log:
+        for raw in log.stdout:
+            sha, *parents = raw.decode().split()
+            seq += 1
+            rows["commits"].append((sha, seq))
+            rows["parents"] += [(sha, k, p) for k, p in enumerate(parents)]
+            if len(rows["commits"]) >= chunk:
+                put()
+    if log.returncode:
+        raise subprocess.CalledProcessError(log.returncode, "git log")
+    put()
+    return (*(spark.read.schema(schema).parquet(f"{base}/{name}") for name, schema in kinds.items()), sha)
+
+
+def versions(root: str, touched: DataFrame) -> DataFrame:
+    """``sha, file, text`` for the rows of ``touched(sha, file)``: the file at that commit, null if it was not there.
+
+    Tasks read the contents, each from one git process, as ``from_repository`` does.
+    """
+
+    def read(batches):
+        import pyarrow as pa
+
+        with subprocess.Popen(["git", "-C", root, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as blobs:
+            for batch in batches:
+                texts = []
+                for sha, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    blobs.stdin.write(f"{sha}:{file}\n".encode("utf-8", "surrogateescape"))
+                    blobs.stdin.flush()
+                    head = blobs.stdout.readline().split()
+                    size = int(head[2]) if len(head) == 3 and head[1] == b"blob" else None
+                    texts.append(None if size is None else blobs.stdout.read(size + 1)[:size].decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["sha", "file", "text"])
+
+    return touched.select("sha", "file").distinct().mapInArrow(read, "sha string, file string, text string")
+
+
+def changed_files(spark: SparkSession, root: str) -> DataFrame:
+    """``file``: tracked files whose work tree differs from the head."""
+    done = subprocess.run(["git", "-C", root, "diff", "--name-only", "-z", "HEAD"], check=True, capture_output=True)
+    return spark.createDataFrame([(p.decode("utf-8", "surrogateescape"),) for p in done.stdout.split(b"\0") if p], "file string")
