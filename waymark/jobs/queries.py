@@ -720,7 +720,7 @@ def hazard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
       asked AS (SELECT id AS query FROM ids UNION SELECT regexp_extract(id, '[^/]*$') FROM ids UNION SELECT split_part(id, '.', 1) FROM ids UNION SELECT './' || id FROM ids),
       last AS (SELECT regexp_extract(id, '[^/]*$') AS query, count(*) AS n, min(id) AS only_ FROM ids GROUP BY ALL)
       SELECT a.query, CASE WHEN i.id IS NOT NULL OR n = 1 THEN 'found' WHEN n > 1 THEN 'ambiguous' ELSE 'unknown' END AS outcome, coalesce(i.id, CASE WHEN n = 1 THEN only_ END) AS id,
-        CASE WHEN i.id IS NULL AND n > 1 THEN least(n, 20)::INT WHEN i.id IS NULL AND n IS NULL THEN (SELECT least(count(*), 20)::INT FROM ids s WHERE list_contains(list_concat(string_split(s.id, '/'), regexp_split_to_array(s.id, '[/._-]')), regexp_extract(a.query, '[^/]*$'))) ELSE 0 END AS n_candidates
+        CASE WHEN i.id IS NULL AND n > 1 THEN least(n, 20)::INT WHEN i.id IS NULL AND n IS NULL THEN (SELECT CASE WHEN count(*) FILTER (contains(s.id, a.query)) > 0 THEN least(count(*) FILTER (contains(s.id, a.query)), 20) ELSE least(count(*), 20) END::INT FROM ids s) ELSE 0 END AS n_candidates
       FROM asked a LEFT JOIN ids i ON i.id = CASE WHEN starts_with(a.query, './') THEN substr(a.query, 3) ELSE a.query END LEFT JOIN last ON last.query = a.query""",
 )
 def node_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

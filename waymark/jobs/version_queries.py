@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lineage
+from ..operators import lineage, resolve
 from ..sources.files import Notation
-from ..sources.tables import table
-from . import graph
-from .queries import query
+from ..sources.shared import shared_root
+from ..sources.tables import customer_files, page_paths, table
+from . import graph, store
+from .queries import _CUST, _NODE_ROWS, query
 
 _CODE = "# ※ rule\ndef thing(x):\n    if x > {k}:\n        x = x + 1\n        x = x * 2\n    return x\n\n\ndef other():\n    return 1\n"
 #: What is done to the code in a version, and what stands in the text then.
@@ -77,3 +80,33 @@ def lineage_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = keys.agg(F.max("k")).first()[0]
     found = lineage.attribute(lineage.since_stamps(claims, commits, parents, versions, f"c{head}"))
     return found.select("id", "known", "n_later", "staled_by", "attribution")
+
+
+@query(
+    "graph_changes",
+    f"""WITH {_CUST}, {_NODE_ROWS}, keys AS (SELECT id, regexp_extract(id, '/c([0-9]+)$', 1) AS k FROM node_rows),
+      edited AS (SELECT id, k::INT AS k FROM keys WHERE k <> '')
+      SELECT 'nodes' AS part, CASE WHEN k % 50 = 2 THEN id || '-new' ELSE id END AS key, CASE k % 50 WHEN 1 THEN 'changed' WHEN 2 THEN 'added' ELSE 'lost' END AS change FROM edited WHERE k % 50 IN (1, 2, 3)""",
+)
+def graph_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph of the customers is published, and compared with one in which some nodes are other, new or gone."""
+    rows = graph.lock_rows(graph.compile_graph(customer_files(spark, sf_dir)))
+    root = f"{shared_root(spark)}/waymark/published-{uuid.uuid4().hex}"
+    store.publish(rows, root)
+    rows = store.read(spark, root).withColumn("k", F.when(F.col("part") == "nodes", F.nullif(F.regexp_extract("key", r"/c([0-9]+)\z", 1), F.lit(""))).cast("int") % 50)
+    kept = rows.filter("k IS NULL OR k <> 3").withColumn("value", F.when(F.col("k") == 1, F.concat("value", F.lit(" "))).otherwise(F.col("value")))
+    new = rows.filter("k = 2").withColumn("key", F.concat("key", F.lit("-new")))
+    return store.changes(kept.unionByName(new).select("part", "key", "value"), root)
+
+
+@query(
+    "node_suggestions",
+    r"""WITH ids AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS id FROM (SELECT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*', '') AS path FROM pages) WHERE contains(path, '/')),
+      asked AS (SELECT substr(id, 2, 4) AS query FROM ids UNION SELECT substr(id, 3, 2) FROM ids UNION SELECT substr(id, 1, 1) || 'zq' FROM ids UNION SELECT right(id, 9) FROM ids)
+      SELECT query, id FROM asked JOIN ids ON contains(id, query) WHERE query <> ''""",
+)
+def node_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories of pages that contain pieces of others."""
+    nodes = page_paths(spark, sf_dir).filter(F.contains("path", F.lit("/"))).select(F.regexp_replace("path", r"/[^/]*\z", "").alias("id")).distinct()
+    pieces = F.array(F.substring("id", 2, 4), F.substring("id", 3, 2), F.concat(F.substring("id", 1, 1), F.lit("zq")), F.expr("right(id, 9)"))
+    return resolve.containing(nodes.select(F.explode(pieces).alias("query")), nodes)

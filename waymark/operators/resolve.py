@@ -93,13 +93,34 @@ def claim_lookup(addresses: DataFrame, claims: DataFrame) -> DataFrame:
     return found.unionByName(plain)
 
 
+def containing(queries: DataFrame, nodes: DataFrame, *, gram: int = 3) -> DataFrame:
+    """``query, id``: the ids of ``nodes(id)`` that contain a query's text, by an inverted index of their substrings.
+
+    Ids are exploded to their distinct substrings of ``gram`` characters (of fewer for shorter queries). A
+    query joins the ids of the one of its own substrings that the fewest ids have, and those are verified;
+    a substring that no id has ends the search. An empty query finds nothing.
+    """
+    size = F.least(F.length("query"), F.lit(gram))
+    asked = queries.select("query").distinct().filter("query <> ''").withColumn("__size", size)
+    cut = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(F.col(c), i, n)))
+    ids = nodes.select("id").distinct()
+    index = None
+    for n in range(1, gram + 1):
+        of = ids.filter(F.length("id") >= n).select("id", F.explode(cut("id", F.lit(n))).alias("__gram"))
+        index = of if index is None else index.unionByName(of)
+    wanted = asked.select("query", F.explode(cut("query", F.col("__size"))).alias("__gram"))
+    index = index.join(wanted.select("__gram").distinct(), "__gram", "left_semi")
+    frequency = index.groupBy("__gram").agg(F.count("*").alias("__n"))
+    rarest = wanted.join(frequency, "__gram", "left").groupBy("query").agg(F.min_by("__gram", F.coalesce("__n", F.lit(0))).alias("__gram"))
+    return rarest.join(index, "__gram").filter(F.contains("id", F.col("query"))).select("query", "id")
+
+
 def node_lookup(queries: DataFrame, nodes: DataFrame, *, most: int = 20) -> DataFrame:
     """``query, outcome, id, candidates`` for each distinct query: a node by its id, or by its last segment if one node ends so.
 
     ``nodes(id)``. Outcomes: found, ambiguous, unknown. ``candidates`` are the ids that an ambiguous
-    query abbreviates, or, for an unknown one, ids with a segment that holds the query's last segment as
-    a whole or up to a dash, dot or underscore: the first ``most`` in order, as only a person reads them.
-    All joins are on equal keys; segments are exploded, never compared pair by pair.
+    query abbreviates, or, for an unknown one, the ids that contain it (all ids, where none does): the first
+    ``most`` in order, as only a person reads them. All joins are on equal keys (see ``containing``).
     """
     asked = queries.select("query").distinct().withColumn("__norm", F.coalesce(X.normalize_id(F.col("query")), F.col("query")))
     full = nodes.select(F.col("id").alias("__norm"), F.col("id").alias("__full")).distinct()
@@ -112,11 +133,12 @@ def node_lookup(queries: DataFrame, nodes: DataFrame, *, most: int = 20) -> Data
     done = placed.select("query", outcome.alias("outcome"), F.coalesce("__full", F.when(F.col("__n") == 1, F.col("__only"))).alias("id"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy("id"))
     many = done.filter("outcome = 'ambiguous'").select("query").join(ends, "query").withColumn("__r", rank).filter(F.col("__r") <= most)
-    parts = nodes.select("id", F.explode(F.array_distinct(F.concat(X.segments(F.col("id")), F.flatten(F.transform(X.segments(F.col("id")), lambda s: F.split(s, "[-._]")))))).alias("__part")).filter("__part <> ''")
-    near = done.filter("outcome = 'unknown'").select("query", X.last_segment(F.col("query")).alias("__part")).join(parts, "__part").select("query", "id").distinct()
-    near = near.withColumn("__r", rank).filter(F.col("__r") <= most)
+    lost = done.filter("outcome = 'unknown'").select("query")
+    near = containing(lost, nodes).withColumn("__r", rank).filter(F.col("__r") <= most)
     listed = many.select("query", F.col("id").alias("__id")).unionByName(near.select("query", F.col("id").alias("__id"))).groupBy("query").agg(first("__id").alias("candidates"))
-    return done.join(listed, "query", "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))
+    every = F.array(*(F.lit(r.id) for r in nodes.select("id").distinct().orderBy("id").limit(most).collect())).cast("array<string>")
+    others = F.when(F.col("outcome") == "unknown", every).otherwise(F.array().cast("array<string>"))
+    return done.join(listed, "query", "left").withColumn("candidates", F.coalesce("candidates", others))
 
 
 def short_addresses(claims: DataFrame) -> DataFrame:
