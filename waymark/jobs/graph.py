@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..functions.lexing import LANGUAGES, comments, declared_modules, fenced_blocks, imported, markdown_comments
 from ..functions.regions import headings, regions
+from ..functions.spans import Malformed, scan
 from ..functions.structure import file_digests
 from ..operators import edges, prefix, resolve, tokens
 from ..sources.files import Notation, named, readable
@@ -143,8 +144,8 @@ def authored_blocks(files: DataFrame, notation: Notation) -> DataFrame:
 def lexed(texts: DataFrame, notation: Notation) -> DataFrame:
     """``kind, file, language, line, content, source`` of what one pass over ``texts(path, ext, text)`` finds.
 
-    ``line``: a line of a comment (in markdown of an HTML comment, in other files any line) that holds a
-    token; ``import`` and ``module``: names that code imports and declares.
+    ``line``: a line of a comment (in markdown of an HTML comment outside the generated region, in other
+    files any line) that holds a token; ``import`` and ``module``: names that code imports and declares.
     """
     marks = (notation.landmark, notation.claim)
     kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
@@ -155,7 +156,13 @@ def lexed(texts: DataFrame, notation: Notation) -> DataFrame:
             return []
         if ext in LANGUAGES:
             return comments(text, LANGUAGES[ext])
-        return markdown_comments(text) if ext in ("md", "markdown") else list(enumerate((x.removesuffix("\r") for x in text.split("\n")), 1))
+        if ext in ("md", "markdown"):
+            try:
+                region = scan(text)[1]
+            except Malformed:
+                region = None
+            return [(line, content) for line, content in markdown_comments(text) if not (region and region.first <= line <= region.last)]
+        return list(enumerate((x.removesuffix("\r") for x in text.split("\n")), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

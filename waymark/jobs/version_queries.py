@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lineage, resolve
+from ..operators import lineage, masks, resolve
 from ..sources.files import Notation
 from ..sources.shared import shared_root
 from ..sources.tables import customer_files, page_paths, table
-from . import graph, store
+from . import emit, graph, store
 from .queries import _CUST, _NODE_ROWS, query
 
 _CODE = "# ※ rule\ndef thing(x):\n    if x > {k}:\n        x = x + 1\n        x = x * 2\n    return x\n\n\ndef other():\n    return 1\n"
@@ -110,3 +110,40 @@ def node_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = page_paths(spark, sf_dir).filter(F.contains("path", F.lit("/"))).select(F.regexp_replace("path", r"/[^/]*\z", "").alias("id")).distinct()
     pieces = F.array(F.substring("id", 2, 4), F.substring("id", 3, 2), F.concat(F.substring("id", 1, 1), F.lit("zq")), F.expr("right(id, 9)"))
     return resolve.containing(nodes.select(F.explode(pieces).alias("query")), nodes)
+
+
+@query(
+    "masked_links",
+    r"""WITH bare AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->|<nav.*?</nav>', '', 'g') AS rest, html FROM pages)
+      SELECT page_id, (length(html) - length(replace(html, '<a href', '')))::BIGINT // 7 AS n_links,
+        (length(html) - length(replace(html, '<a href', '')))::BIGINT // 7 - (length(rest) - length(replace(rest, '<a href', '')))::BIGINT // 7 AS n_masked
+      FROM bare WHERE contains(html, '<a href')""",
+)
+def masked_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of each page, and how many of them lie in comments or menus."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    found = emit.spans(pages, "page_id", "html", {"mask": "<!--.*?-->|<nav.*?</nav>", "link": "<a href"})
+    links = found.filter("kind = 'link'").select("page_id", F.col("start").alias("at"))
+    told = masks.inside(links, found.filter("kind = 'mask'"), ["page_id"])
+    return told.groupBy("page_id").agg(F.count("*").alias("n_links"), F.count_if("inside").alias("n_masked"))
+
+
+@query(
+    "spliced_files",
+    """WITH f AS (SELECT page_id, page_id % 4 AS form, replace(replace(html, '```', ''), '<!--', '') AS tail, 'row ' || url AS body FROM pages)
+      SELECT page_id, CASE form WHEN 2 THEN 'no generated region' WHEN 3 THEN 'malformed: line 3: an end without a begin' ELSE 'changed' END AS state,
+        CASE WHEN form < 2 THEN 'same' WHEN form = 2 THEN 'no generated region' ELSE 'malformed: line 3: an end without a begin' END AS again,
+        sha256(CASE form WHEN 0 THEN '# é' || chr(10) || chr(10) || '<!-- @graph router -->' || chr(10) || body || chr(10) || '<!-- @end -->' || chr(10) || tail WHEN 1 THEN '# é' || chr(10) || chr(10) || '<!-- @graph -->' || chr(10) || body || chr(10) || '<!-- @end -->' || chr(10) || tail
+          WHEN 2 THEN '# é' || chr(10) || chr(10) || tail ELSE '# é' || chr(10) || chr(10) || '<!-- @end -->' || chr(10) || tail END) AS sha FROM f""",
+)
+def spliced_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages behind a generated region that is full, empty, missing or malformed; spliced twice."""
+    p = table(spark, sf_dir, "pages")
+    form = F.col("page_id") % 4
+    head = F.when(form == 0, "# é\n\n<!-- @graph router -->\nold | row\n<!-- @end -->\n").when(form == 1, "# é\n\n<!-- @graph --><!-- @end -->\n").when(form == 2, "# é\n\n").otherwise("# é\n\n<!-- @end -->\n")
+    tail = F.replace(F.replace("html", F.lit("```"), F.lit("")), F.lit("<!--"), F.lit(""))
+    files = p.select(F.col("page_id").cast("string").alias("path"), F.encode(F.concat(head, tail), "utf-8").alias("content"))
+    bodies = p.select(F.col("page_id").cast("string").alias("path"), F.concat(F.lit("row "), "url").alias("body"))
+    once = emit.spliced(files, bodies)
+    twice = emit.spliced(once.select("path", "content"), bodies).select("path", F.col("state").alias("again"), "content")
+    return once.select("path", "state").join(twice, "path").select(F.col("path").cast("long").alias("page_id"), "state", "again", F.sha2("content", 256).alias("sha"))
