@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..operators import budget, edges, history, ignore, prefix, resolve, tokens
 from ..sources.files import Notation, readable
-from ..sources.tables import customer_files, customer_places, page_paths, region_pairs, site_nodes, table, trade_refs
+from ..sources.shared import stored
+from ..sources.tables import customer_files, customer_places, home_pairs, page_paths, region_pairs, site_nodes, table, trade_refs
 from . import check, graph, reads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,11 +21,8 @@ SQL: dict[str, str] = {}
 # Shared pieces of the SQL side.
 _PATHS = r"paths AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*', '') AS path FROM pages)"
 _NODES = "nodes AS (SELECT '/' AS id, '' AS dir UNION SELECT DISTINCT split_part(path, '/', 1), split_part(path, '/', 1) FROM paths UNION SELECT DISTINCT split_part(path, '/', 1) || '/en', split_part(path, '/', 1) || '/en' FROM paths)"
-_TRADE = """refs AS (
-  SELECT a.n_name AS from_id, b.n_name AS to_id, l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON s_nationkey = b.n_nationkey
-  WHERE l_returnflag = 'R' AND l_quantity >= 49 AND l_discount >= 0.1 AND a.n_name <> b.n_name)"""
-_PAIRS = "declared AS (SELECT a.n_name AS from_id, b.n_name AS to_id FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_name <> b.n_name)"
+_TRADE = """refs AS (SELECT c_name AS from_id, s_name AS to_id, l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
+_PAIRS = "declared AS (SELECT c_name AS from_id, s_name AS to_id FROM customer JOIN supplier ON c_nationkey = s_nationkey)"
 _PLACES = """places AS (SELECT '/' AS id, '' AS dir UNION ALL SELECT r_name, r_name FROM region
   UNION ALL SELECT r_name || '/' || n_name, r_name || '/' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey
   UNION ALL SELECT r_name || '/' || n_name || '/' || c_name, r_name || '/' || n_name || '/' || c_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
@@ -191,44 +189,48 @@ def attributed_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("structural_check", f"WITH {_TRADE}, {_PAIRS}, {_VIOLATIONS} SELECT * FROM violations")
 def structural_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges.structural_violations(trade_refs(spark, sf_dir), region_pairs(spark, sf_dir))
+    return edges.structural_violations(trade_refs(spark, sf_dir), home_pairs(spark, sf_dir))
 
 
 @query(
     "structural_allowed",
-    f"""WITH {_TRADE}, {_PAIRS}, {_VIOLATIONS} SELECT * FROM violations WHERE NOT EXISTS (
-        SELECT 1 FROM nation a JOIN nation b ON a.n_regionkey = 1 WHERE a.n_name = node AND b.n_name = target)""",
+    f"""WITH {_TRADE}, {_PAIRS}, {_VIOLATIONS} SELECT v.* FROM violations v JOIN customer ON c_name = node JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 1""",
 )
 def structural_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every edge from region 1 is allowed, in both directions of the check."""
-    n = table(spark, sf_dir, "nation").select("n_name", "n_regionkey")
-    refs, declared = trade_refs(spark, sf_dir).select("from_id", "to_id"), region_pairs(spark, sf_dir)
-    free = n.filter("n_regionkey = 1").select(F.col("n_name").alias("from_id"))
-    allowed = refs.union(declared).distinct().join(free, "from_id", "left_semi").select("from_id", "to_id")
+    """Every edge of region 1's customers is allowed, in both directions of the check."""
+    refs, declared = trade_refs(spark, sf_dir).select("from_id", "to_id"), home_pairs(spark, sf_dir)
+    allowed = refs.union(declared).distinct().join(_customers_of(spark, sf_dir, 1, "from_id"), "from_id", "left_semi").select("from_id", "to_id")
     return edges.structural_violations(refs, declared, allowed)
 
 
+def _customers_of(spark: SparkSession, sf_dir: str, region: int, name: str) -> DataFrame:
+    """Names of the customers of a region, as the column ``name``."""
+    nations = table(spark, sf_dir, "nation").filter(F.col("n_regionkey") == region).select(F.col("n_nationkey").alias("c_nationkey"))
+    return table(spark, sf_dir, "customer").join(nations, "c_nationkey").select(F.col("c_name").alias(name))
+
+
 @query(
     "freeze_subtract",
-    f"""WITH {_TRADE}, {_PAIRS}, {_VIOLATIONS} SELECT v.* FROM violations v JOIN nation ON n_name = node WHERE NOT (n_regionkey = 0 AND direction = 'vestigial')""",
+    f"""WITH {_TRADE}, {_PAIRS}, {_VIOLATIONS} SELECT v.* FROM violations v JOIN customer ON c_name = node JOIN nation ON n_nationkey = c_nationkey WHERE NOT (n_regionkey = 0 AND direction = 'vestigial')""",
 )
 def freeze_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The check less a baseline of region 0's vestigial edges."""
-    found = structural_check(spark, sf_dir)
-    zero = table(spark, sf_dir, "nation").filter("n_regionkey = 0").select(F.col("n_name").alias("node"))
-    return edges.subtract_frozen(found, found.filter("direction = 'vestigial'").join(zero, "node", "left_semi").select("node", "direction", "target"))
+    """The check less a baseline of the vestigial edges of region 0's customers."""
+    found = stored(structural_check(spark, sf_dir), "violations")
+    frozen = found.filter("direction = 'vestigial'").join(_customers_of(spark, sf_dir, 0, "node"), "node", "left_semi")
+    return edges.subtract_frozen(found, frozen.select("node", "direction", "target"))
 
 
 @query(
     "unfold_hops",
-    f"""WITH RECURSIVE {_TRADE}, {_PAIRS}, e AS (SELECT from_id, to_id FROM refs UNION SELECT from_id, to_id FROM declared),
-      walk(id, hop) AS (SELECT 'NATION_0', 0 UNION SELECT to_id, hop + 1 FROM walk JOIN e ON from_id = id WHERE hop < 30)
+    f"""WITH RECURSIVE {_TRADE}, {_PAIRS}, e AS (SELECT from_id, to_id FROM refs UNION SELECT to_id, from_id FROM declared),
+      walk(id, hop) AS (SELECT c_name, 0 FROM customer WHERE c_custkey = 1 UNION SELECT to_id, hop + 1 FROM walk JOIN e ON from_id = id WHERE hop < 8)
       SELECT id, min(hop)::INT AS hop FROM walk GROUP BY id""",
 )
 def unfold_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = region_pairs(spark, sf_dir)
-    both = trade_refs(spark, sf_dir).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")).union(pairs).distinct()
-    start = table(spark, sf_dir, "nation").filter("n_name = 'NATION_0'").select(F.col("n_name").alias("id"))
+    """From the first customer to suppliers by what was bought, and back to the customers of their nations."""
+    back = home_pairs(spark, sf_dir).select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"))
+    both = trade_refs(spark, sf_dir).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")).union(back).distinct()
+    start = table(spark, sf_dir, "customer").filter("c_custkey = 1").select(F.col("c_name").alias("id"))
     return edges.hops_from(both, start)
 
 

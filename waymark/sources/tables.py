@@ -26,19 +26,19 @@ def site_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trade_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``from_id, to_id, l_orderkey, l_linenumber``: returned bulk lines from a customer's nation to a supplier's."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' AND l_quantity >= 49 AND l_discount >= 0.1").select("l_orderkey", "l_linenumber", "l_suppkey")
+    """``from_id, to_id, l_orderkey, l_linenumber``: each order line, from its customer to its supplier."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(nations.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("from_id")), "c_nationkey")
-        .join(nations.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("to_id")), "s_nationkey")
-        .filter("from_id <> to_id").select("from_id", "to_id", "l_orderkey", "l_linenumber")
-    )
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("from_id"))
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("to_id"))
+    buyers = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "from_id")
+    return lines.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select("from_id", "to_id", "l_orderkey", "l_linenumber")
+
+
+def home_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``from_id, to_id``: each customer with the suppliers of its nation."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("from_id"))
+    return customers.join(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_name").alias("to_id")), "nation").select("from_id", "to_id")
 
 
 def region_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
