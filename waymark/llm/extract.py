@@ -45,7 +45,10 @@ MAIN_WORDS = frozenset("article content entry main post story".split())
 #: Parts of a class that tell a state or a topic of the element, not what it is.
 STATES = frozenset("has with no not without is enabled disabled tag category".split())
 PUNCTUATION = re.compile(r"[.,;:!?¿¡…。，、；：！？·]")
-COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
+#: A notice, not a sentence about copyright.
+COPYRIGHT = re.compile(r"(?:copyright\s*)?(?:©|\(c\)\s*\d{4}|copyright\s+\d{4}|all rights reserved)", re.I)
+#: What the heading of readers' comments says.
+COMMENTS = re.compile(r"(?:\d+\s+|reader\W*s?\s+|user\s+|your\s+)?(?:comments?|kommentare|commentaires|comentarios|replies|responses)(?:\s*\(?\d+\)?)?:?", re.I)
 
 #: Weights of marks in a path's score, the share of the mean that a path must reach, and what may remain beside marks.
 WEAK, STRONG, GOOD, THRESHOLD, REMAINS = 0.1, 0.02, 2.0, 0.3, 0.05
@@ -106,6 +109,7 @@ class Node:
     p_at: int  # where on the stack a paragraph is open that a block element ends, or -1
     main: bool
     ends: dict[str, int]  # where items, cells and rows are open that another one ends
+    inline: dict[str, int]  # how many inline elements of a name are open since the last block element
 
 
 def _class_words(attributes: str) -> tuple[str, set[str]]:
@@ -124,11 +128,11 @@ def _class_words(attributes: str) -> tuple[str, set[str]]:
 def read_page(page: str) -> tuple[list[Block], Paths]:
     """The page's text blocks in order, and their tag paths (inline elements left out).
 
-    One pass that never goes back: each character is looked at a bounded number of times, whatever
-    is open, nested or unclosed.
+    One pass that never goes back. What an end tag walks over it also ends, so work is in proportion to
+    the page, whatever is open, nested or unclosed.
     """
     paths, out, now, at, end = Paths(), [], None, 0, len(page)
-    stack = [Node("", 0, 0, False, -1, False, {})]
+    stack = [Node("", 0, 0, False, -1, False, {}, {})]
     opened: dict[str, int] = {}
     never: set[str] = set()  # raw elements whose end tag does not come any more
 
@@ -147,11 +151,15 @@ def read_page(page: str) -> tuple[list[Block], Paths]:
     def cut(k: int) -> None:
         for n in stack[k:]:
             opened[n.tag] -= 1
+            if n.tag in INLINE:
+                n.inline[n.tag] -= 1
         del stack[k:]
 
     def push(node: Node) -> None:
         stack.append(node)
         opened[node.tag] = opened.get(node.tag, 0) + 1
+        if node.tag in INLINE:
+            node.inline[node.tag] = node.inline.get(node.tag, 0) + 1
 
     while at < end:
         start = page.find("<", at)
@@ -181,13 +189,12 @@ def read_page(page: str) -> tuple[list[Block], Paths]:
             stop = end if close < 0 else close
         attributes, at = page[begin:stop], min(end, stop + 1)
         if closing:
-            if opened.get(tag):
+            # What is walked over is cut: an end tag that ends nothing is told without a walk.
+            if (stack[-1].inline if tag in INLINE else opened).get(tag):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
                         cut(k)
                         break
-                    if tag in INLINE and stack[k].tag not in INLINE:
-                        break
             if tag not in INLINE:
                 now = None
             continue
@@ -212,7 +219,7 @@ def read_page(page: str) -> tuple[list[Block], Paths]:
                 cut(min(places))
         top, k = stack[-1], len(stack)
         if tag in INLINE:
-            push(Node(tag, top.path, top.element, top.link or tag == "a", top.p_at, top.main, top.ends))
+            push(Node(tag, top.path, top.element, top.link or tag == "a", top.p_at, top.main, top.ends, top.inline))
             continue
         now = None
         name, words = _class_words(attributes) if attributes else ("", set())
@@ -227,7 +234,7 @@ def read_page(page: str) -> tuple[list[Block], Paths]:
         if tag in BOUNDS:
             ends = {t: v for t, v in ends.items() if t not in BOUNDS[tag]}
         path = paths.under(top.path, tag, "" if page_itself else name, 2 if strong else 1 if weak else 0, good and not page_itself)
-        push(Node(tag, path, paths.element(top.element, path), top.link, k if tag == "p" else -1, top.main or main, ends))
+        push(Node(tag, path, paths.element(top.element, path), top.link, k if tag == "p" else -1, top.main or main, ends, {}))
     return out, paths
 
 
@@ -247,6 +254,61 @@ def _down(own: list, parent: list[int], join) -> list:
     return out
 
 
+def path_scores(of: np.ndarray, texts: list[str], free: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each path's fused ratio (0 without a block), and its text that is no link, from its blocks in page order.
+
+    ``of`` is each block's path, ``free`` its share of text outside links, ``n`` the number of paths.
+    """
+    length = np.array([len(t) for t in texts], np.float64)
+    points = np.array([len(PUNCTUATION.findall(t)) for t in texts], np.float64)
+    nodes = np.maximum(np.bincount(of, minlength=n), 1)
+    fused = np.ones(len(texts))
+    for value in (length, points + 1):
+        series = np.pad((np.bincount(of, value * free, n) / nodes)[of], 1, mode="edge")
+        fused *= np.convolve(series, (0.1, 0.8, 0.1), "valid")
+    score = np.bincount(of, np.sqrt(fused) * length, n) / np.maximum(np.bincount(of, length, n), 1)
+    return score, np.bincount(of, length * free, n)
+
+
+def _above(path: int, top: int, parent: list[int]) -> Iterator[int]:
+    """A path and those above it, up to ``top``, which is left out."""
+    while path > top:
+        yield path
+        path = parent[path]
+
+
+def _common(one: int, other: int, parent: list[int]) -> int:
+    """The deepest path that both lie in; parents have smaller numbers."""
+    while one != other:
+        one, other = (parent[one], other) if one > other else (one, parent[other])
+    return one
+
+
+def _comments(blocks: list[Block], texts: list[str], paths: Paths) -> list[bool]:
+    """Of each element whether it lies in one that begins with a heading of readers' comments, and holds no first heading or article."""
+    own, seen = set(), [False] * len(paths.at)
+    for block, text in zip(blocks, texts, strict=True):
+        if not text:
+            continue
+        around = paths.above[block.element]
+        if paths.tag[block.path] in HEADINGS and around > 0 and not seen[around] and COMMENTS.fullmatch(text):
+            own.add(around)
+        e = block.element
+        while e > 0 and not seen[e]:
+            seen[e] = True
+            e = paths.above[e]
+    if not own:
+        return [False] * len(seen)
+    holds = [paths.tag[p] in MAIN or paths.tag[p] in ("h1", "html", "body") for p in paths.at]
+    for e in range(len(holds) - 1, 0, -1):
+        holds[paths.above[e]] |= holds[e]
+    own = {e for e in own if not holds[e]}
+    inside = [False] * len(paths.at)
+    for e in range(1, len(inside)):
+        inside[e] = e in own or inside[paths.above[e]]
+    return inside
+
+
 def content_blocks(page: str) -> list[str]:
     """The texts of the page's content blocks, in page order.
 
@@ -258,29 +320,26 @@ def content_blocks(page: str) -> list[str]:
        text, or where next to nothing would remain beside them.
     3. Paths that reach a share of the mean score (weighted by text) are content paths.
     4. The root is the deepest article or main element with half of the content, else the deepest
-       path that all content paths have in common. Content nodes are the blocks below it, less marked
-       subtrees without a content path. If the root is no article, less elements right below it,
-       too, that hold no content path or are minor beside the largest, and mostly link or come
+       path that all content paths have in common, and the first heading with them, if that is a container
+       of its own. Content nodes are the blocks below it, less marked subtrees without a content path.
+       If the root is no article, less elements right below it, too, that mostly link, and (unless it is
+       the first heading's container) that hold no content path or are minor beside the largest, and come
        before the first heading or content block or after the last content block; and less a last
-       copyright line.
+       copyright notice.
+
+    Parts that begin with a heading of readers' comments are left out before.
     """
     blocks, paths = read_page(page)
     texts = [" ".join("".join(b.text).split()) for b in blocks]
-    live = [k for k, t in enumerate(texts) if t]
+    said = _comments(blocks, texts, paths)
+    live = [k for k, t in enumerate(texts) if t and not said[blocks[k].element]]
     if not live:
         return []
     parent, n = paths.parent, len(paths.parent)
     of = np.array([blocks[k].path for k in live])
     length = np.array([len(texts[k]) for k in live], np.float64)
-    points = np.array([len(PUNCTUATION.findall(texts[k])) for k in live], np.float64)
     free = np.array([1 - min(1.0, blocks[k].linked / max(len(texts[k]), 1)) for k in live])
-    nodes = np.maximum(np.bincount(of, minlength=n), 1)
-    fused = np.ones(len(live))
-    for value in (length, points + 1):
-        series = np.pad((np.bincount(of, value * free, n) / nodes)[of], 1, mode="edge")
-        fused *= np.convolve(series, (0.1, 0.8, 0.1), "valid")
-    score = np.bincount(of, np.sqrt(fused) * length, n) / np.maximum(np.bincount(of, length, n), 1)
-    text = np.bincount(of, length * free, n)
+    score, text = path_scores(of, [texts[k] for k in live], free, n)
 
     mark = np.array(paths.mark)
     strong = np.array(_down((mark == 2).tolist(), parent, lambda a, b: a or b))
@@ -324,6 +383,10 @@ def content_blocks(page: str) -> list[str]:
         root, many = held[-1], np.bincount(paths.at, minlength=n)
         while root and many[root] > 1:  # several elements of one path are judged one by one
             root = parent[root]
+        title = next((blocks[k].path for k in live if paths.tag[blocks[k].path] == "h1" and not strong[blocks[k].path]), None)
+        wide = _common(root, title, parent) if title is not None else root
+        titled = wide != root and many[wide] == 1 and paths.tag[wide] not in ("", "html", "body") and not any(out[p] for p in _above(title, wide, parent))
+        root = wide if titled else root
     inside = _down([k == root for k in range(n)], parent, lambda a, b: a or b)
     beside = np.array(_down((out & (content == 0)).tolist(), parent, lambda a, b: a or b))
     holds = content > 0
@@ -346,7 +409,7 @@ def content_blocks(page: str) -> list[str]:
     kept = []
     for i in order:
         c = top[i]
-        if c < 0 or (holds[paths.at[c]] and not minor[c]):
+        if c < 0 or (holds[paths.at[c]] and not minor[c]) or (titled and linked[c] <= 0.5):
             kept.append(i)
         elif linked[c] <= 0.5 and (first <= i <= last or (paths.tag[paths.at[c]] in LEAVES and i > first)):
             kept.append(i)
