@@ -127,13 +127,13 @@ class Index:
     short: dict[str, list[int]]
 
     @classmethod
-    def build(cls, rows: list[tuple], q: int, rate: float, least_chars: int = 1) -> Index:
+    def build(cls, rows: list[tuple], q: int, rate: float) -> Index:
         """An item of n characters may need ``rate * n`` edits, and fewer where q-grams leave no bound.
 
         A q-gram of many items says little about each. Where an item still needs hits beside all its
         shared q-grams, they are left out and its least count is lower by their number: the bound holds.
         """
-        forms = [(i, t) for i, t in ((i, normal_form(t or "")) for i, t in rows) if len(t) >= max(1, least_chars)]
+        forms = [(i, t) for i, t in ((i, normal_form(t or "")) for i, t in rows) if t]
         kept = sorted(forms, key=lambda r: len(r[1]) < q)
         short: dict[str, list[int]] = {}
         for m, (_, t) in enumerate(kept):
@@ -253,14 +253,14 @@ class Index:
                 yield t, m, result[c][0], int(start[c]), int(start[c]) + result[c][1]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, q: int, rate: float, block_chars: int, least_chars: int = 1) -> Iterator[Index]:
+def _blocks(benchmark: DataFrame, id_col: str, q: int, rate: float, block_chars: int) -> Iterator[Index]:
     """The benchmark as indexes of about ``block_chars`` characters, one after the other."""
     items = benchmark.select(id_col, "text").filter(F.length("text") > 0).distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // block_chars)
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64(id_col, "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        yield Index.build(sorted(map(tuple, part.collect()), key=str), q, rate, least_chars)
+        yield Index.build(sorted(map(tuple, part.collect()), key=str), q, rate)
 
 
 def find_leaks(
@@ -305,15 +305,16 @@ def find_leaks(
     return result
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = 10, rate: float = 0.08, item_col: str = "item_id", block_chars: int = 4_000_000, least_chars: int = 10) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns; see ``find_leaks``.
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = 10, rate: float = 0.08, item_col: str = "item_id", block_chars: int = 4_000_000) -> DataFrame:
+    """The rows of ``docs`` that hold none of the benchmark items that ``find_leaks`` reports, with all their columns.
 
-    Items of fewer than ``least_chars`` characters in normal form ("yes", "42") are reported by
-    ``find_leaks``, but are no ground to drop a document.
+    So a document goes if one item is found in it, a short one ("42") as a whole word, too. Null and empty
+    texts hold none; each of several equal rows is judged alike; an empty table, or an empty benchmark,
+    drops nothing; columns pass through under any name.
     """
     spark = docs.sparkSession
     text_at = docs.columns.index("text")
-    for index in _blocks(benchmark, item_col, q, rate, block_chars, least_chars):
+    for index in _blocks(benchmark, item_col, q, rate, block_chars):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
