@@ -162,7 +162,7 @@ def test_leaks_edges(spark, odd, none):
     assert got == {(d, i) for d in (5, 6, None) for i in (1, None)} | {(7, 4)}
     assert decontam.find_leaks(none, bench).count() == 0 and decontam.find_leaks(odd, bench.limit(0)).count() == 0
     kept = decontam.drop_leaks(odd, bench)
-    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "7", "None"]
+    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "None"]
     assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(odd, bench, block_chars=20).collect()} == got
 
 
