@@ -4,9 +4,10 @@ import random
 
 import pytest
 
-from waymark.jobs import store
+from waymark.jobs import check, store
 from waymark.jobs.graph import Refused, committed_stamps
 from waymark.operators import diff, resolve
+from waymark.sources.config import Settings
 
 FILES = {"AGENTS.md": "```graph\nkind: system\npurpose: all\ninvariants:\n  - claim: adds\n    anchor: m.py#total\n```\n", "m.py": "def total(xs):\n    return sum(xs)\n"}
 
@@ -78,3 +79,20 @@ def test_substrings_by_the_rarest_gram(spark):
     assert {tuple(r) for r in got.collect()} == {(q, i) for q in queries if q for i in ids if q in i}
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_checks_follow_the_settings(spark):
+    files = {
+        "AGENTS.md": "```graph\nkind: system\npurpose: all\ncommands:\n  a: mix deps.tree\n  b: cargo login && mix nothere\ninvariants:\n  - claim: adds\n    anchor: m.py#gone\n```\n",
+        "mix.exs": "", "lib/a.go": "", "node_modules/x/y.js": "", "skip.me/z.go": "",
+    }
+    graph = store.compile_graph(spark.createDataFrame([(p, bytearray(c.encode())) for p, c in files.items()], "path string, content binary"))
+    said = lambda settings, **more: [(r["class"], r.message) for r in check.check_with(graph, settings, **more).collect()]
+    default = said(Settings(), programs=["cargo"])
+    assert ("exhaustiveness", "lib (1 file) is covered by no node — unreachable via any router") in default and ("exhaustiveness", "skip.me (1 file) is covered by no node — unreachable via any router") in default
+    assert not any("node_modules" in m for _, m in default) and [m for c, m in default if c == "liveness"] == ["command b does not resolve: nothere is no task of mix"]
+    some = said(Settings(exclude=("skip.*", "lib", "node_modules"), disable=("referential", "liveness")), programs=["cargo"])
+    assert some == [] and said(Settings(disable=check.CLASSES)) == []
+    assert ("budget", "always-loaded set for / renders 22 tokens > 3") in said(Settings(root_tokens=3))
+    texts = [r.value for r in check.findings_text(check.check_with(graph, Settings(disable=check.CLASSES[1:]))).collect()]
+    assert texts == ['referential: anchor m.py#gone unresolved (0 definitions of "gone" in m.py)\n  claim now unanchored: adds']

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..operators import budget, commands, edges, history, lineage, prefix, resolve
+from ..sources.config import Settings
 from ..sources.files import Notation
 from ..sources.shared import stored
 from .graph import GraphTables, anchor_digests, stamp_claims
@@ -209,6 +210,45 @@ def check(
     return out.orderBy(rank, "node", "message")
 
 
+def check_with(
+    graph: GraphTables, settings: Settings, notation: Notation = Notation(), *, baseline: DataFrame | None = None, size: Column | None = None, states: DataFrame | None = None, programs: Sequence[str] | None = None,
+) -> DataFrame:
+    """``check`` of a compiled graph as a repository's settings want it: ceilings, depth, excluded directories, disabled classes, thresholds.
+
+    ``states`` come from ``claim_states`` (none: no freshness). Directories are left out by the settings'
+    globs for their names; a node's own threshold stands for both general ones.
+    """
+    spark = graph.files.sparkSession
+    names = X.basename(F.col("dir"))
+    excluded = None
+    for glob in settings.exclude:
+        hit = names.rlike(X.glob_regex(glob, across=True))
+        excluded = hit if excluded is None else excluded | hit
+    overrides = spark.createDataFrame(sorted(settings.node_thresholds.items()), "node_id string, threshold long")
+    makers = {
+        "referential": lambda: referential(graph, graph.files, notation), "structural": lambda: structural(graph, baseline),
+        "exhaustiveness": lambda: exhaustiveness(graph, graph.files, depth=settings.depth, excluded=excluded),
+        "budget": lambda: chain_budget(graph, graph.texts, notation, cap=settings.chain_bytes).unionByName(token_budgets(graph, graph.texts, notation, size, root_cap=settings.root_tokens)),
+        "freshness": lambda: None if states is None else freshness(states, graph.nodes, threshold=settings.churn_threshold, leash=settings.enforced_leash, overrides=overrides),
+        "liveness": lambda: None if programs is None else liveness(graph, graph.texts, graph.files, programs=programs),
+    }
+    found = [f for f in (makers[c]() for c in CLASSES if c not in settings.disable) if f is not None]
+    if not found:
+        return referential(graph, graph.files, notation).limit(0)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.orderBy(F.array_position(F.array(*map(F.lit, CLASSES)), F.col("class")), "node", "message")
+
+
+def findings_text(findings: DataFrame) -> DataFrame:
+    """``class, node, message, value``: each finding as lines of text: what it says, its detail, its places, and how to mend it."""
+    place = lambda p: F.concat(F.lit("\n  at "), p["file"], F.lit(":"), p["line"].cast("string"), F.coalesce(F.concat(F.lit(" "), p["text"]), F.lit("")))
+    places = F.coalesce(F.array_join(F.transform("locations", place), ""), F.lit(""))
+    more = lambda c, head: F.coalesce(F.concat(F.lit(f"\n  {head}"), F.col(c)), F.lit(""))
+    return findings.select("class", "node", "message", F.concat("class", F.lit(": "), "message", more("detail", ""), places, more("fix", "fix: ")).alias("value"))
+
+
 def summary(findings: DataFrame) -> DataFrame:
     """``class, n``: findings per class, and the total under the class ``all``; zeroes are listed."""
     classes = findings.sparkSession.createDataFrame([(c,) for c in CLASSES], "class string")

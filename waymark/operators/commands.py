@@ -12,12 +12,25 @@ from ..functions import expr as X
 from ..functions import regions
 
 # Shell builtins, and each runner's own subcommands.
-SHELL_BUILTINS = (": . [ alias bg break cd command continue echo eval exec exit export false fg getopts hash jobs kill printf pwd read readonly return set shift test times trap true type ulimit umask unalias unset wait").split()
+SHELL_BUILTINS = (
+    ".", ":", "[", "alias", "bg", "break", "cd", "command", "continue", "echo", "eval", "exec", "exit", "export", "false", "fg", "getopts", "hash", "jobs", "printf", "pwd", "read",
+    "readonly", "return", "set", "shift", "test", "times", "trap", "true", "type", "ulimit", "umask", "unalias", "unset", "wait",
+)
 RUNNERS = {"mix": "mix", "cargo": "cargo", "just": "just", "npm": "npm", "pnpm": "npm", "yarn": "npm"}
 RUNNER_OWN = {
-    "cargo": "bench build check clean clippy doc fetch fix fmt install metadata new publish run test tree update vendor".split(),
-    "mix": "compile deps.get deps.compile format help local.hex new release run test xref".split(), "just": [], "npm": "audit ci exec i init install link ls outdated pack publish run start test update".split(),
-}
+    "mix": (
+        "app.config", "app.start", "app.tree", "archive", "archive.build", "archive.install", "archive.uninstall", "clean", "cmd", "compile", "deps", "deps.clean", "deps.compile", "deps.get",
+        "deps.tree", "deps.unlock", "deps.update", "do", "docs", "escript", "escript.build", "escript.install", "escript.uninstall", "eval", "format", "help", "loadconfig", "loadpaths", "local",
+        "local.hex", "local.rebar", "new", "profile.cprof", "profile.eprof", "profile.fprof", "profile.tprof", "release", "release.init", "run", "source", "test", "test.coverage", "xref",
+    ),
+    "cargo": (
+        "add", "b", "bench", "build", "c", "check", "clean", "clippy", "d", "doc", "fetch", "fix", "fmt", "generate-lockfile", "help", "info", "init", "install", "locate-project", "login", "logout",
+        "metadata", "new", "owner", "package", "pkgid", "publish", "r", "remove", "report", "rm", "run", "rustc", "rustdoc", "search", "t", "test", "tree", "uninstall", "update", "vendor",
+        "version", "yank",
+    ),
+    "just": (),
+    "npm": ("audit", "ci", "exec", "i", "init", "install", "link", "ls", "outdated", "pack", "publish", "run", "start", "test", "update"),
+}
 #: Files at the root that name tasks.
 MANIFESTS = ("mix.exs", "package.json", ".cargo/config.toml", ".cargo/config", "justfile", "Justfile")
 
