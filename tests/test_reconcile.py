@@ -130,7 +130,7 @@ def test_lookups_suggest(spark):
     got = {r.query: (r.outcome, r.id, sorted(r.candidates)) for r in resolve.node_lookup(asked, nodes).collect()}
     assert got == {
         "./web/": ("found", "web", []), "store": ("ambiguous", None, ["api/store", "web/store"]), "pay-out": ("found", "api/pay-out", []),
-        "pay": ("unknown", None, ["api/pay-out"]), "zzz": ("unknown", None, []), "/": ("found", "/", []),
+        "pay": ("unknown", None, ["api/pay-out"]), "zzz": ("unknown", None, ["/", "api/pay-out", "api/store", "web", "web/store"]), "/": ("found", "/", []),
     }
 
 
