@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, rows_of, text_bytes, text_key
+from .common import discard, materialize, rows_of, text_bytes, text_key
 from .words import anchor_of_windows, run_hashes, word_hashes
 
 #: Words in a seed; a window of W words holds W - SEED + 1 of them.
@@ -101,6 +101,8 @@ def repeated_spans(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id")
     more = materialize(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"), "windows")
     starts = windows.join(more, ["w1", "w2"]).groupBy("row").agg(F.sort_array(F.collect_list("start")).alias("starts"))
     found = materialize(sought.select("row", "k1", "k2", "packed").join(starts, "row"), "repeats")
+    for done in (repeated, marks, sought, more):
+        discard(done)
     return parsed.select(id_col, "k1", "k2", "n_words", "whole_sha256"), found
 
 
@@ -149,6 +151,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id")
     parsed, found = repeated_spans(docs, window=window, id_col=id_col)
     cut = _cut(found, window).select("k1", "k2", "n_removed", F.sha2("kept", 256).alias("sha"), "spans")
     changes = materialize(cut.join(_copied(parsed, window), ["k1", "k2"], "full_outer"), "changes")
+    discard(found)
     joined = parsed.join(changes, ["k1", "k2"], "left")
     whole = F.array(F.struct(F.lit(0).alias("from"), F.col("n_words").cast("int").alias("to")))
     return joined.select(
@@ -169,7 +172,10 @@ def cut_documents(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id")
     names = docs.columns
     parsed, found = repeated_spans(docs, window=window, id_col=id_col)
     cut = _cut(found, window).select("k1", "k2", F.col("kept").cast("string").alias("__kept"))
-    changes = materialize(cut.join(_copied(parsed, window), ["k1", "k2"], "full_outer"), "changes").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.when(F.col("copied"), F.lit("")).otherwise(F.col("__kept")).alias("__kept"))
+    changes = materialize(cut.join(_copied(parsed, window), ["k1", "k2"], "full_outer"), "changes")
+    for done in (parsed, found):
+        discard(done)
+    changes = changes.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.when(F.col("copied"), F.lit("")).otherwise(F.col("__kept")).alias("__kept"))
     k1, k2 = text_key(text_bytes())
     joined = docs.join(changes, (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left").withColumn("text", F.coalesce("__kept", "text"))
     joined = joined.filter(F.col("__kept").isNull() | (F.col("__kept") != ""))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import materialize, rows_of, text_bytes
+from .common import discard, materialize, rows_of, text_bytes
 from .components import connected_components
 
 BITS = 64
@@ -555,17 +555,27 @@ def similar_groups(docs: DataFrame, prints: DataFrame, *, shingle: int, percent:
     texts = docs.join(ids, docs[id_col].eqNullSafe(ids["__id"]), "left_semi")
     sets = materialize(shingle_sets(texts, shingle=shingle).join(met, "f2", "left_semi").dropDuplicates(["f2"]), "sets")
     linked = materialize(_measured(first, sets, percent), "linked")
+    for done in (met, ids):
+        discard(done)
     groups = connected_components(linked)
     labels = groups.select(F.col("node").alias("f2"), F.col("component").alias("f3"))
     more_bits = [f"s{k}" for k in range(SKETCH)]
     marked = nodes.join(sketches(sets), "f2").join(labels, "f2", "left").select("f0", "f1", *more_bits, "f2", F.coalesce("f3", "f2").alias("f3"), "size")
     marked = materialize(marked, "marked")
+    discard(nodes)
     found = [_edges(_signatures(marked, plan, [a, b, *more_bits, "f2", "f3"]), SKETCH + 4, bound, bound_all, labelled=plan, others=a == "f1") for a, b, plan in lanes]
     found = [f.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b") for f in found]
     second = materialize(found[0].union(found[1]).distinct().join(first, ["a", "b"], "left_anti"), "candidates")
+    for done in (first, marked):
+        discard(done)
     more = materialize(_measured(second, sets, percent), "linked")
+    for done in (second, sets):
+        discard(done)
     if not more.isEmpty():
+        discard(groups)
         groups = connected_components(linked.unionByName(more))
+    for done in (linked, more):
+        discard(done)
     return groups.select(F.col("node").alias("f2"), F.col("component").alias("group"))
 
 
@@ -584,6 +594,7 @@ def keep_one(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bound: int
     groups = similar_groups(docs, prints, shingle=shingle, percent=percent, bound=bound, bound_all=bound_all, id_col=id_col)
     least = prints.groupBy("f2").agg(F.min(id_col).alias("least")).join(groups, "f2", "left")
     keyed = materialize(least.select("f2", "least", F.coalesce("group", "f2").alias("group")), "groups")
+    discard(groups)
     smallest = materialize(keyed.groupBy("group").agg(F.min("least").alias("stays")), "smallest")
     labels = keyed.join(smallest, "group").select("f2", "stays")
     gone = prints.join(labels, "f2").filter(F.col(id_col) != F.col("stays")).select(id_col).distinct()
