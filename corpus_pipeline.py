@@ -24,31 +24,47 @@ QUALITY_THRESHOLD = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches the threshold."""
+    """Documents whose quality score reaches the threshold.
+
+    Null and empty texts are scored like others; equal rows stay or go together; own columns ``score`` and
+    ``predicted`` keep their values; an empty table stays empty.
+    """
     own = docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c in ("score", "predicted")})
     judged = judge_quality(own, table(spark, sf_dir, "labels"), threshold=QUALITY_THRESHOLD)
     return judged.filter(F.col("predicted") == 1).select(*own.columns).toDF(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies."""
+    """One document of each group of copies and near copies, the one with the smallest id.
+
+    Texts without words (null, empty) are copies of each other; rows with a null id all stay; of rows with
+    one id one stays; an empty table stays empty; columns pass through under any name.
+    """
     return keep_one(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 50 words or more that stand elsewhere too."""
+    """Texts without the passages of 50 words or more that stand elsewhere too.
+
+    Null and empty texts stay as they are; a document of which nothing is left goes, so rows with equal texts
+    of 50 words or more all go; ``n_chars`` follows the text; an empty table stays empty.
+    """
     return cut_documents(docs, window=50)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none; an empty benchmark or table changes nothing; equal rows stay or go together.
+    """
     return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as its source's target asks, ``copy`` counting from 0.
 
-    Rows with one id are taken alike; the mix is decided from ids, sources and word counts. If the
+    Rows with one id are taken alike; documents without words count nothing and may stay; an empty table
+    stays empty. The mix is decided from ids, sources and word counts. If the
     documents have a column ``copy``, the count takes its place in the last column as ``copy_number``.
     """
     mixed = mix_documents(docs).filter("repeats > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("repeats").alias("__repeats"))

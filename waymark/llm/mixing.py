@@ -107,7 +107,10 @@ def cycle_weights(sized: DataFrame, cycle: tuple[int, ...] = (3, 1, 2)) -> DataF
 def mix_documents(docs: DataFrame, *, budget: float = 1.5, max_epochs: float = 2.0, seed: int = 20) -> DataFrame:
     """Mix ``docs(doc_id, text, source, ...)`` to cyclic source weights and ``budget`` times its words.
 
-    Returns ``doc_id, source, size, source_size, target, repeats``.
+    Returns ``doc_id, source, size, source_size, target, repeats``. Sizes are words of whole texts (null and
+    empty: 0); a null source is a source of its own, the last in order; rows with one id and source share
+    their number of repeats; an empty table gives no rows. Other columns are not read, so their names do
+    not clash. Sources are ordered in one place, a row each.
     """
     sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     weights = materialize(cycle_weights(sized), "weights")

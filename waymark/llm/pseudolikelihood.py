@@ -204,7 +204,9 @@ def score_likelihood(docs: DataFrame, *, rounds: int = 2, stride: int | None = N
     a hidden word must not vouch for itself. Classes of rarer words go by their endings, so context
     reaches them. ``unseen_share`` is the share of positions whose word stands nowhere else in the
     corpus (but for equal hashes): texts that occur twice have next to none. Null and empty texts have
-    0 words, sum 0 and a null mean and share. An empty table gives an empty table.
+    0 words, sum 0 and a null mean and share. An empty table gives an empty table. Repeated rows are each
+    counted, learnt from and scored; texts of any length are scored whole; other columns are not read, so
+    their names do not clash.
     """
     vocabulary = Vocabulary.build(count_words(docs))
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]

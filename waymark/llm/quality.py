@@ -179,6 +179,12 @@ def score_quality(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, max_rows: int = 6000) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted`` (1 from ``threshold`` on)."""
+    """``docs`` with ``score`` and ``predicted`` (1 from ``threshold`` on).
+
+    The model is learnt by ``fit_quality`` on labelled rows that are not held out, and applied by
+    ``score_quality``: null and empty texts are scored, too, texts of any length are read whole, equal rows
+    score alike, an empty table stays empty, and without labels all scores are 0.5. Columns named ``score``
+    or ``predicted`` are replaced, others pass through.
+    """
     scored = score_quality(docs, fit_quality(docs, labels, max_rows=max_rows))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -168,7 +168,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
 
     Token ids are made for single pre-tokens only. Added tokens' strings within a text count one
     token each. Null texts count as empty: 0 bytes, 0 tokens. Repeated rows are each counted; an
-    empty table gives an empty table.
+    empty table gives an empty table. Texts of any length are cut whole; other columns are not read, so
+    their names do not clash.
     """
     with open(vocabulary, encoding="utf-8") as f:
         definition = f.read()
