@@ -135,11 +135,10 @@ def claim_states(
     now = stamp_claims(graph, texts, "", notation).select("node_id", "slug", "region", F.col("verified_digest").alias("current_digest"))
     marks = commits.select(F.col("sha").alias("verified_sha"), F.col("seq").alias("mark")).distinct()
     known = stamps.select("node_id", "slug", "verified_sha", "verified_digest").join(marks, "verified_sha", "left")
-    joined = claims.join(known, ["node_id", "slug"], "left").join(now, ["node_id", "slug"], "left")
+    joined = stored(claims.join(known, ["node_id", "slug"], "left").join(now, ["node_id", "slug"], "left"), "states")
     if parents is None:
         counted = history.churn(joined.withColumn("threshold", F.lit(0).cast("long")), commits.select("file", "seq")).drop("state", "threshold")
         return history.blame(counted).withColumns({"attribution": F.lit(None).cast("string"), "staled_sha": F.lit(None).cast("string")})
-    joined = stored(joined, "states")
     bound = joined.filter("verified_sha IS NOT NULL").select("file", "anchor").distinct()
     digests = commits.select("sha", "file").distinct().join(bound, "file").withColumn("digest", F.lit(None).cast("string"))
     if versions is not None:

@@ -657,10 +657,10 @@ def check_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check.check(g, files, readable(files), programs=["make"]).select("class", "node", "message")
 
 
-@query("check_summary", f"WITH {_CUST}, {_FOUND}, {_EDGES}, {_CHECKS}, names AS (SELECT unnest(['referential', 'structural', 'exhaustiveness', 'budget', 'freshness', 'liveness']) AS class) SELECT class, count(message) AS n FROM names LEFT JOIN (SELECT * FROM found WHERE class IN ('budget', 'exhaustiveness')) USING (class) GROUP BY class UNION ALL SELECT 'all', count(*) FROM found WHERE class IN ('budget', 'exhaustiveness')")
+@query("check_summary", f"WITH {_CUST}, {_FOUND}, {_EDGES}, {_CHECKS}, names AS (SELECT unnest(['referential', 'structural', 'exhaustiveness', 'budget', 'freshness', 'liveness']) AS class) SELECT class, count(message) AS n FROM names LEFT JOIN found USING (class) GROUP BY class UNION ALL SELECT 'all', count(*) FROM found")
 def check_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, g = _compiled(spark, sf_dir)
-    return check.summary(check.check(g, files, readable(files), only=("exhaustiveness", "budget")))
+    return check.summary(check.check(g, files, readable(files), programs=["make"]))
 
 
 @query("freeze_keys", f"WITH {_CUST}, {_FOUND}, {_EDGES}, {_CHECKS} SELECT node, CASE WHEN message LIKE '%imports%' THEN 'undeclared' ELSE 'vestigial' END AS direction, split_part(split_part(split_part(message, ' imports ', 2) || split_part(message, ' depends on ', 2), ' — ', 1), ' — ', 1) AS target FROM found WHERE class = 'structural'")
@@ -677,6 +677,11 @@ def freeze_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def blame_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stamps of five kinds against what claims digest now and against orders as the changes of a customer's module."""
+    _, states = _stamped(spark, sf_dir)
+    return states.select("node_id", "slug", "outcome", F.when(F.col("outcome") == "churn", F.col("n_later")).alias("n_later"))
+
+
+def _stamped(spark: SparkSession, sf_dir: str) -> tuple[graph.GraphTables, DataFrame]:
     files, g = _compiled(spark, sf_dir)
     texts = readable(files)
     k = F.regexp_extract("node_id", "c([0-9]+)$", 1).try_cast("long")
@@ -689,8 +694,21 @@ def blame_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.when(F.col("k") % 5 == 1, F.col("now")).when(F.col("k") % 5 == 2, F.lit("old"))
     sha = F.when(F.col("k") % 5 == 4, "gone").otherwise(F.coalesce("first", F.lit("none")))
     stamps = kept.select("node_id", "slug", sha.alias("verified_sha"), digest.alias("verified_digest"))
-    states = check.claim_states(g, texts, stamps, commits)
-    return states.select("node_id", "slug", "outcome", F.when(F.col("outcome") == "churn", F.col("n_later")).alias("n_later"))
+    return g, check.claim_states(g, texts, stamps, commits)
+
+
+@query(
+    "freshness_findings",
+    f"""WITH {_CUST}, {_FOUND}, later AS (SELECT o_custkey AS k, min(o_orderkey) AS mark, count(*) - 1 AS n FROM orders GROUP BY o_custkey),
+      held AS (SELECT c.*, mark, n, kind = 'invariant' AND c.k % 2 = 0 AS guarded, CASE WHEN kind = 'invariant' AND c.k % 2 = 0 THEN 2 ELSE 5 END AS lim FROM claims c LEFT JOIN later l ON l.k = c.k WHERE c.k % 5 > 1 AND resolved IS NOT NULL)
+      SELECT node_id AS node, 'claim c' || k || '/' || slug || CASE WHEN k % 5 = 2 THEN ' — digest of its region thing changed' WHEN k % 5 = 4 OR mark IS NULL THEN ' — cannot verify freshness: history unavailable'
+          ELSE ' — anchored file changed in ' || n || ' commits, past its leash ' || lim END AS message
+      FROM held WHERE CASE WHEN k % 5 = 2 THEN NOT guarded WHEN k % 5 = 4 OR mark IS NULL THEN true ELSE n > lim END""",
+)
+def freshness_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said of those stamps with a leash of 5 commits, and of 2 for claims with a guard."""
+    g, states = _stamped(spark, sf_dir)
+    return check.freshness(states, g.nodes, threshold=5, leash=2).select("node", "message")
 
 
 @query(
