@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import lineage, masks, resolve
@@ -43,8 +43,8 @@ def version_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.create_map(*(F.lit(x) for x in ("mark", "※ rule", "symbol", "lib.py#thing", "other", "lib.py#other")))
     anchors = people.select("file", F.explode(named).alias("bound", "anchor")).withColumn("at_line", F.lit(None).cast("int"))
     found = graph.anchor_digests(anchors, versions, Notation()).select("file", "bound", "seq", "region", "digest")
-    first = found.groupBy("file", "bound", "digest").agg(F.min("seq").alias("first_seq"))
-    return found.join(first, ["file", "bound", "digest"]).select("file", "bound", "seq", "region", "first_seq")
+    same = Window.partitionBy("file", "bound", "digest")
+    return found.filter("digest IS NOT NULL").select("file", "bound", "seq", "region", F.min("seq").over(same).alias("first_seq"))
 
 
 @query(
