@@ -23,6 +23,8 @@ LARGE = 2000
 ROW_NS, PAIR_NS = 1500.0, 3.0
 #: Keys of so many bits or fewer are counted in arrays by each task.
 COUNTED_BITS = 16
+#: Sets of a dense bucket that meet in one task are of two blocks of so many.
+BLOCK = 512
 
 
 def shingle_hashes(raw: bytes, width: int) -> np.ndarray:
@@ -346,12 +348,36 @@ def _pairs(f: np.ndarray, a: np.ndarray, b: np.ndarray, bound: int, bound_all: i
     return i[i != j], j[i != j]
 
 
+def spanning(i: np.ndarray, j: np.ndarray, far: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a minimum spanning forest of ``n`` entries by the distances ``far``, in rounds that each halve the trees."""
+    order = np.argsort(far, kind="stable")
+    i, j = i[order], j[order]
+    tree, out = np.arange(n), []
+    while True:
+        apart = tree[i] != tree[j]
+        i, j = i[apart], j[apart]
+        if not len(i):
+            break
+        nearest = np.full(n, len(i))
+        for end in (i, j):
+            np.minimum.at(nearest, tree[end], np.arange(len(i)))
+        take = np.unique(nearest[nearest < len(i)])
+        out.append((i[take], j[take]))
+        one, two, top = tree[i[take]], tree[j[take]], np.arange(n)
+        while (top[one] != top[two]).any():
+            low, high = np.minimum(top[one], top[two]), np.maximum(top[one], top[two])
+            np.minimum.at(top, high, low)
+            top = top[top]
+        tree = top[tree]
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (i, j)
+
+
 def link_bucket(f: np.ndarray, side: np.ndarray, bound: int, bound_all: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (rows of ``f``) that join all entries of a bucket which links connect.
 
-    Buckets with few links are compared in blocks. Large or dense ones grow one component at a time:
-    each entry reached is compared with those not reached yet, so a group of near copies costs little
-    more than its size, and edges stay in proportion to entries.
+    Buckets with few links are compared in blocks; of pairs that are no forest the nearest stay that make one. Large or dense
+    ones grow one component at a time: each entry reached is compared with those not reached yet, so a
+    group of near copies costs little more than its size. Edges are fewer than entries.
     """
     n = f.shape[1]
     none = np.empty(0, np.int64)
@@ -361,7 +387,8 @@ def link_bucket(f: np.ndarray, side: np.ndarray, bound: int, bound_all: int) ->
     if n <= 4096:
         a, b = (np.flatnonzero(side == 0), np.flatnonzero(side)) if crossed else (np.arange(n), np.arange(n))
         if (found := _pairs(f, a, b, bound, bound_all, 6 * n)) is not None:
-            return found
+            i, j = found
+            return spanning(i, j, np.bitwise_count(f[:2, i] ^ f[:2, j]).sum(0, dtype=np.int64), n) if len(i) >= n else found
     waiting = np.arange(n)
     out_i, out_j = [], []
     while len(waiting):
@@ -420,16 +447,24 @@ def _edges(signatures: DataFrame, lanes: int, bound: int, bound_all: int, *, lab
     """``a0.., b0..`` from rows of buckets: probe and verify, bucket by bucket in sorted partitions.
 
     ``labelled``: the signatures' plan, if the last lane is a label and all pairs of different labels
-    are asked for; then the rows are ``a, b`` of the lane before it.
+    are asked for; then the rows are ``a, b, crowd, blocks`` of the lane before it. Of a bucket with more pairs than
+    entries in them those entries are given instead, as ``a``, with the number of their block as ``b``, a
+    hash of them all as ``crowd`` and the number of blocks; ``crowd`` is null for pairs.
     """
-    names = [f"{end}{k}" for end in "ab" for k in range(lanes)] if labelled is None else ["a", "b"]
+    names = [f"{end}{k}" for end in "ab" for k in range(lanes)] if labelled is None else ["a", "b", "crowd", "blocks"]
+    block = BLOCK
 
     def joined(f: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         i, j = (np.concatenate(x) for x in zip(*found, strict=True))
         if labelled is not None:
-            f = f[-2:-1]
+            return pa.RecordBatch.from_arrays([*(pa.array(f[-2, x].view(np.int64)) for x in (i, j)), *[pa.nulls(len(i), pa.int64())] * 2], names)
         return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (*f[:, i], *f[:, j])], names)
 
+    def crowded(members: np.ndarray) -> pa.RecordBatch:
+        number, crowd = np.arange(len(members)) // block, np.uint64(_set_code(members))
+        every = [np.full(len(members), x).view(np.int64) for x in (crowd, number[-1] + 1)]
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (members, number, *every)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             bucket, number, *f = columns
@@ -441,12 +476,19 @@ def _edges(signatures: DataFrame, lanes: int, bound: int, bound_all: int, *, lab
             found, size = [], 0
             if labelled is not None:
                 for a, b in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
+                    paired, own, pairs = np.zeros(b - a, bool), [], 0
                     for i, j in cross_pairs(f[:, a:b], side[a:b], bound, bound_all, labelled, int(number[a]) >> 1, others):
-                        found.append((i + a, j + a))
-                        size += len(i)
-                        if size > 1 << 16:
-                            yield joined(f, found)
-                            found, size = [], 0
+                        paired[i] = paired[j] = True
+                        pairs += len(i)
+                        own = [*own, (i + a, j + a)] if pairs <= b - a else []
+                    if pairs > np.count_nonzero(paired):
+                        yield crowded(np.unique(f[-2, a:b][paired]))
+                        continue
+                    found += own
+                    size += pairs
+                    if size > 1 << 16:
+                        yield joined(f, found)
+                        found, size = [], 0
                 if found:
                     yield joined(f, found)
                 return
@@ -533,15 +575,61 @@ def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(enough).select("a", "b")
 
 
+def crowd_links(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, bound: int, bound_all: int) -> DataFrame:
+    """``a, b``: links by measured similarity that join what the pairs within the bounds join in each crowd.
+
+    ``members`` are rows ``a, b, crowd, blocks`` of ``_edges``, ``labels`` have ``f0, f1, f2, f3``. The blocks of
+    a crowd meet two by two, so a task holds two blocks of sets at most. Pairs are measured inside the task and are
+    no rows; those of one label, given or found, are left out, so links are fewer than sets.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        f2, label, block, *f = (rows.column(c).to_numpy() for c in ("f2", "f3", "b", "f0", "f1"))
+        f = np.stack(f).view(np.uint64)
+        label = np.unique(label, return_inverse=True)[1]
+        sets = rows.column("hashes").combine_chunks()
+        ends = sets.offsets.to_numpy() - sets.offsets[0].as_py()
+        code, sizes = np.unique(sets.flatten().to_numpy(), return_inverse=True)[1], np.diff(ends)
+        own = np.split(code, ends[1:-1])
+        held, out_a, out_b = np.zeros(code.max(initial=0) + 1, bool), [], []
+        inside = key[1].as_py() == key[2].as_py()
+        for at in range(len(f2)) if inside else np.flatnonzero(block == key[1].as_py()):
+            other = np.arange(at + 1, len(f2)) if inside else np.flatnonzero(block == key[2].as_py())
+            least, most = np.minimum(sizes[other], sizes[at]), np.maximum(sizes[other], sizes[at])
+            other = other[(label[other] != label[at]) & (100 * least >= percent * most)]
+            each = np.bitwise_count(f[:, other] ^ f[:, at, None])
+            other = other[(each.min(0) <= bound) & (each.sum(0, dtype=np.int64) <= bound_all)]
+            if not len(other):
+                continue
+            held[own[at]] = True
+            both = np.append(0, np.cumsum(held[np.concatenate([own[k] for k in other])]))[np.append(0, np.cumsum(sizes[other]))]
+            held[own[at]] = False
+            other = other[np.diff(both) * (100 + percent) >= percent * (sizes[other] + sizes[at])]
+            joined, first = np.unique(label[other], return_index=True)
+            out_a.append(np.full(len(first), f2[at]))
+            out_b.append(f2[other[first]])
+            if len(joined):
+                label[np.isin(label, joined)] = label[at]
+        return pa.table({n: np.concatenate(x or [np.empty(0, np.int64)]) for n, x in (("a", out_a), ("b", out_b))})
+
+    y = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    tasks = members.withColumn("y", y).select(F.col("a").alias("f2"), "b", "crowd", F.least("b", "y").alias("x"), F.greatest("b", "y").alias("y"))
+    rows = tasks.join(labels.select("f0", "f1", "f2", "f3"), "f2").join(sets, "f2")
+    found = rows.groupBy("crowd", "x", "y").applyInArrow(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def similar_groups(docs: DataFrame, prints: DataFrame, *, shingle: int, percent: int, bound: int, bound_all: int, id_col: str) -> DataFrame:
     """``f2, group``: the connected components of shingle sets linked by a measured similarity.
 
     SimHash only proposes pairs, by an index of its own for each of two lanes of 64 bits: at most
-    ``bound`` bits of one lane and ``bound_all`` of both differ. First it gives edges that span each bucket's close sets (all pairs
-    where a bucket has few); they are measured and joined to components. Then all pairs of the
+    ``bound`` bits of one lane and ``bound_all`` of both differ. First it gives edges that span each bucket's close sets;
+    they are measured and joined to components. Then all pairs of the
     sets met so far that are within the bounds but in different components are measured as well, if
     a sketch of 896 further bits does not tell them apart. So a group of n near copies costs about n
-    pairs, and no proposed pair goes unmeasured that could join two components. Sets without a link may be left out.
+    pairs, and no proposed pair goes unmeasured that could join two components. Where a bucket has more such pairs than sets
+    (a dense group that the similarity splits), the sets go to tasks instead of the pairs (``crowd_links``).
+    Sets without a link may be left out.
     """
     nodes = materialize(prints.select("f0", "f1", "f2", "size").distinct(), "nodes")
     lanes = [(a, b, plan_parts(nodes, bound, lane=a, size="size")) for a, b in (("f0", "f1"), ("f1", "f0"))]
@@ -564,12 +652,12 @@ def similar_groups(docs: DataFrame, prints: DataFrame, *, shingle: int, percent:
     marked = materialize(marked, "marked")
     discard(nodes)
     found = [_edges(_signatures(marked, plan, [a, b, *more_bits, "f2", "f3"]), SKETCH + 4, bound, bound_all, labelled=plan, others=a == "f1") for a, b, plan in lanes]
-    found = [f.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b") for f in found]
-    second = materialize(found[0].union(found[1]).distinct().join(first, ["a", "b"], "left_anti"), "candidates")
-    for done in (first, marked):
-        discard(done)
-    more = materialize(_measured(second, sets, percent), "linked")
-    for done in (second, sets):
+    second = materialize(found[0].union(found[1]).distinct(), "candidates")
+    pairs = second.filter("crowd IS NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    pairs = pairs.join(first, ["a", "b"], "left_anti")
+    crowds = crowd_links(second.filter("crowd IS NOT NULL"), sets, marked, percent, bound, bound_all)
+    more = materialize(_measured(pairs, sets, percent).union(crowds), "linked")
+    for done in (first, marked, second, sets):
         discard(done)
     if not more.isEmpty():
         discard(groups)
