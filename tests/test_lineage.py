@@ -60,6 +60,27 @@ def test_linear_history_is_one_line(spark):
     assert {r.line for r in lineage.lines(*frames(spark, parents)).collect()} == {"c299"}
 
 
+def test_merged_lines_make_pairs_in_proportion_to_merges(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "WIDTH", 2, raising=False)
+    written = []
+    monkeypatch.setattr(lineage, "stored", lambda df, label: written.append(stored(df, label)) or written[-1])
+    parents = {f"c{k}": [f"c{j}" for j in ((k - 3, k - 1) if k % 2 == 0 else (k - 3,)) if j >= 0] for k in range(120)}
+    commits, links = frames(spark, parents)
+    placed = lineage.lines(commits, links)
+    wanted = placed.select("line").distinct()
+    reach = lineage.reaches(placed, links, wanted)
+    onward = lineage._entered(links.filter("ord = 1").selectExpr("'c119' AS other", "int(substr(sha, 2)) AS seq"), reach)
+    got = {(r.line, r.sha): r["at"] for r in lineage.entries(placed, reach, wanted).collect()}
+    line = {r.sha: r.line for r in placed.collect()}
+    want = {}
+    for sha in sorted(parents, key=lambda s: int(s[1:])):
+        for held in ancestors(parents, sha):
+            want.setdefault((line[sha], held), int(sha[1:]))
+    assert got == want
+    counts = onward.groupBy("line", "seq").count().filter("count > 1")
+    assert counts.isEmpty() and max(w.count() for w in written) <= 5 * len(parents)
+
+
 @pytest.mark.parametrize("width", [1, 7, 4096])
 def test_blocked_scans_with_a_hot_file(spark, width):
     rng = random.Random(width)

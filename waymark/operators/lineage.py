@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import stored
-from .history import after_marks
+from .history import WIDTH, after_marks
 
 #: Where a commit enters a line that never holds it.
 NEVER = (1 << 62) - 1
@@ -38,17 +38,42 @@ def lines(commits: DataFrame, parents: DataFrame) -> DataFrame:
     return known
 
 
-def _best(reach: DataFrame) -> DataFrame:
+def _least_before(rows: DataFrame, keys: list[str], place: Column, value: Column, *ties: Column) -> DataFrame:
+    """``rows`` with ``__least``: the least ``value`` of those that stand before them among their ``keys``, by ``place`` and ``ties``.
+
+    Places are cut into ranges of ``history.WIDTH``, each scanned by itself; one row of a range stands for it
+    where ranges are scanned in turn. So no window holds all places of a line.
+    """
+    ranged = rows.withColumn("__range", F.floor(place / WIDTH))
+    own = Window.partitionBy(*keys, "__range").orderBy(place, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    turns = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranged.groupBy(*keys, "__range").agg(F.min(value).alias("__own")).select(*keys, "__range", F.min("__own").over(turns).alias("__carried"))
+    return ranged.withColumn("__own", F.min(value).over(own)).join(carried, [*keys, "__range"]).withColumn("__least", F.least("__own", "__carried")).drop("__range", "__own", "__carried")
+
+
+def _best(reach: DataFrame, *ties: Column) -> DataFrame:
     """The pairs that no earlier place outdoes: ``at`` and ``to`` grow together."""
-    before = Window.partitionBy("line", "other").orderBy("at", F.desc("to")).rowsBetween(Window.unboundedPreceding, -1)
-    return reach.withColumn("__most", F.max("to").over(before)).filter("__most IS NULL OR to > __most").drop("__most")
+    seen = _least_before(reach, ["line", "other"], F.col("at"), -F.col("to"), F.desc("to"), *ties)
+    return seen.filter("__least IS NULL OR to > -__least").drop("__least")
+
+
+def _entered(marks: DataFrame, reach: DataFrame) -> DataFrame:
+    """``marks(other, seq, ...)`` for each line of ``reach`` that ever holds them, with ``line`` and the first place ``at`` that does.
+
+    A mark meets each line once, however many pairs the line and the mark's own line have.
+    """
+    asked = marks.join(reach.select("line", "other").distinct(), "other").withColumn("at", F.lit(None).cast("long"))
+    pairs = reach.select("line", "other", F.col("to").alias("seq"), F.col("at").cast("long").alias("at"))
+    both = asked.withColumn("__mark", F.lit(True)).unionByName(pairs.withColumn("__mark", F.lit(False)), allowMissingColumns=True)
+    seen = _least_before(both, ["line", "other"], -F.col("seq"), F.col("at"), F.col("__mark"))
+    return seen.filter("__mark AND __least IS NOT NULL").withColumn("at", F.col("__least")).drop("__mark", "__least")
 
 
 def reaches(known: DataFrame, parents: DataFrame, wanted: DataFrame) -> DataFrame:
     """``line, other, at, to``: from ``at`` on, the ``wanted(line)`` lines hold the line ``other`` up to ``to`` (both as ``seq``).
 
-    One round per line that lies between; each round joins what is new with the parents that lead from
-    one line to another, and drops what is outdone.
+    One round per line that lies between; each round takes the parents that lead from one line to
+    another from the first place that holds them, and drops what is outdone.
     """
     child = known.select("sha", F.col("line").alias("from"), F.col("seq").alias("out"))
     parent = known.select(F.col("sha").alias("parent"), F.col("line").alias("into"), F.col("seq").alias("in"))
@@ -56,11 +81,11 @@ def reaches(known: DataFrame, parents: DataFrame, wanted: DataFrame) -> DataFram
     own = wanted.select("line").distinct()
     fresh = stored(_best(steps.join(own, steps["from"] == own["line"]).select("line", F.col("into").alias("other"), F.col("out").alias("at"), F.col("in").alias("to"))), "reach")
     found = fresh
+    leads = steps.select(F.col("from").alias("other"), F.col("out").alias("seq"), "into", "in")
     while not fresh.isEmpty():
-        onward = fresh.join(steps, fresh["other"] == steps["from"]).filter("out <= to AND into <> line").select("line", F.col("into").alias("other"), "at", F.col("in").alias("to"))
-        merged = found.withColumn("new", F.lit(False)).unionByName(onward.distinct().withColumn("new", F.lit(True)))
-        before = Window.partitionBy("line", "other").orderBy("at", F.desc("to"), "new").rowsBetween(Window.unboundedPreceding, -1)
-        kept = stored(merged.withColumn("__most", F.max("to").over(before)).filter("__most IS NULL OR to > __most").drop("__most"), "reach")
+        onward = _entered(leads, fresh).filter("into <> line").select("line", F.col("into").alias("other"), "at", F.col("in").alias("to"))
+        merged = stored(found.withColumn("new", F.lit(False)).unionByName(onward.distinct().withColumn("new", F.lit(True))), "merged")
+        kept = stored(_best(merged, F.col("new")), "reach")
         found, fresh = kept.drop("new"), kept.filter("new").drop("new")
     return found
 
@@ -68,11 +93,8 @@ def reaches(known: DataFrame, parents: DataFrame, wanted: DataFrame) -> DataFram
 def entries(known: DataFrame, reach: DataFrame, wanted: DataFrame) -> DataFrame:
     """``line, sha, seq, at``: where each commit entered each ``wanted(line)`` that ever holds it."""
     own = known.join(wanted.select("line").distinct(), "line").select("line", "sha", "seq", F.col("seq").alias("at"))
-    marks = known.select(F.col("line").alias("other"), "sha", "seq").join(reach.select("line", "other").distinct(), "other")
-    both = marks.select("line", "other", "sha", "seq", F.lit(None).cast("long").alias("at")).unionByName(reach.select("line", "other", F.lit(None).cast("string").alias("sha"), F.col("to").alias("seq"), F.col("at").cast("long").alias("at")))
-    above = Window.partitionBy("line", "other").orderBy(F.desc("seq"), F.col("at").isNull()).rowsBetween(Window.unboundedPreceding, -1)
-    placed = both.withColumn("__at", F.last("at", ignorenulls=True).over(above)).filter("sha IS NOT NULL AND __at IS NOT NULL")
-    return own.unionByName(placed.select("line", "sha", "seq", F.col("__at").alias("at")))
+    placed = _entered(known.select(F.col("line").alias("other"), "sha", "seq"), reach)
+    return own.unionByName(placed.select("line", "sha", "seq", "at"))
 
 
 def since_stamps(claims: DataFrame, commits: DataFrame, parents: DataFrame, versions: DataFrame, head: str) -> DataFrame:
