@@ -2,7 +2,9 @@
 
 import random
 
+from waymark.jobs import queries
 from waymark.operators import edges
+from waymark.sources.tables import table
 
 
 def test_groups_stand_for_all_their_pairs(spark, monkeypatch):
@@ -21,3 +23,24 @@ def test_groups_stand_for_all_their_pairs(spark, monkeypatch):
     less = whole.join(frozen, ["node", "direction"], "left_anti").select("node", "direction", "target")
     assert rows(edges.grouped_violations(refs, sources, targets, frozen)) == rows(less)
     assert not edges.grouped_violations(refs.limit(0), sources.limit(0), targets).count()
+
+
+def test_hops_by_groups_equal_hops_by_pairs(spark):
+    rnd = random.Random(5)
+    names = [f"n{i}" for i in range(40)]
+    links = spark.createDataFrame([(rnd.choice(names), rnd.choice(names)) for _ in range(12)] + [("n0", "n7"), ("n0", None)], "src string, dst string")
+    sources = spark.createDataFrame([(rnd.choice(names), rnd.choice([0, 1, 2, 3, None])) for _ in range(12)] + [("n7", 0)], "id string, group long")
+    targets = spark.createDataFrame([(rnd.choice([*names, None]), rnd.choice([0, 1, 2, 3, None])) for _ in range(15)], "id string, group long")
+    pairs = sources.withColumnRenamed("id", "src").join(targets.withColumnRenamed("id", "dst"), "group").select("src", "dst")
+    start = spark.createDataFrame([("n0",)], "id string")
+    for depth in (None, 2):
+        want = edges.hops_from(links.union(pairs), start, depth=depth).filter("id IS NOT NULL").collect()
+        got = edges.hops_from(links, start, depth=depth, sources=sources, targets=targets).filter("id IS NOT NULL").collect()
+        assert len(got) > 3 and sorted(got) == sorted(want)
+
+
+def test_unfold_hops_lists_no_pairs(spark, sf_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(edges, "hops_from", lambda links, *a, **b: seen.append(links.count()))
+    queries.unfold_hops(spark, sf_dir)
+    assert seen == [table(spark, sf_dir, "lineitem").count()]

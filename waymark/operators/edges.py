@@ -87,23 +87,30 @@ def neighbours(contains: DataFrame, depends: DataFrame) -> DataFrame:
     return contains.select(F.col("parent").alias("src"), F.col("child").alias("dst")).union(depends.select("from_id", "to_id")).distinct()
 
 
-def hops_from(edges: DataFrame, start: DataFrame, *, depth: int | None = None) -> DataFrame:
+def hops_from(edges: DataFrame, start: DataFrame, *, depth: int | None = None, sources: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
     """``id, hop``: nodes of ``edges(src, dst)`` reached from ``start(id)``, each at its least distance.
 
     One join per hop with what is left after an anti-join of all visited nodes; it stops when a hop
     reaches nothing new, so a depth beyond the graph costs nothing. Each frontier is written to the
     checkpoint folder, which cuts its lineage.
+
+    Each of ``sources(id, group)`` leads to all ``targets(id, group)`` of its groups too, in one hop. Those pairs
+    are not listed: the first source of a group that is reached reaches all its targets, so a group's
+    targets are read once.
     """
     ensure_checkpoints(edges.sparkSession)
     edges = edges.select("src", "dst").persist(StorageLevel.MEMORY_AND_DISK)
     seen = start.select("id").distinct().withColumn("hop", F.lit(0)).checkpoint()
-    frontier, hop = seen, 0
+    frontier, hop, used = seen, 0, None
     while depth is None or hop < depth:
         hop += 1
-        frontier = (
-            frontier.join(edges, frontier["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct()
-            .join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)).checkpoint()
-        )
+        reached = frontier.join(edges, frontier["id"] == edges["src"]).select(F.col("dst").alias("id"))
+        if sources is not None:
+            groups = frontier.select("id").join(sources.filter("group IS NOT NULL"), "id").select("group").distinct()
+            groups = (groups if used is None else groups.join(used, "group", "left_anti")).checkpoint()
+            used = groups if used is None else used.unionByName(groups)
+            reached = reached.unionByName(groups.join(targets, "group").select("id"))
+        frontier = reached.distinct().join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)).checkpoint()
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)

@@ -53,12 +53,6 @@ def home_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return customers, table(spark, sf_dir, "supplier").select(F.col("s_name").alias("to_id"), F.col("s_nationkey").alias("group"))
 
 
-def home_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``from_id, to_id``: each customer with the suppliers of its nation."""
-    customers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("from_id"))
-    return customers.join(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_name").alias("to_id")), "nation").select("from_id", "to_id")
-
-
 def region_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``from_id, to_id``: ordered pairs of different nations of one region."""
     n = table(spark, sf_dir, "nation")
