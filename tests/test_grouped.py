@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from waymark.jobs import queries
 from waymark.operators import edges
 from waymark.sources.tables import table
@@ -44,3 +46,13 @@ def test_unfold_hops_lists_no_pairs(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(edges, "hops_from", lambda links, *a, **b: seen.append(links.count()))
     queries.unfold_hops(spark, sf_dir)
     assert seen == [table(spark, sf_dir, "lineitem").count()]
+
+
+def test_small_tables_with_many_pairs_are_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(edges, "PAIRS", 1000, raising=False)
+    sources = spark.createDataFrame([(f"c{i}", 0) for i in range(400)], "from_id string, group long")
+    targets = spark.createDataFrame([(f"s{i}", 0) for i in range(100)], "to_id string, group long")
+    refs = spark.createDataFrame([(f"c{i}", f"s{i % 100}") for i in range(400)], "from_id string, to_id string")
+    for frozen, n in ((None, 400), (spark.createDataFrame([(f"c{i}", d) for i in range(50) for d in ("vestigial", "undeclared")], "node string, direction string"), 350)):
+        counts = [r["count"] for r in edges.grouped_violations(refs, sources, targets, frozen).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(counts) == n * 99 and max(counts) < n * 99 / 4, counts
