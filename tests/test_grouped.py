@@ -53,6 +53,7 @@ def test_small_tables_with_many_pairs_are_many_tasks(spark, monkeypatch):
     sources = spark.createDataFrame([(f"c{i}", 0) for i in range(400)], "from_id string, group long")
     targets = spark.createDataFrame([(f"s{i}", 0) for i in range(100)], "to_id string, group long")
     refs = spark.createDataFrame([(f"c{i}", f"s{i % 100}") for i in range(400)], "from_id string, to_id string")
-    for frozen, n in ((None, 400), (spark.createDataFrame([(f"c{i}", d) for i in range(50) for d in ("vestigial", "undeclared")], "node string, direction string"), 350)):
+    for few, frozen, n in ((0, None, 400), (16, spark.createDataFrame([(f"c{i}", d) for i in range(50) for d in ("vestigial", "undeclared")], "node string, direction string"), 350)):
+        monkeypatch.setattr(edges, "FEW", few, raising=False)
         counts = [r["count"] for r in edges.grouped_violations(refs, sources, targets, frozen).groupBy(F.spark_partition_id()).count().collect()]
         assert sum(counts) == n * 99 and max(counts) < n * 99 / 4, counts
